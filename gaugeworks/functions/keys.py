@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,13 +65,15 @@ def aspect_encode(entity_type: Column, urn: Column, aspect_name: Column, aspect:
     )
 
 
-def aspect_decode(record: Column, aspect_schema: T.StructType) -> Column:
-    """The record's fields with the aspect parsed back into a struct."""
-    envelope = F.from_json(record, ENVELOPE)
-    return F.struct(
-        envelope["entityType"].alias("entity_type"),
-        envelope["entityUrn"].alias("urn"),
-        envelope["aspectName"].alias("aspect_name"),
-        envelope["changeType"].alias("change_type"),
-        F.from_json(envelope["aspect"]["value"], aspect_schema).alias("aspect"),
+def aspect_decode(records: DataFrame, column: str, aspect_schema: T.StructType) -> DataFrame:
+    """Replace a column of write records by their fields, the aspect parsed into a struct."""
+    others = [c for c in records.columns if c != column]
+    opened = records.withColumn(column, F.from_json(column, ENVELOPE))
+    return opened.select(
+        *others,
+        F.col(f"{column}.entityType").alias("entity_type"),
+        F.col(f"{column}.entityUrn").alias("urn"),
+        F.col(f"{column}.aspectName").alias("aspect_name"),
+        F.col(f"{column}.changeType").alias("change_type"),
+        F.from_json(f"{column}.aspect.value", aspect_schema).alias("aspect"),
     )

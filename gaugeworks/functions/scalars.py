@@ -35,9 +35,9 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits in a text."""
-    return F.split(F.lower(text), "[^a-z0-9]+")
+def holds_word(lowered: Column, word: str) -> Column:
+    """True where a lower-cased text has the word between other characters or its ends."""
+    return lowered.rlike(f"(?<![a-z0-9]){word}(?![a-z0-9])")
 
 
 def is_blank(column: Column, kind: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions.scalars import quoted, words_of
+from gaugeworks.functions.scalars import holds_word, quoted
 from gaugeworks.operators.joins import sized_join
 from gaugeworks.operators.latest import newest_set
 from gaugeworks.operators.quality import SUCCESS
@@ -178,7 +178,8 @@ def facet_counts(entities: DataFrame, facets: Sequence[str]) -> DataFrame:
 def keyword_search(df: DataFrame, text: str, query: str) -> DataFrame:
     """Rows whose text holds every word of the query, in no particular order.
 
-    A plain substring test goes first, so that only candidate texts are split.
+    Words are runs of ASCII letters and digits, in any case. A plain substring test goes
+    first, so that the pattern is tried on candidate texts only.
     """
     words = sorted(set(_query_words(query)))
     if not words:
@@ -188,7 +189,7 @@ def keyword_search(df: DataFrame, text: str, query: str) -> DataFrame:
     for word in words:
         wanted = wanted & lowered.contains(word)
     for word in words:
-        wanted = wanted & F.array_contains(words_of(F.col(text)), word)
+        wanted = wanted & holds_word(lowered, word)
     return df.where(wanted)
 
 

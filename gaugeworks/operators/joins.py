@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 64
+HOT_ROWS = 1_000_000
+KEY_BUCKETS = 65_536
+MAX_HOT_BUCKETS = 10_000
+STREAM_SALTS = 8
+
+HotBuckets = list[tuple[int, int]]
 
 
 def fits_broadcast(
@@ -17,12 +22,30 @@ def fits_broadcast(
 ) -> bool:
     """Measure whether a table may be broadcast; never reads more than max_rows + 1 rows."""
     probe = df.limit(max_rows + 1).agg(
-        F.count("*").alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size"),
     ).first()
     return probe["n"] <= max_rows and probe["size"] <= max_bytes
 
 
+def hot_buckets(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> HotBuckets:
+    """Hash buckets of a join key that hold too many rows, with the salts each one needs.
+
+    Rows are counted per bucket, merged in each task, so the counts have a fixed size. A
+    bucket is hot above `hot_rows` rows and above 1/MAX_HOT_BUCKETS of the table; fewer
+    than MAX_HOT_BUCKETS can be, and only those come to the driver.
+    """
+    counts = df.groupBy(_bucket(on).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").alias("total")
+    limit = F.greatest(F.lit(hot_rows), F.floor(F.col("total") / MAX_HOT_BUCKETS))
+    hot = (
+        counts.crossJoin(F.broadcast(counts.agg(total)))  # one row
+        .where(F.col("n") > limit)
+        .select("bucket", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+    )
+    return [(row["bucket"], row["salts"]) for row in hot.collect()]
+
+
 def sized_join(
     left: DataFrame,
     right: DataFrame,
@@ -30,23 +53,57 @@ def sized_join(
     how: str = "inner",
     *,
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
+    hot: HotBuckets | None = None,
 ) -> DataFrame:
     """Equi-join of a large left side, possibly with hot keys, to a right side.
 
-    A right side measured as small is broadcast, so the left side is not shuffled.
-    Any other right side is repeated once per salt and joined on key and salt: each
-    left row meets exactly one copy, hence the result is the plain join's, while a
-    hot key (null keys included) is spread over `salts` tasks.
+    A right side measured as small is broadcast, and the left side is not shuffled. With
+    any other, left rows in hot key buckets are spread over salts, and the right rows of
+    those buckets, one 65536th of the keys each, are repeated per salt. A left row meets
+    exactly one copy, so the result is the plain join's. The salts of all buckets add up
+    to less than 2 * MAX_HOT_BUCKETS: the right side grows by a third at most.
 
-    `how` is inner, left, left_semi or left_anti; the others would see the copies.
+    The right side should have few rows per key; for semi and anti joins it is made
+    distinct. `how` is inner, left, left_semi or left_anti; others would see the copies.
+    Pass `hot` to reuse the counts of an unchanged left side.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
+    for name in on:
+        if left.schema[name].dataType != right.schema[name].dataType:
+            raise TypeError(f"join column {name} has two types")
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*on)
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), list(on), how)
-    # Input partition id spreads equal rows too; both terms are the same on a task retry.
+    if how in ("left_semi", "left_anti"):
+        right = right.distinct()
+    if left.isStreaming:  # nothing to count yet: salt every key a little
+        salts = F.lit(STREAM_SALTS)
+    else:
+        hot = hot_buckets(left, on, hot_rows) if hot is None else hot
+        if not hot:
+            return left.join(right, list(on), how)
+        table = left.sparkSession.createDataFrame(hot, "_bucket int, _salts int")
+        left = _with_salts(left, on, table)
+        right = _with_salts(right, on, table)
+        salts = F.col("_salts")
+    # The input partition id spreads equal rows too; a task retry yields the same salt.
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]) + F.spark_partition_id()
-    salted_left = left.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    left = left.withColumn("_salt", F.pmod(spread, salts).cast("int")).drop("_salts")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def _bucket(on: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def _with_salts(df: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    return (
+        df.withColumn("_bucket", _bucket(on))
+        .join(F.broadcast(hot), "_bucket", "left")
+        .withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+        .drop("_bucket")
+    )

@@ -7,7 +7,7 @@ from typing import Literal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.joins import SALTS, sized_join
+from gaugeworks.operators.joins import BROADCAST_ROWS, HOT_ROWS, hot_buckets, sized_join
 from gaugeworks.session import settle
 
 TRANSFORMED = "TRANSFORMED"  # fixed value: type of an edge made by a transformation
@@ -75,25 +75,31 @@ def lineage_walk(
     start: str,
     direction: Literal["upstream", "downstream"],
     max_hops: int = 64,
-    salts: int = SALTS,
+    *,
+    max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All entities reachable from one entity, with the fewest hops to each.
 
     Breadth first: each round joins the newly found entities to the edges and drops those
     seen before, so cycles end and a diamond is not walked twice. The found set is
-    checkpointed per round; a new frontier is broadcast while it is small, else the edges
-    are salted, as one entity may hold a large part of them. Walks deeper than
-    `max_hops` raise rather than return a part.
+    checkpointed per round. A frontier of up to `max_rows` entities is broadcast; for a
+    larger one the edges of hot entities are salted, as one may hold a large part of all
+    edges. Walks deeper than `max_hops` raise rather than return a part.
+
+    Each round scans the edges, so pass a stored table.
     """
     here, there = ("downstream", "upstream") if direction == "upstream" else (
         "upstream", "downstream")
-    spark = edges.sparkSession
     steps = edges.select(F.col(here).alias("entity"), F.col(there).alias("next"))
-    frontier = spark.range(1).select(F.lit(start).alias("entity"))
+    frontier = edges.sparkSession.range(1).select(F.lit(start).alias("entity"))
     seen = frontier.withColumn("hops", F.lit(0))
+    hot = None
     for hop in range(1, max_hops + 1):
+        if hot is None and hop > 1 and frontier.count() > max_rows:
+            hot = hot_buckets(steps, ["entity"], hot_rows)
         reached = (
-            sized_join(steps, frontier, ["entity"], "left_semi", salts=salts)
+            sized_join(steps, frontier, ["entity"], "left_semi", max_rows=max_rows, hot=hot)
             .select(F.col("next").alias("entity"))
             .where(F.col("entity").isNotNull())
             .distinct()

@@ -10,55 +10,33 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import quoted
 
-_ACCURACY = 10_000  # percentile sketch: rank error of at most rows / _ACCURACY
+_PARTS = 1024  # a range is cut into so many parts of equal width per round
 
 
 @dataclass
 class _Target:
-    """A wanted value: the one at `rank` (0-based) among a column's values between two others.
-
-    `low` and `high` are open ends; None stands for no limit. `rows` lie in between.
-    """
+    """A wanted value: number `rank`, from 0, of the `rows` values from `low` to `high`."""
 
     column: str
     rank: int
     rows: int
-    low: float | None = None
-    high: float | None = None
-    found: float | None = None
+    low: float
+    high: float
+
+    @property
+    def known(self) -> bool:
+        return self.low == self.high
 
     def value(self) -> Column:
         return quoted(self.column).cast("double")
 
     def inside(self) -> Column:
-        test = self.value().isNotNull()
-        if self.low is not None:
-            test = test & (self.value() > self.low)
-        if self.high is not None:
-            test = test & (self.value() < self.high)
-        return test
-
-    def cuts(self) -> list[float]:
-        """Fractions that enclose the rank despite the sketch's error."""
-        margin = 2.0 / _ACCURACY
-        at = self.rank / self.rows
-        return [max(0.0, at - margin), min(1.0, at + margin)]
-
-    def narrow(self, first: float, last: float, sizes: Sequence[int]) -> None:
-        """Move to the part that holds the rank.
-
-        `sizes` counts the rows below `first`, at it, between, at `last`, above it.
-        """
-        bounds = [(self.low, first), first, (first, last), last, (last, self.high)]
-        for part, size in zip(bounds, sizes):
-            if self.rank < size:
-                if isinstance(part, tuple):
-                    (self.low, self.high), self.rows = part, size
-                else:
-                    self.found = part
-                return
-            self.rank -= size
-        raise ValueError(f"column {self.column} changed between two reads")
+        return self.value().between(self.low, self.high)
+
+    def part(self) -> Column:
+        """Part of the range a value falls into; halves keep the width finite."""
+        start, width = self.low / 2, self.high / 2 - self.low / 2
+        return F.floor((self.value() / 2 - start) / width * _PARTS).cast("int")
 
 
 def exact_medians(
@@ -66,63 +44,111 @@ def exact_medians(
 ) -> dict[str, float | None]:
     """Median of each numeric column, middle pair averaged; None without values.
 
-    A percentile sketch encloses the wanted rank between two values of the column, an
-    exact count of the rows on each side says which part holds it, and that part is
-    searched again. A round keeps a few thousandths of the rows, so a few scans of the
-    numeric columns are enough at any size. Once at most `small` rows remain they are
-    ranked. Only counts and bounds reach the driver: a handful per column and round.
+    The range that holds the wanted rank is cut into parts and each part's rows, minimum
+    and maximum are counted; the part with the rank, tightened to its own minimum and
+    maximum, is the next range. A round is one scan of the numeric columns and thins the
+    rows by up to a thousand, so a few scans do at any size. Once at most `small` rows
+    remain they are ranked. Tasks send a bounded number of counts, spread over the
+    reducers, and only those reach the driver.
+
+    NaN is larger than any number here, as in Spark's ordering; infinities count.
     """
+    targets = _first_ranges(df, columns)
+    while wide := [t for t in targets if not t.known and t.rows > small]:
+        _cut_ranges(df, wide)
+    _rank_rest(df, [t for t in targets if not t.known])
+    found = {column: [t.low for t in targets if t.column == column] for column in columns}
+    return {c: sum(pair) / len(pair) if pair else None for c, pair in found.items()}
+
+
+def _first_ranges(df: DataFrame, columns: Sequence[str]) -> list[_Target]:
+    """Targets over the finite values, or already known where the rank falls outside them."""
     if not columns:
-        return {}
-    counts = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        return []
+    infinity = float("inf")
+    aggregates = []
+    for i, column in enumerate(columns):
+        value = quoted(column).cast("double")
+        finite = F.when((value > -infinity) & (value < infinity), value)
+        aggregates += [
+            F.count_if(value == -infinity).alias(f"below{i}"),
+            F.count(finite).alias(f"rows{i}"),
+            F.count_if(value == infinity).alias(f"above{i}"),
+            F.count_if(F.isnan(value)).alias(f"nan{i}"),
+            F.min(finite).alias(f"low{i}"),
+            F.max(finite).alias(f"high{i}"),
+        ]
+    seen = df.agg(*aggregates).first()
     targets = []
     for i, column in enumerate(columns):
-        n = counts[f"n{i}"]
-        targets += [_Target(column, rank, n) for rank in sorted({(n - 1) // 2, n // 2}) if n]
-    while wide := [t for t in targets if t.found is None and t.rows > small]:
-        _search_round(df, wide)
-    _rank_rest(df, [t for t in targets if t.found is None])
-    return {
-        column: sum(found) / len(found) if found else None
-        for column in columns
-        for found in [[t.found for t in targets if t.column == column]]
-    }
-
-
-def _search_round(df: DataFrame, targets: list[_Target]) -> None:
-    sketches = df.agg(*[
-        F.percentile_approx(F.when(t.inside(), t.value()), t.cuts(), _ACCURACY).alias(f"q{i}")
-        for i, t in enumerate(targets)
-    ]).first()
-    counts, enclosed = [], []
-    for i, t in enumerate(targets):
-        first, last = sketches[f"q{i}"]
-        enclosed.append((first, last))
-        parts = [t.value() < first, t.value() == first]
-        if last > first:
-            parts += [
-                (t.value() > first) & (t.value() < last), t.value() == last, t.value() > last,
-            ]
-        else:
-            parts += [F.lit(False), F.lit(False), t.value() > last]
-        counts += [
-            F.count_if(t.inside() & part).alias(f"c{i}_{j}") for j, part in enumerate(parts)
+        parts = [
+            (seen[f"below{i}"], -infinity, -infinity),
+            (seen[f"rows{i}"], seen[f"low{i}"], seen[f"high{i}"]),
+            (seen[f"above{i}"], infinity, infinity),
+            (seen[f"nan{i}"], float("nan"), float("nan")),
         ]
-    sizes = df.agg(*counts).first()
-    for i, t in enumerate(targets):
-        t.narrow(*enclosed[i], [sizes[f"c{i}_{j}"] for j in range(5)])
+        total = sum(rows for rows, _, _ in parts)
+        for rank in sorted({(total - 1) // 2, total // 2}) if total else []:
+            targets.append(_descend(column, rank, parts))
+    return targets
+
+
+def _descend(column: str, rank: int, parts: Sequence[tuple[int, float, float]]) -> _Target:
+    """The part of (rows, low, high), in rising order, that holds the rank."""
+    for rows, low, high in parts:
+        if rank < rows:
+            return _Target(column, rank, rows, low, high)
+        rank -= rows
+    raise ValueError(f"column {column} changed between two reads")
+
+
+def _entries(targets: Sequence[_Target], **extra: Sequence[Column]) -> Column:
+    """Per row, one (target, value, ...) entry for each range the row's values fall into."""
+    return F.inline(F.array(*[
+        F.when(
+            t.inside(),
+            F.struct(
+                F.lit(i).alias("target"),
+                t.value().alias("value"),
+                *[columns[i].alias(name) for name, columns in extra.items()],
+            ),
+        )
+        for i, t in enumerate(targets)
+    ]))
 
 
-def _rank_rest(df: DataFrame, targets: list[_Target]) -> None:
+def _cut_ranges(df: DataFrame, targets: Sequence[_Target]) -> None:
+    # The middle pair mostly shares its range; each range is counted once.
+    ranges = {(t.column, t.low, t.high): t for t in targets}
+    numbers = {key: i for i, key in enumerate(ranges)}
+    cut = list(ranges.values())
+    rows = (
+        df.select(_entries(cut, part=[t.part() for t in cut]))
+        .where(F.col("target").isNotNull())
+        .groupBy("target", "part")
+        .agg(
+            F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"),
+            F.max("value").alias("high"),
+        )
+        .collect()
+    )
+    parts: dict[int, list[tuple[int, float, float]]] = {}
+    for row in sorted(rows, key=lambda r: (r["target"], r["part"])):
+        parts.setdefault(row["target"], []).append((row["rows"], row["low"], row["high"]))
+    for t in targets:
+        held = parts.get(numbers[t.column, t.low, t.high], [])
+        narrowed = _descend(t.column, t.rank, held)
+        t.rank, t.rows, t.low, t.high = (
+            narrowed.rank, narrowed.rows, narrowed.low, narrowed.high
+        )
+
+
+def _rank_rest(df: DataFrame, targets: Sequence[_Target]) -> None:
     """Rank the few rows left per target, equal values merged before the shuffle."""
     if not targets:
         return
-    entries = F.array(*[
-        F.when(t.inside(), F.struct(F.lit(i).alias("target"), t.value().alias("value")))
-        for i, t in enumerate(targets)
-    ])
     merged = (
-        df.select(F.inline(entries))
+        df.select(_entries(targets))
         .where(F.col("target").isNotNull())
         .groupBy("target", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -136,4 +162,4 @@ def _rank_rest(df: DataFrame, targets: list[_Target]) -> None:
         .collect()
     )
     for row in rows:
-        targets[row["target"]].found = row["value"]
+        targets[row["target"]].low = targets[row["target"]].high = row["value"]

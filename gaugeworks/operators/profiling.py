@@ -72,7 +72,7 @@ def column_profile(
             aggregates.append(F.approx_count_distinct(column).alias(f"unique_{i}"))
             if field.name in numeric:
                 aggregates.append(
-                    F.percentile_approx(column.cast("double"), 0.5, 10_000).alias(f"median_{i}")
+                    F.percentile_approx(column.cast("double"), 0.5, 1_000).alias(f"median_{i}")
                 )
     medians = {} if approximate else exact_medians(df, numeric)
     no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")

@@ -53,11 +53,8 @@ def q_aspect_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = keys.aspect_encode(
         F.lit("corpuser"), F.col("urn"), F.col("aspect"), F.from_json("value", PROPS)
     )
-    decoded = log.select("seq", keys.aspect_decode(record, PROPS).alias("d"))
-    return decoded.select(
-        "seq", "d.entity_type", "d.urn", "d.aspect_name", "d.change_type",
-        F.col("d.aspect.k").alias("k"),
-    )
+    decoded = keys.aspect_decode(log.select("seq", record.alias("record")), "record", PROPS)
+    return decoded.select("*", "aspect.k").drop("aspect")
 
 
 QUERIES = {

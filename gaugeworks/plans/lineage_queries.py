@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import lineage
 from gaugeworks.plans.standins import table
+from gaugeworks.session import scratch_path
+from gaugeworks.sources.files import read_parquet, write_parquet_overwrite
 
 
 def _tag(kind: str, column: str) -> Column:
@@ -74,7 +76,9 @@ def q_column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lineage_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = key_edges(spark, sf_dir)
+    path = scratch_path(spark, "edges")
+    write_parquet_overwrite(key_edges(spark, sf_dir), path)
+    edges = read_parquet(spark, path)
     up = lineage.lineage_walk(edges, "region:0", "upstream")
     down = lineage.lineage_walk(edges, "part:1", "downstream")
     return up.withColumn("walk", F.lit("upstream of region:0")).unionByName(

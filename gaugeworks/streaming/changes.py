@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeworks.operators.joins import sized_join
+from gaugeworks.operators.joins import BROADCAST_ROWS, sized_join
 from gaugeworks.operators.quality import FAILED
 
 
-def alert_stream(changes: DataFrame, tiers: DataFrame, tier: str = "Tier1") -> DataFrame:
+def alert_stream(
+    changes: DataFrame, tiers: DataFrame, tier: str = "Tier1", max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Failed assertions on datasets of one tier, from a stream or a table of changes.
 
     `changes` has entity and status, `tiers` has entity and tier. Stateless. The tier
-    table is measured when the query starts and broadcast only if it is small. It is read
-    again in each micro-batch as far as its files were listed at the start: restart the
-    query to see entities whose tier changed.
+    table is measured when the query starts and broadcast only up to `max_rows` rows. Its
+    files are listed at the start: restart the query to see entities whose tier changed.
     """
     watched = tiers.where(F.col("tier") == tier).select("entity").distinct()
     failed = changes.where(F.col("status") == FAILED)
-    return sized_join(failed, watched, ["entity"], "inner")
+    return sized_join(failed, watched, ["entity"], "inner", max_rows=max_rows)
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

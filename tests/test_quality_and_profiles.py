@@ -98,6 +98,16 @@ def test_medians_match_brute_force(spark, small):
     assert got == {c: exact(v) for c, v in columns.items()}
 
 
+def test_medians_of_infinities_and_nan(spark):
+    inf, nan = math.inf, math.nan
+    df = spark.createDataFrame(
+        [(-inf, 1.0, nan), (-inf, inf, nan), (2.0, inf, 1.0)], "a double, b double, c double")
+    got = exact_medians(df, ["a", "b", "c"])
+    assert (got["a"], got["b"]) == (-inf, inf) and math.isnan(got["c"])
+    wide = spark.createDataFrame([(-1.7e308,), (1.7e308,), (3.0,)], "a double")
+    assert exact_medians(wide, ["a"], small=1) == {"a": 3.0}
+
+
 def test_column_profile_against_brute_force(spark):
     rows = [("a", 1, 2.5, True), ("b", 2, None, False), ("", 2, math.inf, None), (None, 9, -1.0, True)]
     df = spark.createDataFrame(rows, "s string, i int, d double, b boolean")
