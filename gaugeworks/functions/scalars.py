@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,8 @@ def is_blank(column: Column, kind: str) -> Column:
     if kind == "string":
         return column.isNull() | (column == "")
     return column.isNull()
+
+
+def stamp(ts: datetime | Column | None) -> Column:
+    """Time of a profile or check: a column, a fixed time, or null."""
+    return ts if isinstance(ts, Column) else F.lit(ts).cast("timestamp")

@@ -126,15 +126,15 @@ def governance_kpis(entities: DataFrame, edges: DataFrame, results: DataFrame) -
         F.grouping("type").alias("_all"),
         *[F.sum(c).alias(c) for c in ("assets", "owner", "tier", "description", "lineage")],
     )
-    passed = results.agg(F.avg((F.col("status") == SUCCESS).cast("double")).alias("_passed"))
-    return totals.crossJoin(F.broadcast(passed)).select(  # one row
+    passed = results.agg(F.avg((F.col("status") == SUCCESS).cast("double")))
+    return totals.select(
         F.when(F.col("_all") == 1, "ALL").otherwise(F.col("type")).alias("type"),
         "assets",
         *[
             (F.col(c) / F.col("assets")).alias(f"{c}_share")
             for c in ("owner", "tier", "description", "lineage")
         ],
-        F.when(F.col("_all") == 1, F.col("_passed")).alias("dq_pass_rate"),
+        F.when(F.col("_all") == 1, passed.scalar()).alias("dq_pass_rate"),
     )
 
 

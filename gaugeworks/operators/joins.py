@@ -31,19 +31,13 @@ def fits_broadcast(
 def hot_buckets(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> HotBuckets:
     """Hash buckets of a join key that hold too many rows, with the salts each one needs.
 
-    Rows are counted per bucket, merged in each task, so the counts have a fixed size. A
-    bucket is hot above `hot_rows` rows and above 1/MAX_HOT_BUCKETS of the table; fewer
-    than MAX_HOT_BUCKETS can be, and only those come to the driver.
+    Rows are counted per bucket, merged in each task: KEY_BUCKETS counts at most, whatever
+    the table's size, and these come to the driver. A bucket is hot above `hot_rows` rows
+    and above 1/MAX_HOT_BUCKETS of the table, so fewer than MAX_HOT_BUCKETS are.
     """
-    counts = df.groupBy(_bucket(on).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").alias("total")
-    limit = F.greatest(F.lit(hot_rows), F.floor(F.col("total") / MAX_HOT_BUCKETS))
-    hot = (
-        counts.crossJoin(F.broadcast(counts.agg(total)))  # one row
-        .where(F.col("n") > limit)
-        .select("bucket", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
-    )
-    return [(row["bucket"], row["salts"]) for row in hot.collect()]
+    counted = df.groupBy(_bucket(on).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
+    limit = max(hot_rows, sum(row["n"] for row in counted) // MAX_HOT_BUCKETS)
+    return [(row["bucket"], -(-row["n"] // limit)) for row in counted if row["n"] > limit]
 
 
 def sized_join(

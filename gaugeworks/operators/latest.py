@@ -85,8 +85,8 @@ def _slice_hot_keys(
     than MAX_HOT_KEYS can be hot at a time and their table may be broadcast. A hot group is
     cut into parts of equal width between its first and last time, or sequence where all
     times are equal. Parts still hot, as when times bunch up, are cut again at the next
-    level between their own first and last. Cuts are checkpointed, so that a task that is
-    run again sees the same ones.
+    level between their own first and last. Cuts are written to the shared folder, so
+    that a task that is run again sees the same ones.
     """
     limit = max(slice_rows, log.count() // MAX_HOT_KEYS)
     oldest = F.lit(-(2**62))

@@ -83,7 +83,7 @@ def lineage_walk(
 
     Breadth first: each round joins the newly found entities to the edges and drops those
     seen before, so cycles end and a diamond is not walked twice. The found set is
-    checkpointed per round. A frontier of up to `max_rows` entities is broadcast; for a
+    written to the shared folder per round. A frontier of up to `max_rows` entities is broadcast; for a
     larger one the edges of hot entities are salted, as one may hold a large part of all
     edges. Walks deeper than `max_hops` raise rather than return a part.
 

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions.scalars import is_blank, quoted
+from gaugeworks.functions.scalars import is_blank, quoted, stamp
 from gaugeworks.operators.medians import exact_medians
 
 
-def table_profile(df: DataFrame, table: str, ts: datetime | None = None) -> DataFrame:
+def table_profile(df: DataFrame, table: str, ts: datetime | Column | None = None) -> DataFrame:
     """Row count, column count and stored bytes of a file-based table.
 
     Reads no column at all: rows are counted per file and the files' sizes come from the
@@ -28,7 +28,7 @@ def table_profile(df: DataFrame, table: str, ts: datetime | None = None) -> Data
     )
     return per_file.agg(
         F.lit(table).alias("table"),
-        F.lit(ts).cast("timestamp").alias("ts"),
+        stamp(ts).alias("ts"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
         F.lit(len(df.columns)).alias("column_count"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("size_in_bytes"),
@@ -41,7 +41,7 @@ def column_profile(
     columns: Sequence[str] | None = None,
     *,
     approximate: bool = False,
-    ts: datetime | None = None,
+    ts: datetime | Column | None = None,
 ) -> DataFrame:
     """One row per column: counts, proportions, range as text, mean and median.
 
@@ -107,7 +107,7 @@ def column_profile(
     return profile.select(
         F.lit(table).alias("table"),
         "column",
-        F.lit(ts).cast("timestamp").alias("ts"),
+        stamp(ts).alias("ts"),
         "values_count",
         "null_count",
         "missing_count",

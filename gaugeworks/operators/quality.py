@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.scalars import quoted
+from gaugeworks.functions.scalars import quoted, stamp
 
 # Status words and operator names.
 SUCCESS, FAILED = "SUCCESS", "FAILED"
@@ -72,7 +72,6 @@ def dq_suite_run(
         if rule.operator == BETWEEN:
             aggregates.append(F.min(quoted(rule.column)).cast("double").alias(f"low_{i}"))
             aggregates.append(F.max(quoted(rule.column)).cast("double").alias(f"high_{i}"))
-    stamp = ts if isinstance(ts, Column) else F.lit(ts).cast("timestamp")
     results = []
     for i, rule in enumerate(rules):
         broken, total = F.col(f"broken_{i}"), F.col("total")
@@ -85,7 +84,7 @@ def dq_suite_run(
                 F.lit(rule.test).alias("test"),
                 F.lit(table).alias("table"),
                 F.lit(rule.column).alias("column"),
-                stamp.alias("ts"),
+                stamp(ts).alias("ts"),
                 F.when(broken == 0, SUCCESS).otherwise(FAILED).alias("status"),
                 rule.finding(broken, total, low, high).alias("message"),
                 total.alias("total"),

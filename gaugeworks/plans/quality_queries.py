@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import profiling, quality
@@ -13,6 +13,7 @@ from gaugeworks.operators.sensors import sensor_profiles
 from gaugeworks.plans.standins import PROFILES_SQL, READINGS_SQL, readings, table
 
 VALUE_LIMIT = 150.0
+CHECKED_AT = "2024-02-01 00:00:00"
 
 LINE_RULES = [
     DqRule("order_present", "l_orderkey", NOT_NULL, suite="lines"),
@@ -25,6 +26,11 @@ LINE_RULES = [
 PROFILED = ["lineitem", "orders", "customer", "events", "documents"]
 
 
+def checked_at() -> Column:
+    """Time put on profiles and checks; without zone, so that all engines show it alike."""
+    return F.lit(CHECKED_AT).cast("timestamp_ntz")
+
+
 def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily outcome of one test per user and event type: no value above the limit."""
     daily = (
@@ -78,14 +84,18 @@ def q_dq_equal_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dq_suite_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.dq_suite_run(table(spark, sf_dir, "lineitem"), LINE_RULES, "lineitem").drop("ts")
+    lines = table(spark, sf_dir, "lineitem")
+    return quality.dq_suite_run(lines, LINE_RULES, "lineitem", checked_at())
 
 
 def q_table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = [profiling.table_profile(table(spark, sf_dir, name), name) for name in PROFILED]
+    profiles = [
+        profiling.table_profile(table(spark, sf_dir, name), name, checked_at())
+        for name in PROFILED
+    ]
     # Stored bytes are unknown to the checking engine, so only their presence is compared.
     return reduce(DataFrame.unionByName, profiles).select(
-        "table", "row_count", "column_count", (F.col("size_in_bytes") > 0).alias("has_size")
+        "table", "ts", "row_count", "column_count", (F.col("size_in_bytes") > 0).alias("has_size")
     )
 
 
@@ -96,7 +106,7 @@ def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = {
         c: F.round(c, 6) for c in ("null_proportion", "unique_proportion", "mean", "median")
     }
-    return profiling.column_profile(orders, "orders").drop("ts").withColumns(rounded)
+    return profiling.column_profile(orders, "orders", ts=checked_at()).withColumns(rounded)
 
 
 def q_column_sample_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +171,8 @@ def _column_sql(name: str, numeric: bool) -> str:
     blank = f"{name} IS NULL" if numeric else f"{name} IS NULL OR CAST({name} AS VARCHAR) = ''"
     mean = f"ROUND(AVG({name}), 6)" if numeric else "CAST(NULL AS DOUBLE)"
     median = f"ROUND(MEDIAN(CAST({name} AS DOUBLE)), 6)" if numeric else "CAST(NULL AS DOUBLE)"
-    return f"""SELECT 'orders' AS "table", '{name}' AS "column", COUNT(*) AS values_count,
+    return f"""SELECT 'orders' AS "table", '{name}' AS "column",
+  TIMESTAMP '{CHECKED_AT}' AS ts, COUNT(*) AS values_count,
   COUNT(*) FILTER (WHERE {name} IS NULL) AS null_count,
   COUNT(*) FILTER (WHERE {blank}) AS missing_count,
   COUNT(DISTINCT {name}) AS unique_count,
@@ -179,7 +190,7 @@ def _sample_sql(name: str) -> str:
 
 
 _BETWEEN_SQL = """SELECT 'lines' AS suite, '{test}' AS test, 'lineitem' AS "table",
-  '{column}' AS "column", CASE WHEN bad = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  '{column}' AS "column", TIMESTAMP '2024-02-01 00:00:00' AS ts, CASE WHEN bad = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
   printf('%d values of {column} not within {low} to {high}, observed %.2f to %.2f', bad, lo, hi)
     AS message,
   total, bad AS violations, lo AS observed_min, hi AS observed_max
@@ -206,7 +217,7 @@ FROM profiles""",
        COUNT(*) FILTER (WHERE o_orderstatus <> 'F') AS violations, COUNT(*) AS total_rows
 FROM orders""",
     "dq_suite_run": f"""SELECT 'lines' AS suite, 'order_present' AS test, 'lineitem' AS "table",
-  'l_orderkey' AS "column",
+  'l_orderkey' AS "column", TIMESTAMP '{CHECKED_AT}' AS ts,
   CASE WHEN COUNT(*) = COUNT(l_orderkey) THEN 'SUCCESS' ELSE 'FAILED' END AS status,
   printf('%d null in l_orderkey, rows checked: %d', COUNT(*) - COUNT(l_orderkey), COUNT(*))
     AS message,
@@ -222,14 +233,14 @@ UNION ALL
 {_BETWEEN_SQL.format(test="price_range", column="l_extendedprice", low="0", high="1e+06",
                      limit="1000000")}
 UNION ALL
-SELECT 'lines', 'not_returned', 'lineitem', 'l_returnflag',
+SELECT 'lines', 'not_returned', 'lineitem', 'l_returnflag', TIMESTAMP '{CHECKED_AT}',
   CASE WHEN COUNT(*) FILTER (WHERE l_returnflag <> 'N') = 0 THEN 'SUCCESS' ELSE 'FAILED' END,
   printf('%d values of l_returnflag differ from N, rows checked: %d',
          COUNT(*) FILTER (WHERE l_returnflag <> 'N'), COUNT(*)),
   COUNT(*), COUNT(*) FILTER (WHERE l_returnflag <> 'N'), NULL, NULL
 FROM lineitem""",
     "table_profile": "\nUNION ALL\n".join(
-        f"""SELECT '{name}' AS "table", COUNT(*) AS row_count,
+        f"""SELECT '{name}' AS "table", TIMESTAMP '{CHECKED_AT}' AS ts, COUNT(*) AS row_count,
   CAST({width} AS INTEGER) AS column_count, TRUE AS has_size FROM {name}"""
         for name, width in _TABLE_COLUMNS.items()
     ),
