@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,18 @@ KEY_BUCKETS = 65_536
 MAX_HOT_BUCKETS = 10_000
 STREAM_SALTS = 8
 
-HotBuckets = list[tuple[int, int]]
+
+@dataclass(frozen=True)
+class HotBuckets:
+    """Hash buckets of some key columns that hold more than `limit` rows, and their rows."""
+
+    keys: tuple[str, ...]
+    limit: int
+    rows: dict[int, int]
+
+    def holds(self) -> Column:
+        """True on rows whose key falls into a hot bucket."""
+        return _bucket(self.keys).isin(list(self.rows))
 
 
 def fits_broadcast(
@@ -29,15 +41,18 @@ def fits_broadcast(
 
 
 def hot_buckets(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> HotBuckets:
-    """Hash buckets of a join key that hold too many rows, with the salts each one needs.
+    """Find where keys with too many rows may be, without a shuffle by key.
 
-    Rows are counted per bucket, merged in each task: KEY_BUCKETS counts at most, whatever
-    the table's size, and these come to the driver. A bucket is hot above `hot_rows` rows
-    and above 1/MAX_HOT_BUCKETS of the table, so fewer than MAX_HOT_BUCKETS are.
+    Rows are counted per hash bucket, merged in each task: KEY_BUCKETS counts at most,
+    whatever the table's size, and these come to the driver. A bucket is hot above
+    `hot_rows` rows and above 1/MAX_HOT_BUCKETS of the table, so fewer than
+    MAX_HOT_BUCKETS are. A key with that many rows is in a hot bucket.
     """
     counted = df.groupBy(_bucket(on).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
     limit = max(hot_rows, sum(row["n"] for row in counted) // MAX_HOT_BUCKETS)
-    return [(row["bucket"], -(-row["n"] // limit)) for row in counted if row["n"] > limit]
+    return HotBuckets(
+        tuple(on), limit, {row["bucket"]: row["n"] for row in counted if row["n"] > limit}
+    )
 
 
 def sized_join(
@@ -77,9 +92,10 @@ def sized_join(
         salts = F.lit(STREAM_SALTS)
     else:
         hot = hot_buckets(left, on, hot_rows) if hot is None else hot
-        if not hot:
+        if not hot.rows:
             return left.join(right, list(on), how)
-        table = left.sparkSession.createDataFrame(hot, "_bucket int, _salts int")
+        needed = [(bucket, -(-rows // hot.limit)) for bucket, rows in hot.rows.items()]
+        table = left.sparkSession.createDataFrame(needed, "_bucket int, _salts int")
         left = _with_salts(left, on, table)
         right = _with_salts(right, on, table)
         salts = F.col("_salts")

@@ -8,20 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import quoted
+from gaugeworks.operators.joins import hot_buckets
 from gaugeworks.session import settle
 
 TARGET_SLICE_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-
-
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order, which must leave no ties.
-
-    Spark limits each group to one row in every task before the shuffle
-    (WindowGroupLimit), so a hot key costs one row per task.
-    """
-    first = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
 def upsert_latest(
@@ -33,10 +23,16 @@ def upsert_latest(
 ) -> DataFrame:
     """Current rows with later writes applied: the last write of each key wins.
 
-    Applying the same writes again changes nothing.
+    Applying the same writes again changes nothing. (ts, seq) must leave no ties. Tasks
+    keep one row per key before the shuffle, so a hot key costs one row per task.
     """
-    return latest_per_key(
-        current.unionByName(writes), keys, [F.desc(ts), F.desc(seq)]
+    columns = current.columns
+    others = F.struct(*[quoted(c) for c in columns if c not in keys])
+    newest = F.max_by(others, F.struct(quoted(ts), quoted(seq))).alias("_newest")
+    return (
+        current.unionByName(writes).groupBy(*keys).agg(newest)
+        .select(*keys, "_newest.*")
+        .select(*columns)
     )
 
 
@@ -68,7 +64,7 @@ def aspect_versions(
             .withColumn("_ahead", F.sum("_rows").over(newer_slices) - F.col("_rows"))
             .drop("_rows")
         )
-        # At most a few slices per 1/MAX_HOT_KEYS of the table, whatever its size.
+        # A slice or two per 1/MAX_HOT_BUCKETS of the table, whatever its size.
         numbered = _left_join_same(numbered, F.broadcast(ahead), groups).withColumn(
             "version", F.col("version") + F.coalesce("_ahead", F.lit(0))
         )
@@ -81,19 +77,22 @@ def _slice_hot_keys(
     """Cut keys with too many rows into consecutive slices of their (ts, seq) order.
 
     Adds one column per level of cutting; null means not cut there. A group is hot if it
-    has more than `slice_rows` rows and more than 1/MAX_HOT_KEYS of the table, so fewer
-    than MAX_HOT_KEYS can be hot at a time and their table may be broadcast. A hot group is
-    cut into parts of equal width between its first and last time, or sequence where all
-    times are equal. Parts still hot, as when times bunch up, are cut again at the next
-    level between their own first and last. Cuts are written to the shared folder, so
-    that a task that is run again sees the same ones.
+    has more than `slice_rows` rows and more than 1/MAX_HOT_BUCKETS of the table, so fewer
+    than MAX_HOT_BUCKETS can be hot at a time and their table may be broadcast. Only rows
+    in hot hash buckets are looked at per key. A hot group is cut into parts of equal width
+    between its first and last time, or sequence where all times are equal. Parts still
+    hot, as when times bunch up, are cut again at the next level between their own first
+    and last. Cuts are written to the shared folder, so that a task that is run again sees
+    the same ones.
     """
-    limit = max(slice_rows, log.count() // MAX_HOT_KEYS)
+    path: list[str] = []
+    buckets = hot_buckets(log, keys, slice_rows)
+    if not buckets.rows:
+        return log, path
     oldest = F.lit(-(2**62))
     instant = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), oldest)
     number = F.coalesce(F.col(seq).cast("bigint"), oldest)
-    path: list[str] = []
-    sliced, candidates = log, log
+    sliced, candidates = log, log.where(buckets.holds())
     while True:
         hot = settle(
             candidates.groupBy(*keys, *path)
@@ -104,9 +103,9 @@ def _slice_hot_keys(
                 F.min(number).alias("_s0"),
                 F.max(number).alias("_s1"),
             )
-            .where(F.col("_n") > limit)
+            .where(F.col("_n") > buckets.limit)
             .where((F.col("_t1") > F.col("_t0")) | (F.col("_s1") > F.col("_s0")))
-            .withColumn("_parts", F.ceil(F.col("_n") / limit))
+            .withColumn("_parts", F.ceil(F.col("_n") / buckets.limit))
             .drop("_n")
         )
         if hot.isEmpty():

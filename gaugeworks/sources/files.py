@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from gaugeworks.functions.scalars import quoted
-from gaugeworks.operators.conform import SchemaMismatch, conform_schema
+from gaugeworks.operators.conform import SchemaMismatch, conform_schema, match_names
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -16,12 +16,14 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> Data
     error. Text that is no valid value of its type becomes null.
     """
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    absent = [name for name in schema.fieldNames() if name not in raw.columns]
+    found = match_names(spark, raw.columns, schema.fieldNames())
+    absent = [name for name in schema.fieldNames() if name not in found]
     if absent:
         raise SchemaMismatch(f"{path}: no column {', '.join(absent)}")
-    return raw.select(
-        [quoted(field.name).try_cast(field.dataType).alias(field.name) for field in schema.fields]
-    )
+    return raw.select([
+        quoted(found[field.name]).try_cast(field.dataType).alias(field.name)
+        for field in schema.fields
+    ])
 
 
 def read_parquet(

@@ -71,10 +71,12 @@ def test_upsert_last_write_wins_and_repeats_change_nothing(spark):
     assert sorted(twice.collect()) == sorted(once.collect())
 
 
-def test_upsert_limits_groups_before_the_shuffle(spark):
+def test_upsert_merges_keys_before_the_shuffle(spark):
     df = spark.createDataFrame([("a", "x", "v", T0, 1)], LOG)
-    plan = upsert_latest(df, df, ["urn", "aspect"])._jdf.queryExecution().executedPlan().toString()
-    assert "row_number(), 1, Partial" in plan
+    once = upsert_latest(df, df, ["urn", "aspect"])
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and plan.count("Exchange") == 1
+    assert once.columns == df.columns
 
 
 def test_entity_page_takes_newest_of_named_aspects(spark):

@@ -91,8 +91,18 @@ def test_edges_of_the_bucket_rule(spark):
 
 
 def test_conform_orders_columns_and_names_every_problem(spark):
-    df = spark.createDataFrame([(1.0, "x", 5)], "metric_1 double, sensor_id string, ts int")
-    with pytest.raises(SchemaMismatch, match="metric_2 is missing; column ts is int"):
+    df = spark.createDataFrame([("x", "y", 5)], "metric_1 string, sensor_id string, ts int")
+    with pytest.raises(SchemaMismatch, match="metric_1 is string, expected double; column metric_2 is missing"):
         conform_schema(df, schemas.READING)
-    wide = spark.createDataFrame([("z", 3, "more")], "zone_label string, bucket int, extra string")
+    wide = spark.createDataFrame([("z", 3, "more")], "zone_label string, Bucket int, extra string")
     assert conform_schema(wide, schemas.ZONE_LOOKUP).columns == ["bucket", "zone_label"]
+    narrow = spark.createDataFrame([(3, "z")], "bucket bigint, zone_label string")
+    with pytest.raises(SchemaMismatch, match="bucket is bigint, expected int"):
+        conform_schema(narrow, schemas.ZONE_LOOKUP)
+
+
+def test_conform_widens_types(spark):
+    df = spark.createDataFrame([(7, 1, 2.5, None)], "sensor_id int, metric_1 int, metric_2 float, ts date")
+    got = conform_schema(df, schemas.READING)
+    assert got.schema == schemas.READING
+    assert tuple(got.first()) == ("7", 1.0, 2.5, None)
