@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugeworks.operators.joins import BROADCAST_ROWS, sized_join
 from gaugeworks.operators.quality import FAILED
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def alert_stream(
     changes: DataFrame, tiers: DataFrame, tier: str = "Tier1", max_rows: int = BROADCAST_ROWS
@@ -41,7 +44,7 @@ def latest_state(changes: DataFrame, ts: str = "ts", seq: str = "seq") -> DataFr
     """Newest value per (urn, aspect); on a stream, kept up to date by each micro-batch.
 
     Every task merges its rows per key before the shuffle. Nothing expires: the state
-    grows with the number of (urn, aspect) pairs, so run it on the RocksDB state store.
+    grows with the number of (urn, aspect) pairs; `run_state_to_files` keeps it off the heap.
     """
     order = F.struct(ts, seq)
     return changes.groupBy("urn", "aspect").agg(
@@ -52,22 +55,31 @@ def latest_state(changes: DataFrame, ts: str = "ts", seq: str = "seq") -> DataFr
 def run_state_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the keys each micro-batch changed to a folder of its own.
 
-    A repeated batch replaces its folder, so a restart leaves no doubles.
+    A repeated batch replaces its folder, so a restart leaves no doubles. State goes to
+    RocksDB unless the session names a state store of its own.
     """
+    conf = stream.sparkSession.conf
+    chosen = conf.get(_STATE_STORE, None)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (
+    writer = (
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)
-        .start()
     )
+    if chosen is not None:
+        return writer.start()
+    conf.set(_STATE_STORE, _ROCKSDB)  # read once, as the query starts
+    try:
+        return writer.start()
+    finally:
+        conf.unset(_STATE_STORE)
 
 
-def read_state(spark, path: str, schema: T.StructType) -> DataFrame:
+def read_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Current state from the batch folders: each key's row of its last batch."""
     names = [c for c in schema.fieldNames() if c not in ("urn", "aspect")]
     stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])

@@ -41,7 +41,11 @@ def test_state_over_several_batches_and_after_a_restart(spark, tmp_path):
 
     def run():
         state = changes.latest_state(stream(spark, tmp_path, LOG))
-        changes.run_state_to_files(state, out, progress).awaitTermination()
+        query = changes.run_state_to_files(state, out, progress)
+        query.awaitTermination()
+        used = query.lastProgress["stateOperators"][0]["customMetrics"]
+        assert any(name.startswith("rocksdb") for name in used)
+        assert spark.conf.get(changes._STATE_STORE, None) is None
         found = changes.read_state(spark, out, state.schema).collect()
         return {r.urn: (r.value, r.seq) for r in found}
 
