@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -99,9 +100,7 @@ def sized_join(
         left = _with_salts(left, on, table)
         right = _with_salts(right, on, table)
         salts = F.col("_salts")
-    # The input partition id spreads equal rows too; a task retry yields the same salt.
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]) + F.spark_partition_id()
-    left = left.withColumn("_salt", F.pmod(spread, salts).cast("int")).drop("_salts")
+    left = left.withColumn("_salt", F.pmod(_spread(left), salts).cast("int")).drop("_salts")
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
@@ -110,6 +109,21 @@ def _bucket(on: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*on), F.lit(KEY_BUCKETS)).cast("int")
 
 
+def _spread(df: DataFrame) -> Column:
+    """Number that differs between rows but not between two runs of the same task.
+
+    Floating-point values are left out: a sum that is computed again may differ in its last
+    digit. The partition id tells rows apart that are equal in all other columns.
+    """
+    steady = [
+        F.col(f"`{field.name}`")
+        for field in df.schema.fields
+        if isinstance(field.dataType, T.AtomicType)
+        and not isinstance(field.dataType, (T.FloatType, T.DoubleType))
+    ]
+    return F.xxhash64(*steady) + F.spark_partition_id()
+
+
 def _with_salts(df: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
     return (
         df.withColumn("_bucket", _bucket(on))

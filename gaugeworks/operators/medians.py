@@ -36,6 +36,8 @@ class _Target:
     def part(self) -> Column:
         """Part of the range a value falls into; halves keep the width finite."""
         start, width = self.low / 2, self.high / 2 - self.low / 2
+        if width == 0.0:  # two of the smallest numbers there are
+            return F.when(self.value() < self.high, 0).otherwise(1)
         return F.floor((self.value() / 2 - start) / width * _PARTS).cast("int")
 
 

@@ -106,7 +106,7 @@ def test_orphans_and_payload_checks(spark):
     assert pairs(got, "upstream", "downstream", "missing_end") == [
         ("a", "x", "downstream"), ("y", "b", "upstream"), ("y", "x", "both")]
     payload = spark.createDataFrame(
-        [("1", "TABLE", "s", None), ("2", "ODDITY", "s", "a"), ("3", "TABLE", "q", "zz"), ("4", None, None, "b")],
+        [("1", "TABLE", "s", None), ("2", "NOVELTY", "s", "a"), ("3", "TABLE", "q", "zz"), ("4", None, None, "b")],
         "key string, type string, data_source string, parent string")
     sources = spark.createDataFrame([("s",)], "key string")
     got = catalog.payload_checks(payload, ["TABLE"], sources, known)

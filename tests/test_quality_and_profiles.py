@@ -106,6 +106,8 @@ def test_medians_of_infinities_and_nan(spark):
     assert (got["a"], got["b"]) == (-inf, inf) and math.isnan(got["c"])
     wide = spark.createDataFrame([(-1.7e308,), (1.7e308,), (3.0,)], "a double")
     assert exact_medians(wide, ["a"], small=1) == {"a": 3.0}
+    tiny = spark.createDataFrame([(0.0,), (5e-324,), (5e-324,), (1e-323,)], "a double")
+    assert exact_medians(tiny, ["a"], small=1) == {"a": 5e-324}
 
 
 def test_column_profile_against_brute_force(spark):
