@@ -64,6 +64,7 @@ def sized_join(
     *,
     max_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
+    small: bool | None = None,
     hot: HotBuckets | None = None,
 ) -> DataFrame:
     """Equi-join of a large left side, possibly with hot keys, to a right side.
@@ -76,7 +77,8 @@ def sized_join(
 
     The right side should have few rows per key; for semi and anti joins it is made
     distinct. `how` is inner, left, left_semi or left_anti; others would see the copies.
-    Pass `hot` to reuse the counts of an unchanged left side.
+    Pass `small` where the right side is measured already, `hot` to reuse the counts of an
+    unchanged left side.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
@@ -85,7 +87,7 @@ def sized_join(
             raise TypeError(f"join column {name} has two types")
     if how in ("left_semi", "left_anti"):
         right = right.select(*on)
-    if fits_broadcast(right, max_rows):
+    if fits_broadcast(right, max_rows) if small is None else small:
         return left.join(F.broadcast(right), list(on), how)
     if how in ("left_semi", "left_anti"):
         right = right.distinct()

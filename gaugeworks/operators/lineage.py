@@ -7,7 +7,9 @@ from typing import Literal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.joins import BROADCAST_ROWS, HOT_ROWS, hot_buckets, sized_join
+from gaugeworks.operators.joins import (
+    BROADCAST_BYTES, BROADCAST_ROWS, HOT_ROWS, hot_buckets, sized_join,
+)
 from gaugeworks.session import settle
 
 TRANSFORMED = "TRANSFORMED"  # fixed value: type of an edge made by a transformation
@@ -94,18 +96,22 @@ def lineage_walk(
     steps = edges.select(F.col(here).alias("entity"), F.col(there).alias("next"))
     frontier = edges.sparkSession.range(1).select(F.lit(start).alias("entity"))
     seen = frontier.withColumn("hops", F.lit(0))
-    hot = None
+    small, hot = max_rows > 0, None
     for hop in range(1, max_hops + 1):
-        if hot is None and hop > 1 and frontier.count() > max_rows:
+        if not small and hot is None:
             hot = hot_buckets(steps, ["entity"], hot_rows)
         reached = (
-            sized_join(steps, frontier, ["entity"], "left_semi", max_rows=max_rows, hot=hot)
+            sized_join(steps, frontier, ["entity"], "left_semi", small=small, hot=hot)
             .select(F.col("next").alias("entity"))
             .where(F.col("entity").isNotNull())
             .distinct()
         )
         frontier = settle(reached.join(seen.select("entity"), "entity", "left_anti"))
-        if frontier.isEmpty():
+        size = frontier.agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("entity")).alias("bytes")
+        ).first()
+        if size["n"] == 0:
             return seen.where(F.col("hops") > 0)
+        small = size["n"] <= max_rows and size["bytes"] <= BROADCAST_BYTES
         seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
     raise ValueError(f"lineage of {start} is deeper than {max_hops} hops")

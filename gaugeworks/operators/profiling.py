@@ -50,7 +50,8 @@ def column_profile(
     the numeric columns (see `exact_medians`). With `approximate` both come from sketches
     inside the one aggregate; prefer it for wide tables.
 
-    values_count counts rows, nulls included. Missing means null or the empty string.
+    values_count counts rows, nulls included. Missing means null or the empty string. The
+    table is read several times, so pass a stored one.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]

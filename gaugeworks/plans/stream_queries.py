@@ -13,10 +13,16 @@ from gaugeworks.session import scratch_path
 from gaugeworks.streaming import changes
 
 
+BATCH_BYTES = 1024**4
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream of the events table; the pattern fits a single file and a folder of files."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    """Stream of the events table; the pattern fits a single file and a folder of files.
+
+    Micro-batches are limited in size, so that a failure repeats one of them, not the run.
+    """
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    return reader.option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{sf_dir}/events.parquet*")
 
 
 def q_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
