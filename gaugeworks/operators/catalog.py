@@ -165,7 +165,8 @@ def facet_counts(entities: DataFrame, facets: Sequence[str]) -> DataFrame:
         column = F.col(facet)
         if not isinstance(entities.schema[facet].dataType, T.ArrayType):
             column = F.array(column)
-        pairs.append(F.struct(F.lit(facet).alias("facet"), F.array_distinct(column).alias("values")))
+        values = F.array_distinct(column).alias("values")
+        pairs.append(F.struct(F.lit(facet).alias("facet"), values))
     return (
         entities.select(F.inline(F.array(*pairs)))
         .select("facet", F.explode("values").alias("value"))

@@ -13,7 +13,7 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_ROWS = 1_000_000
 KEY_BUCKETS = 65_536
-MAX_HOT_BUCKETS = 10_000
+MAX_HOT_BUCKETS = KEY_BUCKETS // 2  # a hot bucket holds more than twice the average
 STREAM_SALTS = 8
 
 
@@ -71,9 +71,9 @@ def sized_join(
 
     A right side measured as small is broadcast, and the left side is not shuffled. With
     any other, left rows in hot key buckets are spread over salts, and the right rows of
-    those buckets, one 65536th of the keys each, are repeated per salt. A left row meets
-    exactly one copy, so the result is the plain join's. The salts of all buckets add up
-    to less than 2 * MAX_HOT_BUCKETS: the right side grows by a third at most.
+    those buckets, about 1/KEY_BUCKETS of the keys each, are repeated per salt. A left row
+    meets exactly one copy, so the result is the plain join's. The salts of all buckets add
+    up to less than 2 * MAX_HOT_BUCKETS, so the right side about doubles at worst.
 
     The right side should have few rows per key; for semi and anti joins it is made
     distinct. `how` is inner, left, left_semi or left_anti; others would see the copies.

@@ -64,7 +64,7 @@ def aspect_versions(
             .withColumn("_ahead", F.sum("_rows").over(newer_slices) - F.col("_rows"))
             .drop("_rows")
         )
-        # A slice or two per 1/MAX_HOT_BUCKETS of the table, whatever its size.
+        # One row per slice of a hot key: bounded per level of cutting, whatever the table.
         numbered = _left_join_same(numbered, F.broadcast(ahead), groups).withColumn(
             "version", F.col("version") + F.coalesce("_ahead", F.lit(0))
         )
@@ -80,15 +80,16 @@ def _slice_hot_keys(
     has more than `slice_rows` rows and more than 1/MAX_HOT_BUCKETS of the table, so fewer
     than MAX_HOT_BUCKETS can be hot at a time and their table may be broadcast. Only rows
     in hot hash buckets are looked at per key. A hot group is cut into parts of equal width
-    between its first and last time, or sequence where all times are equal. Parts still
-    hot, as when times bunch up, are cut again at the next level between their own first
-    and last. Cuts are written to the shared folder, so that a task that is run again sees
-    the same ones.
+    between its first and last time, or sequence where all times are equal; there are at
+    most 4 * MAX_HOT_BUCKETS parts besides one per group. Parts still hot, as when times
+    bunch up, are cut again at the next level between their own first and last. Cuts are
+    written to the shared folder, so that a task that is run again sees the same ones.
     """
     path: list[str] = []
     buckets = hot_buckets(log, keys, slice_rows)
     if not buckets.rows:
         return log, path
+    part_rows = max(slice_rows, buckets.limit // 4)
     oldest = F.lit(-(2**62))
     instant = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), oldest)
     number = F.coalesce(F.col(seq).cast("bigint"), oldest)
@@ -105,7 +106,7 @@ def _slice_hot_keys(
             )
             .where(F.col("_n") > buckets.limit)
             .where((F.col("_t1") > F.col("_t0")) | (F.col("_s1") > F.col("_s0")))
-            .withColumn("_parts", F.ceil(F.col("_n") / buckets.limit))
+            .withColumn("_parts", F.ceil(F.col("_n") / part_rows))
             .drop("_n")
         )
         if hot.isEmpty():

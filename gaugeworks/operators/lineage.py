@@ -58,11 +58,10 @@ def column_lineage(mappings: DataFrame, edges: DataFrame | None = None) -> DataF
     `mappings` has upstream, downstream, upstream_fields, downstream_fields, operation;
     every upstream field of a mapping feeds each of its downstream fields. With `edges`,
     only mappings along a known edge are kept. That join runs before the arrays are
-    unfolded; edges are distinct by then, and a hot pair of mappings is spread.
+    unfolded, and a hot pair of mappings is spread.
     """
     if edges is not None:
-        known = edges.select("upstream", "downstream").distinct()
-        mappings = sized_join(mappings, known, ["upstream", "downstream"], "left_semi")
+        mappings = sized_join(mappings, edges, ["upstream", "downstream"], "left_semi")
     return mappings.select(
         "upstream", "downstream", F.explode("upstream_fields").alias("upstream_column"),
         "downstream_fields", "operation",
@@ -84,9 +83,9 @@ def lineage_walk(
     """All entities reachable from one entity, with the fewest hops to each.
 
     Breadth first: each round joins the newly found entities to the edges and drops those
-    seen before, so cycles end and a diamond is not walked twice. The found set is
-    written to the shared folder per round. A frontier of up to `max_rows` entities is broadcast; for a
-    larger one the edges of hot entities are salted, as one may hold a large part of all
+    seen before, so cycles end and a diamond is not walked twice. The found set is written
+    to the shared folder per round. A frontier of up to `max_rows` entities is broadcast; for
+    a larger one the edges of hot entities are salted, as one may hold a large part of all
     edges. Walks deeper than `max_hops` raise rather than return a part.
 
     Each round scans the edges, so pass a stored table.

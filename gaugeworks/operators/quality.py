@@ -100,7 +100,8 @@ def dq_not_null(df: DataFrame, column: str, table: str) -> DataFrame:
     """Status, null count and rows checked for one column."""
     rule = DqRule(f"{column}_not_null", column, NOT_NULL)
     return dq_suite_run(df, [rule], table).select(
-        "test", "status", F.col("violations").alias("null_count"), F.col("total").alias("total_rows")
+        "test", "status",
+        F.col("violations").alias("null_count"), F.col("total").alias("total_rows"),
     )
 
 

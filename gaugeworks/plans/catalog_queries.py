@@ -41,7 +41,9 @@ def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def governed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with attached fields, and suppliers and parts without any."""
-    customers = table(spark, sf_dir, "customer").select(tagged("customer", "c_custkey").alias("key"))
+    customers = table(spark, sf_dir, "customer").select(
+        tagged("customer", "c_custkey").alias("key")
+    )
     attached = catalog.governance_attach(customers, customer_changes(spark, sf_dir)).select(
         "key", F.lit("customer").alias("type"), "owner", "tier", "description"
     )
@@ -218,7 +220,8 @@ UNION ALL
 {_catalog_sql("orders", "orders", _ORDER_TYPES)}
 UNION ALL
 {_catalog_sql("nation", "nation", _NATION_TYPES)}""",
-    "entity_key": """SELECT p_partkey, 'store.' || p_type || '.' || p_brand || '.' || p_name AS dotted,
+    "entity_key": """SELECT p_partkey,
+  'store.' || p_type || '.' || p_brand || '.' || p_name AS dotted,
   'urn:li:dataset:(urn:li:dataPlatform:file,plant.' || p_type || '.' || p_name || ',PROD)' AS urn,
   'urn:li:dataJob:(urn:li:dataFlow:(spark,plant.' || p_type || ',PROD),' || p_name || ')' AS job,
   '//file/host/local/path/' || p_type || '/' || p_name AS path

@@ -111,7 +111,8 @@ ORACLE = {
        'order:' || CAST(l_orderkey AS VARCHAR) AS downstream, 'TRANSFORMED' AS type,
        l_shipdate AS ts, 'actor_' || l_linestatus AS actor
 FROM lineitem""",
-    "job_io_edges": """WITH j AS (SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS job, * FROM orders)
+    "job_io_edges": """WITH j AS (
+  SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS job, * FROM orders)
 SELECT 'customer:' || CAST(o_custkey AS VARCHAR) AS upstream, job AS downstream,
        'consumes' AS type FROM j
 UNION ALL SELECT 'priority:' || o_orderpriority, job, 'consumes' FROM j

@@ -190,7 +190,8 @@ def _sample_sql(name: str) -> str:
 
 
 _BETWEEN_SQL = """SELECT 'lines' AS suite, '{test}' AS test, 'lineitem' AS "table",
-  '{column}' AS "column", TIMESTAMP '2024-02-01 00:00:00' AS ts, CASE WHEN bad = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  '{column}' AS "column", TIMESTAMP '2024-02-01 00:00:00' AS ts,
+  CASE WHEN bad = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
   printf('%d values of {column} not within {low} to {high}, observed %.2f to %.2f', bad, lo, hi)
     AS message,
   total, bad AS violations, lo AS observed_min, hi AS observed_max
@@ -240,8 +241,8 @@ SELECT 'lines', 'not_returned', 'lineitem', 'l_returnflag', TIMESTAMP '{CHECKED_
   COUNT(*), COUNT(*) FILTER (WHERE l_returnflag <> 'N'), NULL, NULL
 FROM lineitem""",
     "table_profile": "\nUNION ALL\n".join(
-        f"""SELECT '{name}' AS "table", TIMESTAMP '{CHECKED_AT}' AS ts, COUNT(*) AS row_count,
-  CAST({width} AS INTEGER) AS column_count, TRUE AS has_size FROM {name}"""
+        f"""SELECT '{name}' AS "table", TIMESTAMP '{CHECKED_AT}' AS ts,
+  COUNT(*) AS row_count, CAST({width} AS INTEGER) AS column_count, TRUE AS has_size FROM {name}"""
         for name, width in _TABLE_COLUMNS.items()
     ),
     "column_profile": """WITH shown AS (
