@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,37 +169,34 @@ def _distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFram
 
 
 def column_sample_values(
-    df: DataFrame, n: int, columns: Sequence[str] | None = None, probe_rows: int = 10_000
+    df: DataFrame, n: int, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """The n smallest distinct values of each column, compared as text.
+    """The n smallest distinct values of each column, shown as text.
 
-    Any subset's n-th smallest value bounds the whole column's from above. A short probe
-    yields that bound per column, and the full pass then drops nearly all rows before
-    anything is shuffled. A probe without n values gives no bound; the result is the same.
+    Meant for a few values: each is the minimum above the one before, found for all columns
+    in one global aggregate. That is n scans, of the columns that still have values, and no
+    shuffle of values at all; only the samples themselves reach the driver. Columns of
+    other than plain types, and binary ones, are compared as text.
     """
-    names = list(columns or df.columns)
-    texts = [quoted(name).cast("string") for name in names]
-    probe = df.limit(probe_rows).agg(*[
-        F.get(F.sort_array(F.collect_set(text)), n - 1).alias(f"b{i}")
-        for i, text in enumerate(texts)
-    ]).first()
-    entries = []
-    for i, (name, text) in enumerate(zip(names, texts)):
-        wanted = text.isNotNull()
-        if probe[f"b{i}"] is not None:
-            wanted = wanted & (text <= probe[f"b{i}"])
-        entries.append(
-            F.when(wanted, F.struct(F.lit(name).alias("column"), text.alias("value")))
-        )
-    distinct = (
-        df.select(F.inline(F.array(*entries))).where(F.col("column").isNotNull()).distinct()
-    )
-    order = Window.partitionBy("column").orderBy("value")
-    return (
-        distinct.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= n)
-        .select("column", "rank", "value")
-    )
+    last: dict[str, str | None] = dict.fromkeys(columns or df.columns)
+    samples = []
+    for rank in range(1, n + 1):
+        above = []
+        for i, (name, value) in enumerate(last.items()):
+            kind, column = df.schema[name].dataType, quoted(name)
+            if isinstance(kind, T.BinaryType):
+                kind, column = T.StringType(), F.hex(column)
+            elif not isinstance(kind, T.AtomicType):
+                kind, column = T.StringType(), column.cast("string")
+            if value is not None:
+                column = F.when(column > F.lit(value).cast(kind), column)
+            above.append(F.min(column).cast("string").alias(f"v{i}"))
+        found = dict(zip(last, df.agg(*above).first()))
+        last = {name: value for name, value in found.items() if value is not None}
+        samples += [(name, rank, value) for name, value in last.items()]
+        if not last:
+            break
+    return df.sparkSession.createDataFrame(samples, "column string, rank int, value string")
 
 
 def sample_rows(df: DataFrame, n: int, order: Sequence[str] | None = None) -> DataFrame:

@@ -183,10 +183,11 @@ def _column_sql(name: str, numeric: bool) -> str:
 
 
 def _sample_sql(name: str) -> str:
-    return f"""SELECT '{name}' AS "column", CAST(rank AS INTEGER) AS rank, value FROM (
-  SELECT value, ROW_NUMBER() OVER (ORDER BY value) AS rank FROM (
-    SELECT DISTINCT CAST({name} AS VARCHAR) AS value FROM lineitem)
-  WHERE value IS NOT NULL) WHERE rank <= 3"""
+    return f"""SELECT '{name}' AS "column", CAST(rank AS INTEGER) AS rank,
+  CAST(value AS VARCHAR) AS value FROM (
+    SELECT value, ROW_NUMBER() OVER (ORDER BY value) AS rank
+    FROM (SELECT DISTINCT {name} AS value FROM lineitem) WHERE value IS NOT NULL)
+WHERE rank <= 3"""
 
 
 _BETWEEN_SQL = """SELECT 'lines' AS suite, '{test}' AS test, 'lineitem' AS "table",

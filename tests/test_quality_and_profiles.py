@@ -135,14 +135,28 @@ def test_table_profile_counts_files(spark, tmp_path):
     assert (row.row_count, row.column_count, row.size_in_bytes) == (1000, 1, stored)
 
 
-@pytest.mark.parametrize("probe_rows", [1, 50, 10_000])
-def test_sample_values_do_not_depend_on_the_probe(spark, probe_rows):
-    rnd = random.Random(1)
+@pytest.mark.parametrize("n", [1, 3, 20])
+def test_sample_values_match_brute_force(spark, n):
+    rnd = random.Random(n)
     rows = [(f"k{rnd.randrange(500):03}", rnd.choice(["x", "y", None])) for _ in range(3000)]
     df = spark.createDataFrame(rows, "a string, b string").repartition(5)
-    got = [(r.column, r["rank"], r.value) for r in column_sample_values(df, 3, probe_rows=probe_rows).collect()]
-    want = [("a", i + 1, v) for i, v in enumerate(sorted({r[0] for r in rows})[:3])]
-    assert sorted(got) == want + [("b", 1, "x"), ("b", 2, "y")]
+    got = [(r.column, r["rank"], r.value) for r in column_sample_values(df, n).collect()]
+    want = [("a", i + 1, v) for i, v in enumerate(sorted({r[0] for r in rows})[:n])]
+    assert sorted(got) == want + [("b", 1, "x"), ("b", 2, "y")][:n]
+
+
+def test_sample_values_follow_the_type(spark):
+    df = spark.createDataFrame(
+        [(10, -0.5, datetime(2024, 1, 2), True, [2]), (9, math.nan, datetime(2023, 1, 2), None, [1]),
+         (10, 1e-7, None, True, [1])],
+        "i int, d double, t timestamp_ntz, b boolean, a array<int>")
+    got = {}
+    for r in column_sample_values(df, 4).orderBy("rank").collect():
+        got.setdefault(r.column, []).append(r.value)
+    assert got == {
+        "i": ["9", "10"], "d": ["-0.5", "1.0E-7", "NaN"], "b": ["true"], "a": ["[1]", "[2]"],
+        "t": ["2023-01-02 00:00:00", "2024-01-02 00:00:00"],
+    }
 
 
 def test_sample_rows_and_payload(spark):
