@@ -26,9 +26,9 @@ ORDER_SLIP = T.StructType([
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    """Averages to six digits: engines add doubles in different orders."""
+    """Averages to nine digits: engines add doubles in different orders."""
     return df.select([
-        F.round(c, 6).alias(c) if c.startswith("avg_") else F.col(c) for c in df.columns
+        F.round(c, 9).alias(c) if c.startswith("avg_") else F.col(c) for c in df.columns
     ])
 
 
@@ -184,13 +184,13 @@ QUERIES = {
 _SLIP_SQL = "SELECT o_totalprice, o_orderkey, o_orderpriority FROM orders"
 
 _PROFILES_OUT = f"""WITH {PROFILES_SQL}
-SELECT sensor_id, ROUND(avg_metric_1, 6) AS avg_metric_1,
-       ROUND(avg_metric_2, 6) AS avg_metric_2, CAST(confidence AS DOUBLE) AS confidence
+SELECT sensor_id, ROUND(avg_metric_1, 9) AS avg_metric_1,
+       ROUND(avg_metric_2, 9) AS avg_metric_2, CAST(confidence AS DOUBLE) AS confidence
 FROM profiles"""
 
 _ENRICHED_OUT = f"""WITH {ENRICHED_SQL}
-SELECT sensor_id, ROUND(avg_metric_1, 6) AS avg_metric_1,
-       ROUND(avg_metric_2, 6) AS avg_metric_2, zone_label
+SELECT sensor_id, ROUND(avg_metric_1, 9) AS avg_metric_1,
+       ROUND(avg_metric_2, 9) AS avg_metric_2, zone_label
 FROM enriched"""
 
 ORACLE = {
@@ -201,15 +201,15 @@ ORACLE = {
 SELECT sensor_id, ROUND(metric_1, 6) AS metric_1, metric_2
 FROM readings WHERE sensor_id IS NOT NULL AND sensor_id <> ''""",
     "group_average": f"""WITH {READINGS_SQL}
-SELECT sensor_id, ROUND(AVG(metric_1), 6) AS avg_metric_1,
-       ROUND(AVG(metric_2), 6) AS avg_metric_2
+SELECT sensor_id, ROUND(AVG(metric_1), 9) AS avg_metric_1,
+       ROUND(AVG(metric_2), 9) AS avg_metric_2
 FROM readings GROUP BY sensor_id""",
     "confidence_score": f"""WITH {READINGS_SQL}
 SELECT sensor_id, CAST(COUNT(*) / 100.0 AS DOUBLE) AS confidence
 FROM readings GROUP BY sensor_id""",
     "label_by_bucket": f"""WITH {ENRICHED_SQL}
-SELECT sensor_id, ROUND(avg_metric_1, 6) AS avg_metric_1,
-       ROUND(avg_metric_2, 6) AS avg_metric_2, CAST(confidence AS DOUBLE) AS confidence,
+SELECT sensor_id, ROUND(avg_metric_1, 9) AS avg_metric_1,
+       ROUND(avg_metric_2, 9) AS avg_metric_2, CAST(confidence AS DOUBLE) AS confidence,
        zones.zone_label
 FROM profiles LEFT JOIN zones ON CAST(FLOOR(avg_metric_1) AS INTEGER) = bucket""",
     "default_label": f"WITH {ENRICHED_SQL} SELECT sensor_id, zone_label FROM enriched",
