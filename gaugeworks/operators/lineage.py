@@ -13,6 +13,7 @@ from gaugeworks.operators.joins import (
 from gaugeworks.session import settle
 
 TRANSFORMED = "TRANSFORMED"  # fixed value: type of an edge made by a transformation
+FILTER_KEYS = 1_000
 
 
 def lineage_edges(inputs: DataFrame) -> DataFrame:
@@ -84,33 +85,37 @@ def lineage_walk(
 
     Breadth first: each round joins the newly found entities to the edges and drops those
     seen before, so cycles end and a diamond is not walked twice. The found set is written
-    to the shared folder per round. A frontier of up to `max_rows` entities is broadcast; for
-    a larger one the edges of hot entities are salted, as one may hold a large part of all
-    edges. Walks deeper than `max_hops` raise rather than return a part.
+    to the shared folder per round. A frontier of up to `FILTER_KEYS` entities becomes a
+    filter the scan can use to skip files and row groups, one of up to `max_rows` is
+    broadcast; for a larger one the edges of hot entities are salted, as one may hold a
+    large part of all edges. Walks deeper than `max_hops` raise rather than return a part.
 
     Each round scans the edges, so pass a stored table.
     """
     here, there = ("downstream", "upstream") if direction == "upstream" else (
         "upstream", "downstream")
     steps = edges.select(F.col(here).alias("entity"), F.col(there).alias("next"))
-    frontier = edges.sparkSession.range(1).select(F.lit(start).alias("entity"))
-    seen = frontier.withColumn("hops", F.lit(0))
-    small, hot = max_rows > 0, None
+    found = edges.sparkSession.range(1).select(F.lit(start).alias("entity"))
+    seen = found.withColumn("hops", F.lit(0))
+    rows, size, hot = 1, len(start.encode()), None
     for hop in range(1, max_hops + 1):
-        if not small and hot is None:
-            hot = hot_buckets(steps, ["entity"], hot_rows)
-        reached = (
-            sized_join(steps, frontier, ["entity"], "left_semi", small=small, hot=hot)
-            .select(F.col("next").alias("entity"))
-            .where(F.col("entity").isNotNull())
-            .distinct()
+        if rows <= min(FILTER_KEYS, max_rows):
+            keys = [row["entity"] for row in found.collect()]
+            matched = steps.where(F.col("entity").isin(keys))
+        else:
+            small = rows <= max_rows and size <= BROADCAST_BYTES
+            if not small and hot is None:
+                hot = hot_buckets(steps, ["entity"], hot_rows)
+            matched = sized_join(steps, found, ["entity"], "left_semi", small=small, hot=hot)
+        reached = matched.select(F.col("next").alias("entity")).where("entity IS NOT NULL")
+        found = settle(
+            reached.distinct().join(seen.select("entity"), "entity", "left_anti")
         )
-        frontier = settle(reached.join(seen.select("entity"), "entity", "left_anti"))
-        size = frontier.agg(
+        measured = found.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("entity")).alias("bytes")
         ).first()
-        if size["n"] == 0:
+        rows, size = measured["n"], measured["bytes"]
+        if rows == 0:
             return seen.where(F.col("hops") > 0)
-        small = size["n"] <= max_rows and size["bytes"] <= BROADCAST_BYTES
-        seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
+        seen = seen.unionByName(found.withColumn("hops", F.lit(hop)))
     raise ValueError(f"lineage of {start} is deeper than {max_hops} hops")

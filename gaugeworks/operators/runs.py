@@ -3,30 +3,44 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gaugeworks import schemas
 from gaugeworks.sources.files import write_parquet_overwrite
 
 
-def write_recorded(df: DataFrame, path: str, job: str, runs_path: str) -> DataFrame:
+def write_recorded(
+    df: DataFrame,
+    path: str,
+    job: str,
+    runs_path: str,
+    counts: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Write a table and append a run record; returns the record as one row.
 
-    Rows are counted by the write itself. The observation sits in the last stage, where
-    Spark counts each partition once however often its task was tried. A failed write
-    is recorded too, then raised again.
+    Rows are counted by the write itself, and so are further outcomes: `counts` maps their
+    names to aggregates, and both appear in the reason. The observation sits in the last
+    stage, where Spark counts each partition once however often its task was tried. A
+    failed write is recorded too, then raised again.
     """
+    counts = dict(counts or {})
     spark = df.sparkSession
     seen = Observation()
     started = datetime.now(timezone.utc)
     status, reason, rows, failure = "SUCCESS", None, None, None
     try:
-        write_parquet_overwrite(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+        outcomes = [c.alias(f"outcome_{i}") for i, c in enumerate(counts.values())]
+        observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), *outcomes)
+        write_parquet_overwrite(observed, path)
         rows = seen.get["rows"]
-        reason = f"Wrote {rows} rows."
+        reason = ", ".join(
+            [f"Wrote {rows} rows"]
+            + [f"{seen.get[f'outcome_{i}']} {name}" for i, name in enumerate(counts)]
+        ) + "."
     except Exception as error:  # recorded, then raised below
         status, reason, failure = "FAILED", f"{type(error).__name__}: {error}"[:500], error
     record = spark.createDataFrame(

@@ -11,6 +11,7 @@ from gaugeworks import schemas
 from gaugeworks.functions.scalars import floor_bucket, has_text, or_default, share_of
 from gaugeworks.operators.conform import conform_schema
 from gaugeworks.operators.joins import sized_join
+from gaugeworks.operators.quality import dq_equal_to
 
 # Readings that make a confidence of 1, and the label of unmatched sensors.
 FULL_CONFIDENCE_READINGS = 100.0
@@ -73,6 +74,15 @@ def zoned_profiles(profiles: DataFrame, lookup: DataFrame) -> DataFrame:
     return conform_schema(default_label(labelled, "zone_label"), schemas.ENRICHED_PROFILE)
 
 
+def lookup_check(lookup: DataFrame) -> DataFrame:
+    """Rule result: each bucket is listed once. A violation is a bucket listed more often.
+
+    Repeated buckets multiply rows in `label_by_bucket`, so check a lookup before use.
+    """
+    listings = lookup.groupBy("bucket").agg(F.count(F.lit(1)).alias("listings"))
+    return dq_equal_to(listings, "listings", 1, "zone_lookup")
+
+
 def outcome_count(df: DataFrame, column: str, outcome: str) -> DataFrame:
     """How many rows took an outcome, and out of how many."""
     return df.agg(

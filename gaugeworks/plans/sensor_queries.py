@@ -155,7 +155,10 @@ def q_job_run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = _profiles(spark, sf_dir)
     write_recorded(profiles, scratch_path(spark, "profiles"), "build_sensor_profiles", runs)
     labelled = sensors.zoned_profiles(profiles, zone_lookup(spark))
-    write_recorded(labelled, scratch_path(spark, "enriched"), "enrich_with_zone_label", runs)
+    write_recorded(
+        labelled, scratch_path(spark, "enriched"), "enrich_with_zone_label", runs,
+        {"unknown labels": F.count_if(F.col("zone_label") == sensors.UNMATCHED_LABEL)},
+    )
     return read_parquet(spark, runs, schemas.JOB_RUN).select(
         "job", "status", "status_reason", "rows_written",
         (F.col("start_time") <= F.col("end_time")).alias("in_order"),
@@ -230,5 +233,7 @@ SELECT 'build_sensor_profiles' AS job, 'SUCCESS' AS status,
        COUNT(*) AS rows_written, TRUE AS in_order FROM profiles
 UNION ALL
 SELECT 'enrich_with_zone_label', 'SUCCESS',
-       'Wrote ' || CAST(COUNT(*) AS VARCHAR) || ' rows.', COUNT(*), TRUE FROM enriched""",
+       'Wrote ' || CAST(COUNT(*) AS VARCHAR) || ' rows, ' ||
+       CAST(COUNT(*) FILTER (WHERE zone_label = 'unknown') AS VARCHAR) || ' unknown labels.',
+       COUNT(*), TRUE FROM enriched""",
 }

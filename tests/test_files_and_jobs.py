@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks import __main__ as cli
 from gaugeworks import schemas
@@ -74,12 +75,15 @@ def test_command_line_needs_every_option(capsys):
 
 def test_run_records_success_and_failure(spark, tmp_path):
     runs = str(tmp_path / "runs")
-    write_recorded(spark.range(1000).repartition(4), str(tmp_path / "good"), "good", runs)
+    write_recorded(
+        spark.range(1000).repartition(4), str(tmp_path / "good"), "good", runs,
+        {"even ids": F.count_if(F.col("id") % 2 == 0), "ids over 2000": F.count_if(F.col("id") > 2000)},
+    )
     broken = spark.range(10).selectExpr("raise_error('no such reading') AS x")
     with pytest.raises(Exception, match="no such reading"):
         write_recorded(broken, str(tmp_path / "bad"), "bad", runs)
     got = {r.job: r for r in spark.read.parquet(runs).collect()}
     assert (got["good"].status, got["good"].rows_written, got["good"].status_reason) == (
-        "SUCCESS", 1000, "Wrote 1000 rows.")
+        "SUCCESS", 1000, "Wrote 1000 rows, 500 even ids, 0 ids over 2000.")
     assert got["good"].start_time <= got["good"].end_time
     assert got["bad"].status == "FAILED" and got["bad"].rows_written is None

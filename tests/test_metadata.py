@@ -119,8 +119,9 @@ EDGES = [("raw", "profiles"), ("profiles", "enriched"), ("lookup", "enriched"),
          ("enriched", "board"), ("board", "raw"), ("raw", "enriched"), ("other", None)]
 
 
-@pytest.mark.parametrize("max_rows, hot_rows", [(100, 100), (0, 1)])
-def test_walk_with_cycle_and_shortcut(spark, max_rows, hot_rows):
+@pytest.mark.parametrize("filter_keys, max_rows, hot_rows", [(9, 99, 99), (0, 99, 99), (0, 0, 1)])
+def test_walk_with_cycle_and_shortcut(spark, monkeypatch, filter_keys, max_rows, hot_rows):
+    monkeypatch.setattr(lineage, "FILTER_KEYS", filter_keys)
     edges = spark.createDataFrame(EDGES, "upstream string, downstream string")
     sizes = {"max_rows": max_rows, "hot_rows": hot_rows}
     down = lineage.lineage_walk(edges, "raw", "downstream", **sizes)
