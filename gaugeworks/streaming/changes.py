@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,10 +81,18 @@ def run_state_to_files(stream: DataFrame, path: str, checkpoint: str) -> Streami
 
 
 def read_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Current state from the batch folders: each key's row of its last batch."""
+    """Current state from the batch folders: each key's row of its last batch.
+
+    Empty, with the given columns, before the first batch.
+    """
     names = [c for c in schema.fieldNames() if c not in ("urn", "aspect")]
     stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    written = spark.read.schema(stored).parquet(path)
+    try:
+        written = spark.read.schema(stored).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        written = spark.createDataFrame([], stored)
     return (
         written.groupBy("urn", "aspect")
         .agg(F.max_by(F.struct(*names), F.col("batch")).alias("newest"))

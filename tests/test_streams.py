@@ -49,6 +49,8 @@ def test_state_over_several_batches_and_after_a_restart(spark, tmp_path):
         found = changes.read_state(spark, out, state.schema).collect()
         return {r.urn: (r.value, r.seq) for r in found}
 
+    state_schema = changes.latest_state(spark.createDataFrame([], LOG)).schema
+    assert changes.read_state(spark, out, state_schema).isEmpty()
     assert run() == {"a": ("3", 3), "b": ("2", 2)}
     spark.createDataFrame([("a", "x", "9", T0 + timedelta(days=2), 9)], LOG).coalesce(1).write.parquet(
         str(tmp_path / "in9"))
