@@ -23,11 +23,15 @@ def tagged(kind: str, column: str) -> Column:
 
 
 def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Governance changes from orders; each order sets some fields of its customer."""
+    """Governance changes from orders; each order sets some fields of its customer.
+
+    The order's priority is the name of the column concerned, for changes per column.
+    """
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     order = F.col("o_orderkey").cast("string")
     return table(spark, sf_dir, "orders").select(
         tagged("customer", "o_custkey").alias("key"),
+        priority.alias("name"),
         F.when(status == "F", F.concat(F.lit("team "), priority)).alias("owner"),
         F.when(status == "P", F.concat(F.lit("Tier"), F.substring("o_orderpriority", 1, 1)))
         .alias("tier"),
@@ -93,8 +97,15 @@ def q_governance_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
         tagged("customer", "c_custkey").alias("key"),
         F.lit("unassigned").alias("domain"),
     )
-    attached = catalog.governance_attach(customers, customer_changes(spark, sf_dir))
-    return attached.select("key", *GOVERNANCE_FIELDS)
+    changes = customer_changes(spark, sf_dir)
+    entities = catalog.governance_attach(customers, changes)
+    columns = catalog.governance_attach(
+        changes.select("key", "name").distinct(), changes, ("key", "name")
+    )
+    shown = ["key", "name", *GOVERNANCE_FIELDS]
+    return entities.withColumn("name", F.lit(None).cast("string")).select(shown).unionByName(
+        columns.select(shown)
+    )
 
 
 def q_entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +203,8 @@ def _catalog_sql(key: str, source: str, types: dict[str, str]) -> str:
 
 
 CHANGES_SQL = """changes AS (
-  SELECT 'customer:' || CAST(o_custkey AS VARCHAR) AS key, o_orderdate AS ts, o_orderkey AS seq,
+  SELECT 'customer:' || CAST(o_custkey AS VARCHAR) AS key, o_orderpriority AS name,
+    o_orderdate AS ts, o_orderkey AS seq,
     CASE WHEN o_orderstatus = 'F' THEN 'team ' || o_orderpriority END AS owner,
     CASE WHEN o_orderstatus = 'P' THEN 'Tier' || SUBSTRING(o_orderpriority, 1, 1) END AS tier,
     CASE WHEN o_orderpriority = '5-LOW' THEN 'sales' END AS domain,
@@ -227,13 +239,19 @@ UNION ALL
   '//file/host/local/path/' || p_type || '/' || p_name AS path
 FROM part""",
     "governance_attach": f"""WITH {CHANGES_SQL}
-SELECT 'customer:' || CAST(c_custkey AS VARCHAR) AS key, owner, tier,
-       COALESCE(domain, 'unassigned') AS domain, term, description
+SELECT 'customer:' || CAST(c_custkey AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS name,
+       owner, tier, COALESCE(domain, 'unassigned') AS domain, term, description
 FROM customer
 """ + "\n".join(
         f"LEFT JOIN new_{f} ON new_{f}.key = 'customer:' || CAST(c_custkey AS VARCHAR)"
         for f in GOVERNANCE_FIELDS
-    ),
+    ) + """
+UNION ALL
+SELECT key, name, """ + ", ".join(
+        f"ARG_MAX({f}, ROW(ts, seq)) FILTER (WHERE {f} IS NOT NULL) AS {f}"
+        for f in GOVERNANCE_FIELDS
+    ) + """
+FROM changes GROUP BY key, name""",
     "entity_lookup": """WITH asked AS (
   SELECT p_name AS name FROM part UNION SELECT p_brand FROM part UNION SELECT p_type FROM part)
 SELECT name, MIN('part:' || CAST(p_partkey AS VARCHAR)) AS key
