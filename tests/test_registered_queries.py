@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from gaugeworks.plans.registry import ORACLE, QUERIES
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 TABLES = [
@@ -35,12 +36,12 @@ def rows(columns, tuples):
     return sorted(repr(tuple(row[i] for i in order)) for row in tuples)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, duck, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [operator for operator in FORBIDDEN if operator in plan]
-    cursor = duck.execute(oracle_sql()[name])
+    cursor = duck.execute(ORACLE[name])
     columns = [d[0] for d in cursor.description]
     want = cursor.fetchall()
     assert sorted(df.columns) == sorted(columns)
