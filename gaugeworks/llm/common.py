@@ -85,3 +85,13 @@ def as_uint64(array: pa.Array) -> np.ndarray:
 def long_id(df: DataFrame, name: str) -> Column:
     """An id column as a long."""
     return F.col(f"`{name}`").cast(T.LongType())
+
+
+def draw_of(*columns: str) -> Column:
+    """Hash of columns as a number in [0, 2**53)."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11)
+
+
+def drawn(share: float, *columns: str) -> Column:
+    """True on about that share of the rows: those whose columns hash smallest."""
+    return F.lit(True) if share >= 1 else draw_of(*columns) < F.lit(int(share * (1 << 53)))

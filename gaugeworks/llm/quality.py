@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import encoded, long_id, ship_package, slices, table
+from gaugeworks.llm.common import draw_of, drawn, encoded, long_id, ship_package, slices, table
 from gaugeworks.session import settle
 
 FEATURE_BITS = 18
@@ -123,10 +123,9 @@ def fit_quality(
         F.col("id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("id"))
     )
     known = known.groupBy("id").agg(F.min("quality").alias("quality"))
-    known = settle(known.withColumn("draw", F.shiftrightunsigned(F.xxhash64("id"), 1)))
+    known = settle(known.withColumn("draw", draw_of("id")))
     count = known.count()
-    if count > max_rows:
-        known = known.where(F.col("draw") < F.lit(int(max_rows / count * (1 << 63))))
+    known = known.where(drawn(max_rows / max(1, count), "id"))
     learners = max(1, min(LEARNERS, count // 500))
     chosen = docs.select(long_id(docs, "doc_id").alias("id"), "text").join(F.broadcast(known), "id")
     chosen = chosen.withColumn("learner", F.col("draw") % learners)
