@@ -1,8 +1,10 @@
 """The corpus operators' queries and checking SQL."""
 
-from gaugeworks.llm import bpe, embeddings, mixing, quality, simhash, substrings, token_files
+from gaugeworks.llm import (
+    bpe, embeddings, mixing, quality, simhash, sketches, substrings, token_files,
+)
 
-_MODULES = [simhash, embeddings, token_files, substrings, bpe, quality, mixing]
+_MODULES = [simhash, embeddings, token_files, substrings, bpe, quality, sketches, mixing]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
