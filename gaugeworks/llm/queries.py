@@ -1,10 +1,14 @@
 """The corpus operators' queries and checking SQL."""
 
 from gaugeworks.llm import (
-    bpe, embeddings, mixing, quality, simhash, sketches, substrings, token_files,
+    bpe, embeddings, licences, mixing, quality, simhash, sketches, substrings, token_files,
+    token_rollup,
 )
 
-_MODULES = [simhash, embeddings, token_files, substrings, bpe, quality, sketches, mixing]
+_MODULES = [
+    token_rollup, simhash, embeddings, token_files, substrings, bpe, quality, sketches, licences,
+    mixing,
+]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
