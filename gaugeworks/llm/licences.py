@@ -102,9 +102,13 @@ def canonical_lines(text: Column) -> Column:
     # Words stand between two blanks on either side, so that neighbours can both be replaced.
     words = F.regexp_replace(stated, r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", "    ")
     spaced = F.concat(F.lit("  "), F.replace(words, F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
+    respelled = spaced
     for spelling, usual in EQUIVALENTS:
         pair = (f"  {'    '.join(part.split())}  " for part in (spelling, usual))
-        spaced = F.replace(spaced, *map(F.lit, pair))
+        respelled = F.replace(respelled, *map(F.lit, pair))
+    # Few texts hold any of these words; the others are spared a copy for each.
+    firsts = "|".join(sorted({spelling.split()[0] for spelling, _ in EQUIVALENTS}))
+    spaced = F.when(spaced.rlike(f"  (?:{firsts})  "), respelled).otherwise(spaced)
     return F.transform(F.split(spaced, "\n"), lambda line: F.trim(F.regexp_replace(line, " +", " ")))
 
 
