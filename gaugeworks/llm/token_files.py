@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
-from gaugeworks.llm.common import draw_of, drawn, long_id, partitions_for, ship_package, slices, table, text_bytes
+from gaugeworks.llm.common import draw_of, drawn, long_id, partitions_for, ship_package, slices, table
 from gaugeworks.operators.joins import sized_join
 from gaugeworks.session import scratch_path
 
@@ -29,40 +31,80 @@ DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
 SHARD_BYTES = 1 << 20
 KNOWN_PIECES = 300_000
+KNOWN_WORDS = 500_000
+_ENDS = frozenset(".,;:!?")
+_SPACES = re.compile(r" (?:\s|$)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters for themselves, the other bytes, in order, from code point 256 on."""
+    printable = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Pieces(dict):
+    """Ids of pre-tokens, from the library's model; the first ones met are kept."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+        if len(self) < KNOWN_PIECES:
+            self[piece] = ids
+        return ids
+
+
+class _Words(dict):
+    """Ids of words led by a space."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(self) < KNOWN_WORDS:
+            self[word] = ids
+        return ids
 
 
 class PieceEncoder:
     """A byte-level BPE file of the tokenizers library, one pre-token at a time.
 
-    Merges never cross pre-tokens, so a text's ids are those of its pre-tokens; each
-    distinct one is encoded by the library once and kept, up to a bound.
+    Merges never cross pre-tokens, so a text's ids are those of its pre-tokens, which the
+    library's model encodes. A pre-token always begins at a space before anything but white
+    space, so words between single spaces are encoded apart too. Ids of words and pre-tokens
+    met before are kept, up to a bound.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         space = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pattern = regex.compile(space)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        encoded = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4")
-        words = np.array(encoded.word_ids, np.int64)
-        edges = np.searchsorted(words, np.arange(len(pieces) + 1)).tolist()
-        raw = ids.tobytes()
-        for piece, a, b in zip(pieces, edges, edges[1:], strict=False):
-            self.known[piece] = raw[4 * a : 4 * b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        split = [self.pattern.findall(text) for text in texts]
-        new = {piece for pieces in split for piece in pieces if piece not in self.known}
-        if new:
-            self.learn(sorted(new))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        self.pieces = _Pieces(Tokenizer.from_file(path).model)
+        self.words = _Words(self.encode_word)
+
+    def encode_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
+    def encode_word(self, word: str) -> bytes:
+        """Ids of a word led by a space; letters alone, or with one mark behind, need no pattern."""
+        if word.isalpha():
+            return self.pieces[" " + word]
+        if word[-1:] in _ENDS and word[:-1].isalpha():
+            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
+        return self.encode_pieces(" " + word)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        if _SPACES.search(text):
+            return self.encode_pieces(text)
+        first, *others = text.split(" ")
+        return self.encode_pieces(first) + b"".join(map(self.words.__getitem__, others))
 
 
 @cache
@@ -82,17 +124,16 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def fit_dictionary(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> bytes:
-    """Train on a bounded sample, the documents whose ids hash smallest, and write the
-    dictionary with its hash below `path`; returns it."""
+def fit_dictionary(docs: DataFrame, count: int, path: str, tokenizer: str = TOKENIZER) -> bytes:
+    """Train on a bounded sample, the documents whose ids hash smallest of `count`, and write
+    the dictionary with its hash below `path`; returns it."""
     spark = docs.sparkSession
-    count = docs.count()
     docs = docs.where(drawn(SAMPLE_DOCS / max(1, count), "id", "mark"))
 
     def train(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("draw").to_numpy(), kind="stable")
         texts = group.column("text").take(pa.array(order))
-        samples = [raw[:SAMPLE_BYTES] for t in texts for raw in encoder(tokenizer).encode([t.as_py()])]
+        samples = [encoder(tokenizer).encode(t.as_py())[:SAMPLE_BYTES] for t in texts]
         return pa.table([pa.array([train_dictionary([s for s in samples if s])], pa.binary())], ["dictionary"])
 
     sampled = docs.select(draw_of("id", "mark").alias("draw"), "text", F.lit(0).alias("all")).groupBy("all").applyInArrow(train, "dictionary binary")
@@ -123,10 +164,11 @@ def write_token_files(
     docs = df.select(
         long_id(df, id_column).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     ).withColumn("mark", F.xxhash64("text"))
-    raw = fit_dictionary(docs, path, tokenizer)
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    raw = fit_dictionary(docs, size["n"], path, tokenizer)
     name = hashlib.sha256(raw).hexdigest()
     end = np.array([end_id], "<u4").tobytes()
-    parts = partitions_for(spark, text_bytes(docs), 64 << 20)
+    parts = partitions_for(spark, size["bytes"] or 0, 64 << 20)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
@@ -147,7 +189,8 @@ def write_token_files(
             )
 
         for batch in slices(batches, "text", 256):
-            for own, line in zip(batch.column(0).to_pylist(), made.encode(batch.column(1).to_pylist()), strict=True):
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                line = made.encode(text)
                 frame = press.compress(line + end)
                 held.append(frame)
                 ids.append(own)

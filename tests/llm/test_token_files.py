@@ -30,8 +30,9 @@ def test_pieces_match_the_library():
     library.encode_special_tokens = True
     texts = ["a'll b   x \u0085y\x1cz", "漢字 12 ３٣ 🙂🙂", "<|endoftext|> x", " \n\n\t x", "'re're 'S", "", "é é"]
     own = F.PieceEncoder(F.TOKENIZER)
-    for text, raw in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    texts += ["a b  c", "x ", " x", "  x", "a \n b", "one two\nthree four", "a \u00a0b", "it's we'll x'S", " ", "y \x1c z"]
+    for text in texts + texts:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("shard_bytes", [1, 300, 1 << 20])
