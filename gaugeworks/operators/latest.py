@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions.scalars import quoted
 from gaugeworks.operators.joins import hot_buckets
@@ -91,7 +92,7 @@ def _slice_hot_keys(
         return log, path
     part_rows = max(slice_rows, buckets.limit // 4)
     oldest = F.lit(-(2**62))
-    instant = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), oldest)
+    instant = F.coalesce(_micros(ts, log.schema[ts].dataType), oldest)
     number = F.coalesce(F.col(seq).cast("bigint"), oldest)
     sliced, candidates = log, log.where(buckets.holds())
     while True:
@@ -124,6 +125,16 @@ def _slice_hot_keys(
         candidates = sliced.where(F.col(level).isNotNull())
 
 
+def _micros(ts: str, kind: T.DataType) -> Column:
+    """Time as microseconds that grow with it; wall-clock times are not read in a zone."""
+    if not isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.col(ts).cast("timestamp"))
+    days = F.unix_date(F.col(ts).cast("date")).cast("bigint")
+    minutes = days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    seconds = F.extract(F.lit("SECOND"), F.col(ts)).cast("decimal(8,6)")
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+
+
 def _part(value: Column, low: str, high: str) -> Column:
     """Number of the part a value falls into: 0 at low, _parts at high, never falling between."""
     first, last = F.col(low).cast("double"), F.col(high).cast("double")
@@ -141,11 +152,21 @@ def _left_join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def entity_page(
-    log: DataFrame, aspects: Sequence[str], ts: str = "ts", seq: str = "seq"
+    log: DataFrame, aspects: Sequence[str] | None = None, ts: str = "ts", seq: str = "seq"
 ) -> DataFrame:
-    """One row per entity, its newest value of each named aspect as a column."""
+    """One row per entity with its newest value of each aspect.
+
+    Whichever aspects an entity has are in `aspects`, a map from name to value in order of
+    names; rows without a name are left out of it. With names given, these become columns
+    instead.
+    """
     newest = F.max_by("value", F.struct(ts, seq))
-    return log.groupBy("urn").pivot("aspect", list(aspects)).agg(newest)
+    if aspects is not None:
+        return log.groupBy("urn").pivot("aspect", list(aspects)).agg(newest)
+    entry = F.when(F.col("aspect").isNotNull(), F.struct("aspect", "value"))
+    return log.groupBy("urn", "aspect").agg(newest.alias("value")).groupBy("urn").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("aspects")
+    )
 
 
 def editorial_overlay(

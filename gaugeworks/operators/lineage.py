@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 from typing import Literal
 
 from pyspark.sql import DataFrame
@@ -76,7 +77,7 @@ def lineage_walk(
     edges: DataFrame,
     start: str,
     direction: Literal["upstream", "downstream"],
-    max_hops: int = 64,
+    max_hops: int | None = None,
     *,
     max_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
@@ -88,7 +89,8 @@ def lineage_walk(
     to the shared folder per round. A frontier of up to `FILTER_KEYS` entities becomes a
     filter the scan can use to skip files and row groups, one of up to `max_rows` is
     broadcast; for a larger one the edges of hot entities are salted, as one may hold a
-    large part of all edges. Walks deeper than `max_hops` raise rather than return a part.
+    large part of all edges. It ends when a round finds nothing; with a `max_hops`, walks that
+    are deeper raise rather than return a part.
 
     Each round scans the edges, so pass a stored table.
     """
@@ -98,7 +100,7 @@ def lineage_walk(
     found = edges.sparkSession.range(1).select(F.lit(start).alias("entity"))
     seen = found.withColumn("hops", F.lit(0))
     rows, size, hot = 1, len(start.encode()), None
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         if rows <= min(FILTER_KEYS, max_rows):
             keys = [row["entity"] for row in found.collect()]
             matched = steps.where(F.col("entity").isin(keys))

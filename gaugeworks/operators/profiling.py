@@ -130,6 +130,8 @@ def _comparable(column: Column, kind: T.DataType) -> tuple[str, Column]:
     """A column as long, double or text such that equal values stay equal, others differ."""
     if isinstance(kind, T.IntegralType):
         return "whole", column.cast("bigint")
+    if isinstance(kind, T.TimestampType):  # its text has no zone and repeats an hour a year
+        return "whole", F.unix_micros(column)
     if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
         return "real", column.cast("double")
     if isinstance(kind, T.BinaryType):
@@ -188,12 +190,16 @@ def column_sample_values(
                 kind, column = T.StringType(), F.hex(column)
             elif not isinstance(kind, T.AtomicType):
                 kind, column = T.StringType(), column.cast("string")
+            if isinstance(kind, T.TimestampType):  # its text names some instants twice
+                kind, column = T.LongType(), F.unix_micros(column)
             if value is not None:
                 column = F.when(column > F.lit(value).cast(kind), column)
-            above.append(F.min(column).cast("string").alias(f"v{i}"))
+            least = F.min(column)
+            shown = F.timestamp_micros(least) if isinstance(df.schema[name].dataType, T.TimestampType) else least
+            above.append(F.struct(least.cast("string"), shown.cast("string")).alias(f"v{i}"))
         found = dict(zip(last, df.agg(*above).first()))
-        last = {name: value for name, value in found.items() if value is not None}
-        samples += [(name, rank, value) for name, value in last.items()]
+        last = {name: least for name, (least, _) in found.items() if least is not None}
+        samples += [(name, rank, found[name][1]) for name in last]
         if not last:
             break
     return df.sparkSession.createDataFrame(samples, "column string, rank int, value string")

@@ -34,7 +34,9 @@ class DqRule:
         if self.operator == NOT_NULL:
             return column.isNull()
         if self.operator == BETWEEN:
-            return (column < self.min_value) | (column > self.max_value)
+            below = F.lit(False) if self.min_value is None else column < self.min_value
+            above = F.lit(False) if self.max_value is None else column > self.max_value
+            return below | above
         if self.operator == EQUAL_TO:
             return column != F.lit(self.value)
         raise ValueError(f"unknown operator {self.operator}")
@@ -42,19 +44,32 @@ class DqRule:
     def finding(self, violations: Column, total: Column, low: Column, high: Column) -> Column:
         """What the check saw, as text; observed values with two decimals."""
         if self.operator == NOT_NULL:
-            return F.format_string(f"%d null in {self.column}, rows checked: %d", violations, total)
+            return F.format_string(
+                "%d null in %s, rows checked: %d", violations, F.lit(self.column), total
+            )
         if self.operator == EQUAL_TO:
             return F.format_string(
-                f"%d values of {self.column} differ from {self.value}, rows checked: %d",
-                violations, total,
+                "%d values of %s differ from %s, rows checked: %d",
+                violations, F.lit(self.column), F.lit(str(self.value)), total,
             )
         return F.format_string(
-            f"%d values of {self.column} not within {self.min_value:g} to {self.max_value:g}, "
-            "observed %.2f to %.2f",
-            violations, low, high,
+            "%d values of %s not within %s to %s, observed %s to %s",
+            violations, F.lit(self.column), F.lit(_bound(self.min_value)),
+            F.lit(_bound(self.max_value)), _seen(low), _seen(high),
         )
 
 
+def _bound(value: float | None) -> str:
+    """A bound in full; any for a missing one."""
+    if value is None:
+        return "any"
+    return str(int(value)) if float(value).is_integer() else str(value)
+
+
+def _seen(value: Column) -> Column:
+    return F.coalesce(F.when(value.isNotNull(), F.format_string("%.2f", value)), F.lit("none"))
+
+
 def dq_suite_run(
     df: DataFrame,
     rules: Sequence[DqRule],
@@ -162,12 +177,14 @@ def latest_status(results: DataFrame, keys: Iterable[str] = ("entity", "test"))
 
 
 def lineage_dq_badge(nodes: DataFrame, results: DataFrame) -> DataFrame:
-    """Badge of each lineage node: red if any test's latest run failed, green if all passed.
+    """Badge of each lineage node: red if any test's latest run failed, green if all passed,
+    error if none failed but some did not come to a result.
 
     Both sides have one row per entity before they meet, so the join has no hot key.
     """
     per_entity = latest_status(results).groupBy("entity").agg(
         F.count_if(F.col("status") == FAILED).alias("failed_tests"),
+        F.count_if(F.col("status") == SUCCESS).alias("passed_tests"),
         F.count(F.lit(1)).alias("tests"),
     )
     return (
@@ -176,7 +193,8 @@ def lineage_dq_badge(nodes: DataFrame, results: DataFrame) -> DataFrame:
         .select(
             "entity",
             F.when(F.col("failed_tests") > 0, "red")
-            .when(F.col("tests") > 0, "green")
+            .when(F.col("tests") == F.col("passed_tests"), "green")
+            .when(F.col("tests") > 0, "error")
             .otherwise("none")
             .alias("badge"),
             F.coalesce("failed_tests", F.lit(0)).alias("failed_tests"),

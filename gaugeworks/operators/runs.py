@@ -42,7 +42,7 @@ def write_recorded(
             + [f"{seen.get[f'outcome_{i}']} {name}" for i, name in enumerate(counts)]
         ) + "."
     except Exception as error:  # recorded, then raised below
-        status, reason, failure = "FAILED", f"{type(error).__name__}: {error}"[:500], error
+        status, reason, failure = "FAILED", f"{type(error).__name__}: {error}", error
     record = spark.createDataFrame(
         [(uuid.uuid4().hex, job, started, datetime.now(timezone.utc), status, reason, rows)],
         schemas.JOB_RUN,

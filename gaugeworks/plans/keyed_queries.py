@@ -10,9 +10,6 @@ from gaugeworks.functions import keys
 from gaugeworks.operators import latest
 from gaugeworks.plans.standins import CHANGE_LOG_SQL, change_log, table
 
-# The event types that serve as aspects.
-ASPECTS = ["click", "error", "purchase", "signup", "view"]
-
 PROPS = T.StructType([T.StructField("k", T.IntegerType())])
 
 
@@ -27,7 +24,10 @@ def q_aspect_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_entity_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.entity_page(change_log(spark, sf_dir), ASPECTS)
+    """Pages of whatever aspects there are, as text."""
+    page = latest.entity_page(change_log(spark, sf_dir))
+    lines = F.transform(F.map_entries("aspects"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return page.select("urn", F.array_join(lines, "; ").alias("aspects"))
 
 
 def q_editorial_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,7 @@ FROM log""",
   SELECT urn, aspect, value FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY urn, aspect ORDER BY ts DESC, seq DESC) AS n FROM log)
   WHERE n = 1)
-SELECT urn, {", ".join(
-    f"MAX(CASE WHEN aspect = '{a}' THEN value END) AS {a}" for a in ASPECTS)}
+SELECT urn, string_agg(concat_ws('=', aspect, value), '; ' ORDER BY aspect) AS aspects
 FROM newest GROUP BY urn""",
     "editorial_overlay": """WITH edits AS (
   SELECT o_custkey AS urn, o_orderdate AS ts, o_orderkey AS seq,

@@ -232,7 +232,7 @@ UNION ALL
 {_BETWEEN_SQL.format(test="discount_range", column="l_discount", low="0", high="0.05",
                      limit="CAST(0.05 AS DOUBLE)")}
 UNION ALL
-{_BETWEEN_SQL.format(test="price_range", column="l_extendedprice", low="0", high="1e+06",
+{_BETWEEN_SQL.format(test="price_range", column="l_extendedprice", low="0", high="1000000",
                      limit="1000000")}
 UNION ALL
 SELECT 'lines', 'not_returned', 'lineitem', 'l_returnflag', TIMESTAMP '{CHECKED_AT}',

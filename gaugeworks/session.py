@@ -24,10 +24,11 @@ def open_session(app_name: str) -> SparkSession:
     Shuffles start with four partitions per core, which adaptive execution merges where
     they turn out small; it cannot cut those that turn out large.
     """
-    builder = SparkSession.builder.appName(app_name)
+    spark = SparkSession.builder.appName(app_name).getOrCreate()
+    named = spark.conf.getAll
     for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+        if key not in named:
+            spark.conf.set(key, value)
     if spark.conf.get(_INITIAL_PARTITIONS, None) is None:
         cores = spark.sparkContext.defaultParallelism
         spark.conf.set(_INITIAL_PARTITIONS, str(max(200, 4 * cores)))
