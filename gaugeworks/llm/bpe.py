@@ -149,7 +149,7 @@ def encode_documents(
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"]
@@ -157,7 +157,7 @@ def encode_documents(
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks)
-        for batch in slices(batches, "text", 16):
+        for batch in slices(batches, 16):
             rows = []
             for row in batch.to_pylist():
                 last = row["number"] == row["chunks"] - 1
@@ -213,7 +213,7 @@ def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks)
         decimals = list(map(str, range(len(bpe.bytes_of))))
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches):
             lists = [ids or [] for ids in batch.column(1).to_pylist()]
             lines = [" ".join(map(decimals.__getitem__, ids)).encode() for ids in lists]
             yield pa.RecordBatch.from_arrays(

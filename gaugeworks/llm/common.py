@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,24 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a handful of long texts never pile up in Python objects."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """Arrow schema of flat fields named in a Spark DDL string."""
-    kinds = {
-        "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
-        "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()),
-        "array<bigint>": pa.list_(pa.int64()),
-    }
-    names = re.findall(r"(\w+) ([\w<>]+)", ddl)
-    return pa.schema([(name, kinds[kind]) for name, kind in names])
-
-
 def partitions_for(spark: SparkSession, n_bytes: int, per_partition: int = 64 << 20) -> int:
     """Shuffle partitions for so many bytes, no fewer than the session asks for."""
     asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,10 +65,6 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
 
 
-def as_uint64(array: pa.Array) -> np.ndarray:
-    return array.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-
-
 def long_id(df: DataFrame, name: str) -> Column:
     """An id column as a long."""
     return F.col(f"`{name}`").cast(T.LongType())

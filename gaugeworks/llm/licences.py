@@ -21,7 +21,7 @@ _MARKS = " «·»‐‑‒–—‘’“”•…"
 # A line that states a copyright, not one that speaks of copyright notices.
 _COPYRIGHT_LINE = (
     r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)|©|all rights reserved)[^\n]*"
-).replace(r"©", "©")
+)
 
 # Spellings that count as the same, each a sequence of words.
 EQUIVALENTS = [

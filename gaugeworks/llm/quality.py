@@ -159,7 +159,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, bits: int = FEATURE_BITS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = vector.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches):
             scores = [score_text(weights, t.as_py(), bits) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "quality_score"]

@@ -73,7 +73,7 @@ def fingerprints(
     ship_package(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches):
             marks = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(marks.view(np.int64))], ["id", "fingerprint"]

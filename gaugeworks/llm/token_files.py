@@ -188,7 +188,7 @@ def write_token_files(
                 ["part", "shard", "dictionary", "ids", "offsets", "counts", "n_tokens", "payload"],
             )
 
-        for batch in slices(batches, "text", 256):
+        for batch in slices(batches, 256):
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 line = made.encode(text)
                 frame = press.compress(line + end)
