@@ -18,13 +18,14 @@ _JOBS = {
 
 
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
-    """Every option of a job is required; a bad call ends before a session starts."""
+    """Every option of a job but --runs-path is required; a bad call ends before a session starts."""
     parser = argparse.ArgumentParser(prog="gaugeworks")
     commands = parser.add_subparsers(dest="job", required=True)
     for name, (_, options) in _JOBS.items():
         command = commands.add_parser(name)
         for option in options:
             command.add_argument(f"--{option}", required=True)
+        command.add_argument("--runs-path", help="table that gets a record of the run")
     return parser.parse_args(argv)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.functions.scalars import holds_word, quoted
-from gaugeworks.operators.joins import sized_join
+from gaugeworks.operators.joins import BROADCAST_ROWS, HOT_ROWS, flag_listed, sized_join
 from gaugeworks.operators.latest import newest_set
 from gaugeworks.operators.quality import SUCCESS
 from gaugeworks.session import settle
@@ -98,18 +98,27 @@ def entity_lookup(
     return names.select("name").distinct().join(index, "name", "left").select("name", "key")
 
 
-def governance_kpis(entities: DataFrame, edges: DataFrame, results: DataFrame) -> DataFrame:
+def governance_kpis(
+    entities: DataFrame,
+    edges: DataFrame,
+    results: DataFrame,
+    *,
+    max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Coverage per entity type and for all types (type ALL).
 
     Shares of entities with owner, tier, description and at least one lineage edge; the
-    quality pass rate stands on the ALL row.
+    quality pass rate stands on the ALL row. Ends of edges that no entity carries are dropped
+    before the rest is made distinct: where the entities are few, in the scan itself.
     """
-    linked = (
-        edges.select(F.explode(F.array("upstream", "downstream")).alias("key"))
-        .where(F.col("key").isNotNull())
-        .distinct()
-        .withColumn("_linked", F.lit(True))
+    ends = edges.select(F.explode(F.array("upstream", "downstream")).alias("key")).where(
+        F.col("key").isNotNull()
+    )
+    known = sized_join(
+        ends, entities.select("key"), ["key"], "left_semi", max_rows=max_rows, hot_rows=hot_rows
     )
+    linked = known.distinct().withColumn("_linked", F.lit(True))
     flags = entities.join(linked, "key", "left").select(
         F.col("type"),
         F.col("owner").isNotNull().alias("owner"),
@@ -212,15 +221,23 @@ def unregistered_keys(df: DataFrame, columns: Sequence[str], registry: DataFrame
     return used.join(registry.select("key").distinct(), "key", "left_anti")
 
 
-def orphan_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+def orphan_edges(
+    edges: DataFrame,
+    entities: DataFrame,
+    *,
+    max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Lineage edges with an end that is no registered entity, and which ends those are."""
     missing = settle(unregistered_keys(edges, ["upstream", "downstream"], entities))
-    flagged = edges
-    for end in ("upstream", "downstream"):
-        gone = missing.select(F.col("key").alias(end), F.lit(True).alias(f"_{end}_gone"))
-        flagged = sized_join(flagged, gone, [end], "left")
+    flagged = flag_listed(
+        edges,
+        {"_upstream_gone": ("upstream", missing), "_downstream_gone": ("downstream", missing)},
+        max_rows=max_rows,
+        hot_rows=hot_rows,
+    )
     up, down = F.col("_upstream_gone"), F.col("_downstream_gone")
-    return flagged.where(up.isNotNull() | down.isNotNull()).select(
+    return flagged.where(up | down).select(
         *edges.columns,
         F.when(up & down, "both").when(up, "upstream").otherwise("downstream").alias("missing_end"),
     )
@@ -232,6 +249,9 @@ def payload_checks(
     sources: DataFrame,
     registry: DataFrame,
     key: str = "key",
+    *,
+    max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rejected rows, one per reason: unknown type, data source or parent.
 
@@ -240,24 +260,18 @@ def payload_checks(
     """
     bad_source = settle(unregistered_keys(payload, ["data_source"], sources))
     bad_parent = settle(unregistered_keys(payload, ["parent"], registry))
-    flagged = sized_join(
+    flagged = flag_listed(
         payload,
-        bad_source.select(F.col("key").alias("data_source"), F.lit(True).alias("_bad_source")),
-        ["data_source"],
-        "left",
-    )
-    flagged = sized_join(
-        flagged,
-        bad_parent.select(F.col("key").alias("parent"), F.lit(True).alias("_bad_parent")),
-        ["parent"],
-        "left",
+        {"_bad_source": ("data_source", bad_source), "_bad_parent": ("parent", bad_parent)},
+        max_rows=max_rows,
+        hot_rows=hot_rows,
     )
     return _reasons(
         flagged,
         key,
         unknown_type=~F.coalesce(F.col("type").isin(list(known_types)), F.lit(False)),
-        unknown_data_source=F.col("_bad_source").isNotNull() | F.col("data_source").isNull(),
-        unknown_parent=F.col("_bad_parent").isNotNull(),
+        unknown_data_source=F.col("_bad_source") | F.col("data_source").isNull(),
+        unknown_parent=F.col("_bad_parent"),
     )
 
 

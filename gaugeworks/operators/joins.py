@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,6 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 KEY_BUCKETS = 65_536
 MAX_HOT_BUCKETS = KEY_BUCKETS // 2  # a hot bucket holds more than twice the average
-STREAM_SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -52,11 +51,28 @@ def hot_buckets(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> H
     `hot_rows` rows and above 1/MAX_HOT_BUCKETS of the table, so fewer than
     MAX_HOT_BUCKETS are. A key with that many rows is in a hot bucket.
     """
-    counted = df.groupBy(_bucket(on).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
-    limit = max(hot_rows, sum(row["n"] for row in counted) // MAX_HOT_BUCKETS)
-    return HotBuckets(
-        tuple(on), limit, {row["bucket"]: row["n"] for row in counted if row["n"] > limit}
+    return hot_buckets_of_each(df, [on], hot_rows)[0]
+
+
+def hot_buckets_of_each(
+    df: DataFrame, keys: Sequence[Sequence[str]], hot_rows: int = HOT_ROWS
+) -> list[HotBuckets]:
+    """`hot_buckets` for several keys of a table, in one scan of it."""
+    entries = [
+        F.struct(F.lit(i).alias("key"), _bucket(on).alias("bucket")) for i, on in enumerate(keys)
+    ]
+    counted = (
+        df.select(F.inline(F.array(*entries)))
+        .groupBy("key", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
     )
+    found = []
+    for i, on in enumerate(keys):
+        rows = {row["bucket"]: row["n"] for row in counted if row["key"] == i}
+        limit = max(hot_rows, sum(rows.values()) // MAX_HOT_BUCKETS)
+        found.append(HotBuckets(tuple(on), limit, {b: n for b, n in rows.items() if n > limit}))
+    return found
 
 
 def sized_join(
@@ -94,22 +110,45 @@ def sized_join(
         return left.join(F.broadcast(right), list(on), how)
     if how in ("left_semi", "left_anti"):
         right = right.distinct()
-    if left.isStreaming:  # nothing to count yet: salt every key a little
-        salts = F.lit(STREAM_SALTS)
-    else:
-        hot = hot_buckets(left, on, hot_rows) if hot is None else hot
-        if not hot.rows:
-            return left.join(right, list(on), how)
-        needed = [(bucket, -(-rows // hot.limit)) for bucket, rows in hot.rows.items()]
-        table = left.sparkSession.createDataFrame(needed, "_bucket int, _salts int")
-        left = _with_salts(left, on, table)
-        right = _with_salts(right, on, table)
-        salts = F.col("_salts")
+    hot = hot_buckets(left, on, hot_rows) if hot is None else hot
+    if not hot.rows:
+        return left.join(right, list(on), how)
+    needed = [(bucket, -(-rows // hot.limit)) for bucket, rows in hot.rows.items()]
+    table = left.sparkSession.createDataFrame(needed, "_bucket int, _salts int")
+    left = _with_salts(left, on, table)
+    right = _with_salts(right, on, table)
+    salts = F.col("_salts")
     left = left.withColumn("_salt", F.pmod(_spread(left), salts).cast("int")).drop("_salts")
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def flag_listed(
+    df: DataFrame,
+    lists: Mapping[str, tuple[str, DataFrame]],
+    *,
+    max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add one boolean per list: whether a column's value is in the list (one column: key).
+
+    `lists` maps the name of the boolean to the column and its list, which has each key once.
+    Lists too large to broadcast share one count of hot keys, taken from `df` as it came:
+    these joins add no rows, so the count holds for all of them.
+    """
+    small = {flag: fits_broadcast(keys, max_rows) for flag, (_, keys) in lists.items()}
+    large = [flag for flag in lists if not small[flag]]
+    counted = (
+        hot_buckets_of_each(df, [[lists[flag][0]] for flag in large], hot_rows) if large else []
+    )
+    hot = dict(zip(large, counted))
+    for flag, (column, keys) in lists.items():
+        listed = keys.select(F.col("key").alias(column), F.lit(True).alias(flag))
+        df = sized_join(df, listed, [column], "left", small=small[flag], hot=hot.get(flag))
+        df = df.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return df
+
+
 def _bucket(on: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*on), F.lit(KEY_BUCKETS)).cast("int")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import quoted
 
-_PARTS = 1024  # a range is cut into so many parts of equal width per round
+_ACCURACY = 10_000  # of the sketches that propose cuts: ranks are off by a share of 1/_ACCURACY
 
 
 @dataclass
@@ -33,25 +33,20 @@ class _Target:
     def inside(self) -> Column:
         return self.value().between(self.low, self.high)
 
-    def part(self) -> Column:
-        """Part of the range a value falls into; halves keep the width finite."""
-        start, width = self.low / 2, self.high / 2 - self.low / 2
-        if width == 0.0:  # two of the smallest numbers there are
-            return F.when(self.value() < self.high, 0).otherwise(1)
-        return F.floor((self.value() / 2 - start) / width * _PARTS).cast("int")
-
 
 def exact_medians(
     df: DataFrame, columns: Sequence[str], small: int = 100_000
 ) -> dict[str, float | None]:
     """Median of each numeric column, middle pair averaged; None without values.
 
-    The range that holds the wanted rank is cut into parts and each part's rows, minimum
-    and maximum are counted; the part with the rank, tightened to its own minimum and
-    maximum, is the next range. A round is one scan of the numeric columns and thins the
-    rows by up to a thousand, so a few scans do at any size. Once at most `small` rows
-    remain they are ranked. Tasks send a bounded number of counts, spread over the
-    reducers, and only those reach the driver.
+    A quantile sketch of the range that holds the wanted rank proposes two cuts just below
+    and above that rank, a second scan counts the rows on either side of the cuts and on
+    them, and the part with the rank is the next range. Cuts go by rank, so two scans thin
+    the rows over a thousandfold however the values are spread, and a frequent value is
+    found as a cut. The counts are exact: a sketch that misses costs a round, not the result.
+    Once at most `small` rows remain they are ranked. Per column a few numbers reach the
+    driver, and tasks hold sketches of bounded size; profile very wide tables in groups of
+    columns.
 
     NaN is larger than any number here, as in Spark's ordering; infinities count.
     """
@@ -104,45 +99,44 @@ def _descend(column: str, rank: int, parts: Sequence[tuple[int, float, float]])
     raise ValueError(f"column {column} changed between two reads")
 
 
-def _entries(targets: Sequence[_Target], **extra: Sequence[Column]) -> Column:
-    """Per row, one (target, value, ...) entry for each range the row's values fall into."""
-    return F.inline(F.array(*[
-        F.when(
-            t.inside(),
-            F.struct(
-                F.lit(i).alias("target"),
-                t.value().alias("value"),
-                *[columns[i].alias(name) for name, columns in extra.items()],
-            ),
-        )
-        for i, t in enumerate(targets)
-    ]))
-
-
 def _cut_ranges(df: DataFrame, targets: Sequence[_Target]) -> None:
-    # The middle pair mostly shares its range; each range is counted once.
-    ranges = {(t.column, t.low, t.high): t for t in targets}
-    numbers = {key: i for i, key in enumerate(ranges)}
-    cut = list(ranges.values())
-    rows = (
-        df.select(_entries(cut, part=[t.part() for t in cut]))
-        .where(F.col("target").isNotNull())
-        .groupBy("target", "part")
-        .agg(
-            F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
-        .collect()
-    )
-    parts: dict[int, list[tuple[int, float, float]]] = {}
-    for row in sorted(rows, key=lambda r: (r["target"], r["part"])):
-        parts.setdefault(row["target"], []).append((row["rows"], row["low"], row["high"]))
+    # The middle pair mostly shares its range; each range is cut once.
+    ranges: dict[tuple[str, float, float], list[_Target]] = {}
     for t in targets:
-        held = parts.get(numbers[t.column, t.low, t.high], [])
-        narrowed = _descend(t.column, t.rank, held)
-        t.rank, t.rows, t.low, t.high = (
-            narrowed.rank, narrowed.rows, narrowed.low, narrowed.high
+        ranges.setdefault((t.column, t.low, t.high), []).append(t)
+    proposed, margin = [], 2 / _ACCURACY
+    for sharing in ranges.values():
+        t, ranks = sharing[0], [each.rank for each in sharing]
+        shares = [
+            max(0.0, min(ranks) / t.rows - margin), min(1.0, (max(ranks) + 1) / t.rows + margin)
+        ]
+        proposed.append(
+            F.percentile_approx(F.when(t.inside(), t.value()), shares, _ACCURACY)
+            .alias(f"cuts{len(proposed)}")
         )
+    cuts = df.agg(*proposed).first()
+    counts, widths = [], []
+    for i, sharing in enumerate(ranges.values()):
+        t, (lower, upper) = sharing[0], cuts[i]
+        tests = [t.value() < lower, t.value() == lower]
+        if lower < upper:
+            tests += [(t.value() > lower) & (t.value() < upper), t.value() == upper]
+        tests.append(t.value() > upper)
+        widths.append(len(tests))
+        for test in tests:
+            held = F.when(t.inside() & test, t.value())
+            counts += [
+                make(held).alias(f"n{len(counts) + j}")
+                for j, make in enumerate((F.count, F.min, F.max))
+            ]
+    seen = iter(df.agg(*counts).first())
+    for sharing, width in zip(ranges.values(), widths):
+        parts = [(next(seen), next(seen), next(seen)) for _ in range(width)]
+        for t in sharing:
+            narrowed = _descend(t.column, t.rank, parts)
+            t.rank, t.rows, t.low, t.high = (
+                narrowed.rank, narrowed.rows, narrowed.low, narrowed.high
+            )
 
 
 def _rank_rest(df: DataFrame, targets: Sequence[_Target]) -> None:
@@ -150,7 +144,10 @@ def _rank_rest(df: DataFrame, targets: Sequence[_Target]) -> None:
     if not targets:
         return
     merged = (
-        df.select(_entries(targets))
+        df.select(F.inline(F.array(*[
+            F.when(t.inside(), F.struct(F.lit(i).alias("target"), t.value().alias("value")))
+            for i, t in enumerate(targets)
+        ])))
         .where(F.col("target").isNotNull())
         .groupBy("target", "value")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -2,36 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.functions.scalars import is_blank, quoted, stamp
 from gaugeworks.operators.medians import exact_medians
+from gaugeworks.sources.files import stored_bytes
 
 
-def table_profile(df: DataFrame, table: str, ts: datetime | Column | None = None) -> DataFrame:
-    """Row count, column count and stored bytes of a file-based table.
+def table_profile(
+    df: DataFrame, path: str, table: str, ts: datetime | Column | None = None
+) -> DataFrame:
+    """Row count, column count and stored bytes of the table read from a path.
 
-    Reads no column at all: rows are counted per file and the files' sizes come from the
-    scan's own metadata, so one row per file and task is all that is shuffled.
+    Reads no column: rows are a plain count, which Parquet answers from its footers, and the
+    size is what the file system keeps below the path, files without rows included.
     """
-    per_file = (
-        df.select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")
-        )
-        .groupBy("path")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"))
-    )
-    return per_file.agg(
+    return df.agg(
         F.lit(table).alias("table"),
         stamp(ts).alias("ts"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
+        F.count(F.lit(1)).alias("row_count"),
         F.lit(len(df.columns)).alias("column_count"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("size_in_bytes"),
+        F.lit(stored_bytes(df.sparkSession, path)).cast("bigint").alias("size_in_bytes"),
     )
 
 
@@ -175,34 +171,86 @@ def column_sample_values(
 ) -> DataFrame:
     """The n smallest distinct values of each column, shown as text.
 
-    Meant for a few values: each is the minimum above the one before, found for all columns
-    in one global aggregate. That is n scans, of the columns that still have values, and no
-    shuffle of values at all; only the samples themselves reach the driver. Columns of
-    other than plain types, and binary ones, are compared as text.
+    Two scans for any n and any number of columns. The first takes the minimum of each of
+    some hash buckets per column; n of these are n values of the column, so the largest of
+    the n smallest is a bound for what is wanted. The second keeps the distinct values up to
+    the bounds, which are n and the few that shared a bucket with a smaller one. A task sends
+    at most one row per bucket and column, and one bound per column reaches the driver.
+    Columns of other than plain types, and binary ones, are compared as text.
     """
-    last: dict[str, str | None] = dict.fromkeys(columns or df.columns)
-    samples = []
-    for rank in range(1, n + 1):
-        above = []
-        for i, (name, value) in enumerate(last.items()):
-            kind, column = df.schema[name].dataType, quoted(name)
-            if isinstance(kind, T.BinaryType):
-                kind, column = T.StringType(), F.hex(column)
-            elif not isinstance(kind, T.AtomicType):
-                kind, column = T.StringType(), column.cast("string")
-            if isinstance(kind, T.TimestampType):  # its text names some instants twice
-                kind, column = T.LongType(), F.unix_micros(column)
-            if value is not None:
-                column = F.when(column > F.lit(value).cast(kind), column)
-            least = F.min(column)
-            shown = F.timestamp_micros(least) if isinstance(df.schema[name].dataType, T.TimestampType) else least
-            above.append(F.struct(least.cast("string"), shown.cast("string")).alias(f"v{i}"))
-        found = dict(zip(last, df.agg(*above).first()))
-        last = {name: least for name, (least, _) in found.items() if least is not None}
-        samples += [(name, rank, found[name][1]) for name in last]
-        if not last:
-            break
-    return df.sparkSession.createDataFrame(samples, "column string, rank int, value string")
+    names = list(columns or df.columns)
+    buckets = max(1_024, 16 * n)
+    slots = [f"v{k}" for k in range(len({_sampled(df, name)[0] for name in names}))]
+    numbered = F.row_number().over(Window.partitionBy("position").orderBy(*slots))
+    least = (
+        _slotted(df, names)
+        .groupBy("position", F.pmod(F.xxhash64(*slots), F.lit(buckets)).alias("bucket"))
+        .agg(*[F.min(slot).alias(slot) for slot in slots])
+    )
+    bounds = {
+        names[row["position"]]: row["bound"]
+        for row in least.withColumn("rank", numbered)
+        .where(F.col("rank") == n)
+        .select("position", F.coalesce(*[F.col(slot).cast("string") for slot in slots]).alias("bound"))
+        .collect()
+    }
+    shown = []
+    for name, (kind, slot) in _slots(df, names).items():
+        value = F.col(slot)
+        if isinstance(df.schema[name].dataType, T.TimestampType):
+            value = F.timestamp_micros(value)
+        shown.append(value.cast("string"))
+    return (
+        _slotted(df, names, bounds)
+        .distinct()
+        .withColumn("rank", numbered)
+        .where(F.col("rank") <= n)
+        .select(
+            F.element_at(F.array(*[F.lit(name) for name in names]), F.col("position") + 1)
+            .alias("column"),
+            "rank",
+            F.element_at(F.array(*shown), F.col("position") + 1).alias("value"),
+        )
+    )
+
+
+def _sampled(df: DataFrame, name: str) -> tuple[T.DataType, Column]:
+    """A column in an ordered type whose text gives the value back."""
+    kind, column = df.schema[name].dataType, quoted(name)
+    if isinstance(kind, T.BinaryType):
+        return T.StringType(), F.hex(column)
+    if isinstance(kind, T.TimestampType):  # its text names some instants twice
+        return T.LongType(), F.unix_micros(column)
+    if not isinstance(kind, T.AtomicType):
+        return T.StringType(), column.cast("string")
+    return kind, column
+
+
+def _slots(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[T.DataType, str]]:
+    """Type and slot of each column; columns of one type share a slot."""
+    kinds = {name: _sampled(df, name)[0] for name in names}
+    order = list(dict.fromkeys(kinds.values()))
+    return {name: (kind, f"v{order.index(kind)}") for name, kind in kinds.items()}
+
+
+def _slotted(
+    df: DataFrame, names: Sequence[str], bounds: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Rows (position, v0, v1, ...) of the non-null values, up to a column's bound if it has one."""
+    slots = _slots(df, names)
+    kinds = {slot: kind for kind, slot in slots.values()}
+    entries = []
+    for i, name in enumerate(names):
+        kind, value = _sampled(df, name)
+        wanted = value.isNotNull()
+        if bounds and name in bounds:
+            wanted &= value <= F.lit(bounds[name]).cast(kind)
+        held = [
+            (value if slot == slots[name][1] else F.lit(None)).cast(kinds[slot]).alias(slot)
+            for slot in kinds
+        ]
+        entries.append(F.when(wanted, F.struct(F.lit(i).alias("position"), *held)))
+    return df.select(F.inline(F.array(*entries))).where(F.col("position").isNotNull())
 
 
 def sample_rows(df: DataFrame, n: int, order: Sequence[str] | None = None) -> DataFrame:

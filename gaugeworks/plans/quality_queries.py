@@ -90,7 +90,9 @@ def q_dq_suite_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = [
-        profiling.table_profile(table(spark, sf_dir, name), name, checked_at())
+        profiling.table_profile(
+            table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet", name, checked_at()
+        )
         for name in PROFILED
     ]
     # Stored bytes are unknown to the checking engine, so only their presence is compared.
@@ -117,6 +119,10 @@ def q_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.sample_rows(table(spark, sf_dir, "lineitem"), 7)
 
 
+def q_sample_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiling.sample_payload(table(spark, sf_dir, "orders"), 5, ["o_orderkey"])
+
+
 def q_lineage_dq_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("entity")
@@ -148,6 +154,7 @@ QUERIES = {
     "column_profile": q_column_profile,
     "column_sample_values": q_column_sample_values,
     "sample_rows": q_sample_rows,
+    "sample_payload": q_sample_payload,
     "lineage_dq_badge": q_lineage_dq_badge,
     "dq_incidents": q_dq_incidents,
     "dq_pass_rate_daily": q_dq_pass_rate_daily,
@@ -252,6 +259,10 @@ FROM lineitem""",
     "column_sample_values": "\nUNION ALL\n".join(_sample_sql(name) for name in _LINE_COLUMNS),
     "sample_rows": f"""SELECT {", ".join(_LINE_COLUMNS)} FROM lineitem
 ORDER BY {", ".join(_LINE_COLUMNS)} LIMIT 7""",
+    "sample_payload": f"""SELECT {list(_ORDER_COLUMNS)[:-1]} AS columns,
+       LIST(shown ORDER BY shown) AS rows
+FROM (SELECT [{", ".join(f"CAST({c} AS VARCHAR)" for c in list(_ORDER_COLUMNS)[:-1])}] AS shown
+      FROM orders ORDER BY o_orderkey LIMIT 5)""",
     "lineage_dq_badge": f"""WITH {RESULTS_SQL}, latest AS (
   SELECT entity, test, status, ROW_NUMBER() OVER (
     PARTITION BY entity, test ORDER BY ts DESC, run_id DESC) AS n FROM results),

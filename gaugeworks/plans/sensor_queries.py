@@ -10,7 +10,6 @@ from gaugeworks import schemas
 from gaugeworks.functions.scalars import floor_bucket, share_of
 from gaugeworks.operators import sensors
 from gaugeworks.operators.conform import conform_schema
-from gaugeworks.operators.runs import write_recorded
 from gaugeworks.plans import jobs
 from gaugeworks.plans.standins import (
     ENRICHED_SQL, PROFILES_SQL, READINGS_SQL, readings, table, zone_lookup,
@@ -152,12 +151,13 @@ def q_outcome_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_job_run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = scratch_path(spark, "runs")
-    profiles = _profiles(spark, sf_dir)
-    write_recorded(profiles, scratch_path(spark, "profiles"), "build_sensor_profiles", runs)
-    labelled = sensors.zoned_profiles(profiles, zone_lookup(spark))
-    write_recorded(
-        labelled, scratch_path(spark, "enriched"), "enrich_with_zone_label", runs,
-        {"unknown labels": F.count_if(F.col("zone_label") == sensors.UNMATCHED_LABEL)},
+    jobs.sensor_zone_pipeline(
+        spark,
+        _readings_csv(spark, sf_dir),
+        _csv(spark, zone_lookup(spark), "zones"),
+        scratch_path(spark, "profiles"),
+        scratch_path(spark, "enriched"),
+        runs,
     )
     return read_parquet(spark, runs, schemas.JOB_RUN).select(
         "job", "status", "status_reason", "rows_written",

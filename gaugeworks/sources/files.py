@@ -37,3 +37,10 @@ def read_parquet(
 def write_parquet_overwrite(df: DataFrame, path: str) -> None:
     """Write a Parquet table, replacing what is at the path."""
     df.write.mode("overwrite").parquet(path)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes the file system keeps in a file, or below a folder."""
+    stored = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = stored.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getContentSummary(stored).getLength()

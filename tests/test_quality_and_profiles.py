@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.operators import medians
 from gaugeworks.operators.medians import exact_medians
 from gaugeworks.operators.profiling import (
     column_profile, column_sample_values, sample_payload, sample_rows, table_profile,
@@ -98,6 +99,21 @@ def test_medians_match_brute_force(spark, small):
     assert got == {c: exact(v) for c, v in columns.items()}
 
 
+@pytest.mark.parametrize("spread", ["decades", "cluster", "hot"])
+def test_median_scans_are_few_however_values_are_spread(spark, monkeypatch, spread):
+    values = {
+        "decades": [10.0 ** (i / 20 - 100) for i in range(4001)],
+        "cluster": [1e300, -1e300] + [1 + i * 2.0**-52 for i in range(3999)],
+        "hot": [0.5] * 3000 + [float(i) for i in range(1001)],
+    }[spread]
+    df = spark.createDataFrame([(v,) for v in values], "a double").repartition(4)
+    rounds = []
+    cut = medians._cut_ranges
+    monkeypatch.setattr(medians, "_cut_ranges", lambda *a: (rounds.append(1), cut(*a)))
+    assert exact_medians(df, ["a"], small=10) == {"a": statistics.median(values)}
+    assert len(rounds) <= 2
+
+
 def test_medians_of_infinities_and_nan(spark):
     inf, nan = math.inf, math.nan
     df = spark.createDataFrame(
@@ -130,8 +146,10 @@ def test_column_profile_against_brute_force(spark):
 def test_table_profile_counts_files(spark, tmp_path):
     path = tmp_path / "t"
     spark.range(1000).repartition(3).write.parquet(str(path))
-    row = table_profile(spark.read.parquet(str(path)), "t").first()
+    spark.range(0).coalesce(1).write.mode("append").parquet(str(path))
     stored = sum(f.stat().st_size for f in path.glob("*.parquet"))
+    assert len(list(path.glob("*.parquet"))) == 4  # one of them without rows
+    row = table_profile(spark.read.parquet(str(path)), str(path), "t").first()
     assert (row.row_count, row.column_count, row.size_in_bytes) == (1000, 1, stored)
 
 
