@@ -101,6 +101,8 @@ def sized_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
+    if left.isStreaming:
+        raise ValueError("join each micro-batch, where keys can be counted")
     for name in on:
         if left.schema[name].dataType != right.schema[name].dataType:
             raise TypeError(f"join column {name} has two types")

@@ -11,18 +11,29 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.joins import (
     BROADCAST_BYTES, BROADCAST_ROWS, HOT_ROWS, hot_buckets, sized_join,
 )
-from gaugeworks.session import settle
+from gaugeworks.session import settle, settle_measured
 
-TRANSFORMED = "TRANSFORMED"  # fixed value: type of an edge made by a transformation
+# Types of edges.
+TRANSFORMED, COPY, VIEW = "TRANSFORMED", "COPY", "VIEW"
 FILTER_KEYS = 1_000
 
 
 def lineage_edges(inputs: DataFrame) -> DataFrame:
-    """One edge per listed input, from (downstream, inputs, ts, actor)."""
+    """One edge per listed input, from (downstream, inputs, ts, actor).
+
+    The input may also have type, job and description; an edge without a type is a
+    transformation, and the other two stay null.
+    """
+    given = {
+        name: F.col(name) if name in inputs.columns else F.lit(None).cast("string")
+        for name in ("type", "job", "description")
+    }
     return inputs.select(
         F.explode("inputs").alias("upstream"),
         "downstream",
-        F.lit(TRANSFORMED).alias("type"),
+        F.coalesce(given["type"], F.lit(TRANSFORMED)).alias("type"),
+        given["job"].alias("job"),
+        given["description"].alias("description"),
         "ts",
         "actor",
     )
@@ -73,6 +84,19 @@ def column_lineage(mappings: DataFrame, edges: DataFrame | None = None) -> DataF
     )
 
 
+def clustered_edges(edges: DataFrame, end: Literal["upstream", "downstream"]) -> DataFrame:
+    """Distinct edges, stored in the shared folder in the order of one end.
+
+    A filter on that end then skips files and row groups. The other end is the second part
+    of the order, so the edges of a hot entity are cut over files too.
+    """
+    other = "downstream" if end == "upstream" else "upstream"
+    return settle(
+        edges.select(end, other).distinct().repartitionByRange(end, other)
+        .sortWithinPartitions(end, other)
+    )
+
+
 def lineage_walk(
     edges: DataFrame,
     start: str,
@@ -86,13 +110,15 @@ def lineage_walk(
 
     Breadth first: each round joins the newly found entities to the edges and drops those
     seen before, so cycles end and a diamond is not walked twice. The found set is written
-    to the shared folder per round. A frontier of up to `FILTER_KEYS` entities becomes a
+    to the shared folder per round and measured by that write. A frontier of up to `FILTER_KEYS` entities becomes a
     filter the scan can use to skip files and row groups, one of up to `max_rows` is
     broadcast; for a larger one the edges of hot entities are salted, as one may hold a
     large part of all edges. It ends when a round finds nothing; with a `max_hops`, walks that
     are deeper raise rather than return a part.
 
-    Each round scans the edges, so pass a stored table.
+    Each round scans the edges, so pass a stored table: for an upstream walk the
+    `clustered_edges` by downstream, and the other way round. A few keys skip all but their
+    own row groups; many skip what lies outside the least and the greatest of them.
     """
     here, there = ("downstream", "upstream") if direction == "upstream" else (
         "upstream", "downstream")
@@ -110,12 +136,10 @@ def lineage_walk(
                 hot = hot_buckets(steps, ["entity"], hot_rows)
             matched = sized_join(steps, found, ["entity"], "left_semi", small=small, hot=hot)
         reached = matched.select(F.col("next").alias("entity")).where("entity IS NOT NULL")
-        found = settle(
-            reached.distinct().join(seen.select("entity"), "entity", "left_anti")
+        found, measured = settle_measured(
+            reached.distinct().join(seen.select("entity"), "entity", "left_anti"),
+            n=F.count(F.lit(1)), bytes=F.sum(F.octet_length("entity")),
         )
-        measured = found.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("entity")).alias("bytes")
-        ).first()
         rows, size = measured["n"], measured["bytes"]
         if rows == 0:
             return seen.where(F.col("hops") > 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import keys
@@ -12,16 +12,11 @@ from gaugeworks.operators import catalog
 from gaugeworks.operators.catalog import GOVERNANCE_FIELDS
 from gaugeworks.plans.lineage_queries import KEY_EDGES_SQL, key_edges
 from gaugeworks.plans.quality_queries import RESULTS_SQL, rule_results
-from gaugeworks.plans.standins import READINGS_SQL, readings, table
+from gaugeworks.plans.standins import READINGS_SQL, readings, table, tagged
 
 KNOWN_FLAGS = ["A", "N"]
 
 
-def tagged(kind: str, column: str) -> Column:
-    """Entity key such as part:17."""
-    return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
-
-
 def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Governance changes from orders; each order sets some fields of its customer.
 
@@ -116,6 +111,15 @@ def q_entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.entity_lookup(names, entities)
 
 
+def q_dotted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    dotted = keys.dotted_name(F.lit("store"), F.col("p_type"), F.col("p_brand"), F.col("p_name"))
+    entities = parts.where("p_size > 10").select(
+        tagged("part", "p_partkey").alias("key"), dotted.alias("dotted")
+    )
+    return catalog.entity_lookup(parts.select(dotted.alias("name")), entities, ["dotted"])
+
+
 def q_governance_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     kpis = catalog.governance_kpis(
         governed_entities(spark, sf_dir), key_edges(spark, sf_dir), rule_results(spark, sf_dir)
@@ -133,6 +137,18 @@ def q_facet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.facet_counts(found, ["type", "internal_name", "size", "tags"])
 
 
+def q_governed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(
+        tagged("customer", "c_custkey").alias("key")
+    )
+    governed = catalog.governance_attach(customers, customer_changes(spark, sf_dir))
+    found = catalog.facet_filter(
+        governed,
+        {"owner": ["team 1-URGENT", "team 5-LOW"], "domain": ["sales"], "term": ["hot-account"]},
+    )
+    return catalog.facet_counts(found, ["owner", "tier", "domain", "term"])
+
+
 def q_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = catalog.keyword_search(table(spark, sf_dir, "documents"), "text", "On THE, of")
     return found.select("doc_id", "lang", "n_chars")
@@ -173,8 +189,10 @@ QUERIES = {
     "entity_key": q_entity_key,
     "governance_attach": q_governance_attach,
     "entity_lookup": q_entity_lookup,
+    "dotted_lookup": q_dotted_lookup,
     "governance_kpis": q_governance_kpis,
     "facet_search": q_facet_search,
+    "governed_search": q_governed_search,
     "keyword_search": q_keyword_search,
     "orphan_edges": q_orphan_edges,
     "payload_checks": q_payload_checks,
@@ -256,6 +274,11 @@ FROM changes GROUP BY key, name""",
   SELECT p_name AS name FROM part UNION SELECT p_brand FROM part UNION SELECT p_type FROM part)
 SELECT name, MIN('part:' || CAST(p_partkey AS VARCHAR)) AS key
 FROM asked LEFT JOIN part ON p_name = name OR p_brand = name GROUP BY name""",
+    "dotted_lookup": """WITH parts AS (
+  SELECT *, 'store.' || p_type || '.' || p_brand || '.' || p_name AS dotted FROM part)
+SELECT dotted AS name,
+       MIN('part:' || CAST(p_partkey AS VARCHAR)) FILTER (WHERE p_size > 10) AS key
+FROM parts GROUP BY dotted""",
     "governance_kpis": f"""WITH {CHANGES_SQL}, {KEY_EDGES_SQL}, {RESULTS_SQL}, entities AS (
   SELECT 'customer:' || CAST(c_custkey AS VARCHAR) AS key, 'customer' AS type,
          owner, tier, description
@@ -291,6 +314,18 @@ SELECT 'size', size, COUNT(*) FROM found GROUP BY size
 UNION ALL
 SELECT 'tags', tag, COUNT(*) FROM (
   SELECT UNNEST(list_distinct(tags)) AS tag FROM found) GROUP BY tag""",
+    "governed_search": f"""WITH {CHANGES_SQL}, found AS (
+  SELECT owner, tier, domain, term FROM customer
+  """ + "\n  ".join(
+        f"LEFT JOIN new_{f} ON new_{f}.key = 'customer:' || CAST(c_custkey AS VARCHAR)"
+        for f in ("owner", "tier", "domain", "term")
+    ) + """
+  WHERE owner IN ('team 1-URGENT', 'team 5-LOW') AND domain = 'sales' AND term = 'hot-account')
+""" + "\nUNION ALL\n".join(
+        f"SELECT '{f}' AS facet, {f} AS value, COUNT(*) AS entities FROM found "
+        f"WHERE {f} IS NOT NULL GROUP BY {f}"
+        for f in ("owner", "tier", "domain", "term")
+    ),
     "keyword_search": """WITH words AS (
   SELECT doc_id, lang, n_chars, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w
   FROM documents)

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import lineage
-from gaugeworks.plans.standins import table
-from gaugeworks.session import scratch_path
-from gaugeworks.sources.files import read_parquet, write_parquet_overwrite
-
-
-def _tag(kind: str, column: str) -> Column:
-    return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+from gaugeworks.plans.standins import table, tagged
 
 
 def line_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order line makes its order a product of a part and a supplier."""
+    """Each order line makes its order a product of a part and a supplier.
+
+    Returned lines count as copies and views; the others name no type.
+    """
+    flag = F.col("l_returnflag")
     return table(spark, sf_dir, "lineitem").select(
-        _tag("order", "l_orderkey").alias("downstream"),
-        F.array(_tag("part", "l_partkey"), _tag("supplier", "l_suppkey")).alias("inputs"),
+        tagged("order", "l_orderkey").alias("downstream"),
+        F.array(tagged("part", "l_partkey"), tagged("supplier", "l_suppkey")).alias("inputs"),
+        F.when(flag == "A", lineage.COPY).when(flag == "R", lineage.VIEW).alias("type"),
+        tagged("job", "l_linenumber").alias("job"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("description"),
         F.col("l_shipdate").alias("ts"),
         F.concat(F.lit("actor_"), "l_linestatus").alias("actor"),
     )
@@ -29,16 +30,16 @@ def key_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part, supplier -> order -> customer -> nation -> region."""
     lines = line_inputs(spark, sf_dir).select(F.explode("inputs").alias("upstream"), "downstream")
     orders = table(spark, sf_dir, "orders").select(
-        _tag("order", "o_orderkey").alias("upstream"),
-        _tag("customer", "o_custkey").alias("downstream"),
+        tagged("order", "o_orderkey").alias("upstream"),
+        tagged("customer", "o_custkey").alias("downstream"),
     )
     customers = table(spark, sf_dir, "customer").select(
-        _tag("customer", "c_custkey").alias("upstream"),
-        _tag("nation", "c_nationkey").alias("downstream"),
+        tagged("customer", "c_custkey").alias("upstream"),
+        tagged("nation", "c_nationkey").alias("downstream"),
     )
     nations = table(spark, sf_dir, "nation").select(
-        _tag("nation", "n_nationkey").alias("upstream"),
-        _tag("region", "n_regionkey").alias("downstream"),
+        tagged("nation", "n_nationkey").alias("upstream"),
+        tagged("region", "n_regionkey").alias("downstream"),
     )
     return lines.unionByName(orders).unionByName(customers).unionByName(nations)
 
@@ -49,11 +50,11 @@ def q_lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_job_io_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
-        _tag("order", "o_orderkey").alias("job"),
-        F.array(_tag("customer", "o_custkey"), _tag("priority", "o_orderpriority"))
+        tagged("order", "o_orderkey").alias("job"),
+        F.array(tagged("customer", "o_custkey"), tagged("priority", "o_orderpriority"))
         .alias("input_datasets"),
-        F.array(_tag("status", "o_orderstatus")).alias("output_datasets"),
-        F.when(F.col("o_orderstatus") == "F", F.array(_tag("job", "o_custkey")))
+        F.array(tagged("status", "o_orderstatus")).alias("output_datasets"),
+        F.when(F.col("o_orderstatus") == "F", F.array(tagged("job", "o_custkey")))
         .otherwise(F.array().cast("array<string>"))
         .alias("input_jobs"),
     )
@@ -63,24 +64,24 @@ def q_job_io_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     mappings = lines.select(
-        _tag("part", "l_partkey").alias("upstream"),
-        _tag("order", "l_orderkey").alias("downstream"),
+        tagged("part", "l_partkey").alias("upstream"),
+        tagged("order", "l_orderkey").alias("downstream"),
         F.array(F.lit("p_retailprice"), F.lit("p_size")).alias("upstream_fields"),
         F.array(F.lit("o_totalprice")).alias("downstream_fields"),
         F.col("l_returnflag").alias("operation"),
     )
     edges = lines.where("l_linestatus = 'F'").select(
-        _tag("part", "l_partkey").alias("upstream"), _tag("order", "l_orderkey").alias("downstream")
+        tagged("part", "l_partkey").alias("upstream"), tagged("order", "l_orderkey").alias("downstream")
     )
     return lineage.column_lineage(mappings, edges)
 
 
 def q_lineage_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "edges")
-    write_parquet_overwrite(key_edges(spark, sf_dir), path)
-    edges = read_parquet(spark, path)
-    up = lineage.lineage_walk(edges, "region:0", "upstream")
-    down = lineage.lineage_walk(edges, "part:1", "downstream")
+    edges = key_edges(spark, sf_dir)
+    by_downstream = lineage.clustered_edges(edges, "downstream")
+    by_upstream = lineage.clustered_edges(edges, "upstream")
+    up = lineage.lineage_walk(by_downstream, "region:0", "upstream")
+    down = lineage.lineage_walk(by_upstream, "part:1", "downstream")
     return up.withColumn("walk", F.lit("upstream of region:0")).unionByName(
         down.withColumn("walk", F.lit("downstream of part:1"))
     )
@@ -108,8 +109,10 @@ KEY_EDGES_SQL = """edges AS (
 ORACLE = {
     "lineage_edges": """SELECT UNNEST(['part:' || CAST(l_partkey AS VARCHAR),
                'supplier:' || CAST(l_suppkey AS VARCHAR)]) AS upstream,
-       'order:' || CAST(l_orderkey AS VARCHAR) AS downstream, 'TRANSFORMED' AS type,
-       l_shipdate AS ts, 'actor_' || l_linestatus AS actor
+       'order:' || CAST(l_orderkey AS VARCHAR) AS downstream,
+       CASE l_returnflag WHEN 'A' THEN 'COPY' WHEN 'R' THEN 'VIEW' ELSE 'TRANSFORMED' END AS type,
+       'job:' || CAST(l_linenumber AS VARCHAR) AS job,
+       'line ' || CAST(l_linenumber AS VARCHAR) AS description, l_shipdate AS ts, 'actor_' || l_linestatus AS actor
 FROM lineitem""",
     "job_io_edges": """WITH j AS (
   SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS job, * FROM orders)

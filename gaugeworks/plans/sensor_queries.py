@@ -149,6 +149,13 @@ def q_outcome_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_lookup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "part").select(
+        F.col("p_size").alias("bucket"), F.col("p_type").alias("zone_label")
+    )
+    return sensors.lookup_check(sizes.distinct())
+
+
 def q_job_run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = scratch_path(spark, "runs")
     jobs.sensor_zone_pipeline(
@@ -181,6 +188,7 @@ QUERIES = {
     "enrich_with_zone_label": q_enrich_with_zone_label,
     "sensor_zone_pipeline": q_sensor_zone_pipeline,
     "outcome_count": q_outcome_count,
+    "lookup_check": q_lookup_check,
     "job_run_record": q_job_run_record,
 }
 
@@ -227,6 +235,12 @@ FROM events""",
     "outcome_count": f"""WITH {ENRICHED_SQL}
 SELECT COUNT(*) FILTER (WHERE zone_label = 'unknown') AS outcome_rows, COUNT(*) AS total_rows
 FROM enriched""",
+    "lookup_check": """WITH listings AS (
+  SELECT p_size, COUNT(DISTINCT p_type) AS n FROM part GROUP BY p_size)
+SELECT 'listings_equal_to' AS test,
+       CASE WHEN COUNT(*) FILTER (WHERE n <> 1) = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+       COUNT(*) FILTER (WHERE n <> 1) AS violations, COUNT(*) AS total_rows
+FROM listings""",
     "job_run_record": f"""WITH {ENRICHED_SQL}
 SELECT 'build_sensor_profiles' AS job, 'SUCCESS' AS status,
        'Wrote ' || CAST(COUNT(*) AS VARCHAR) || ' rows.' AS status_reason,

@@ -17,12 +17,14 @@ BATCH_BYTES = 1024**4
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream of the events table; the pattern fits a single file and a folder of files.
+    """Stream of the events table, a single file or a folder of files.
+
+    A stream takes a single file only through a pattern; this one fits no other name.
 
     Micro-batches are limited in size, so that a failure repeats one of them, not the run.
     """
     reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
-    return reader.option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{sf_dir}/events.parquet*")
+    return reader.option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def q_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +40,9 @@ def q_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "Tier1")
         .otherwise("Tier3").alias("tier"),
     )
-    alerts = changes.alert_stream(runs, tiers)
-    out = scratch_path(spark, "alerts")
-    changes.run_to_files(alerts, out, scratch_path(spark, "alerts-progress")).awaitTermination()
-    return spark.read.schema(alerts.schema).parquet(out)
+    out, progress = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-progress")
+    changes.run_alerts_to_files(runs, tiers, out, progress).awaitTermination()
+    return changes.read_batches(spark, out, runs.schema)
 
 
 def q_latest_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

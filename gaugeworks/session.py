@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -60,6 +60,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gaugeworks/{label}-{uuid.uuid4().hex}"
 
 
+def settle_measured(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """`settle`, with aggregates over the rows taken by the write itself."""
+    seen = Observation()
+    settled = settle(df.observe(seen, *[c.alias(name) for name, c in aggregates.items()]))
+    return settled, seen.get
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute once: write the rows to the shared folder and read them back.
 

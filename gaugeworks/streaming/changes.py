@@ -2,45 +2,97 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeworks.operators.joins import BROADCAST_ROWS, sized_join
+from gaugeworks.operators.joins import BROADCAST_ROWS, HOT_ROWS, sized_join
 from gaugeworks.operators.quality import FAILED
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_COMMIT = "batch bigint, merged boolean, folder string"
 
 
-def alert_stream(
-    changes: DataFrame, tiers: DataFrame, tier: str = "Tier1", max_rows: int = BROADCAST_ROWS
+def tier_alerts(
+    changes: DataFrame,
+    tiers: DataFrame,
+    tier: str = "Tier1",
+    *,
+    max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Failed assertions on datasets of one tier, from a stream or a table of changes.
+    """Failed assertions on datasets of one tier, from a table or a micro-batch of changes.
 
-    `changes` has entity and status, `tiers` has entity and tier. Stateless. The tier
-    table is measured when the query starts and broadcast only up to `max_rows` rows. Its
-    files are listed at the start: restart the query to see entities whose tier changed.
+    `changes` has entity and status, `tiers` has entity and tier.
     """
     watched = tiers.where(F.col("tier") == tier).select("entity").distinct()
     failed = changes.where(F.col("status") == FAILED)
-    return sized_join(failed, watched, ["entity"], "inner", max_rows=max_rows)
+    return sized_join(failed, watched, ["entity"], "inner", max_rows=max_rows, hot_rows=hot_rows)
+
+
+def run_alerts_to_files(
+    stream: DataFrame, tiers: DataFrame, path: str, checkpoint: str, tier: str = "Tier1", **sizes: int
+) -> StreamingQuery:
+    """Write the alerts of each micro-batch until the source is exhausted.
+
+    Stateless. Each micro-batch measures the tier table and, where that is too large to
+    broadcast, counts its own hot entities. The tier table's files are listed at the start:
+    restart the query to see entities whose tier changed. Read with `read_batches`.
+    """
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _commit(tier_alerts(batch, tiers, tier, **sizes), path, batch_id)
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stateless stream to a Parquet table until the source is exhausted."""
     return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
+        stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
+        .foreachBatch(write)
         .start()
     )
 
 
+def _commits(spark: SparkSession, path: str) -> dict[tuple[int, bool], str]:
+    """Folder of each committed batch and of each merge, by (batch, whether a merge)."""
+    try:
+        rows = spark.read.schema(_COMMIT).parquet(f"{path}/commits").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {(row["batch"], row["merged"]): f"{path}/{row['folder']}" for row in rows}
+
+
+def _commit(rows: DataFrame, path: str, batch_id: int, merged: bool = False) -> None:
+    """Write a batch to a new folder, then name that folder in the table of commits.
+
+    Readers see only named folders, so never half a batch; a batch that is repeated after
+    its commit is left as it is. The table of commits has one small row per batch.
+    """
+    spark = rows.sparkSession
+    if (batch_id, merged) in _commits(spark, path):
+        return
+    folder = f"data/{batch_id}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
+    named = spark.createDataFrame([(batch_id, merged, folder)], _COMMIT)
+    named.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def _read(spark: SparkSession, folders: list[str], schema: T.StructType) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*folders)
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of all committed batches; empty before the first."""
+    return _read(spark, list(_commits(spark, path).values()), schema)
+
+
 def latest_state(changes: DataFrame, ts: str = "ts", seq: str = "seq") -> DataFrame:
     """Newest value per (urn, aspect); on a stream, kept up to date by each micro-batch.
 
@@ -53,17 +105,23 @@ def latest_state(changes: DataFrame, ts: str = "ts", seq: str = "seq") -> DataFr
     ).select("urn", "aspect", "newest.*")
 
 
-def run_state_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the keys each micro-batch changed to a folder of its own.
+def run_state_to_files(
+    stream: DataFrame, path: str, checkpoint: str, merge_every: int = 20
+) -> StreamingQuery:
+    """Write the keys each micro-batch changed; every so many batches, merge all into one folder.
 
-    A repeated batch replaces its folder, so a restart leaves no doubles. State goes to
-    RocksDB unless the session names a state store of its own.
+    A reader thus opens one merged folder and at most `merge_every` newer ones. State goes
+    to RocksDB unless the session names a state store of its own.
     """
     conf = stream.sparkSession.conf
     chosen = conf.get(_STATE_STORE, None)
+    stored = _with_batch(stream.schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        _commit(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), path, batch_id)
+        if (batch_id + 1) % merge_every == 0:
+            _commit(_newest(_read(spark, state_folders(spark, path), stored)), path, batch_id, True)
 
     writer = (
         stream.writeStream.outputMode("update")
@@ -80,21 +138,30 @@ def run_state_to_files(stream: DataFrame, path: str, checkpoint: str) -> Streami
         conf.unset(_STATE_STORE)
 
 
+def state_folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders that hold the current state: the last merge and the batches after it."""
+    commits = _commits(spark, path)
+    base = max((batch for batch, merged in commits if merged), default=-1)
+    return [
+        folder for (batch, merged), folder in commits.items()
+        if batch > base or (merged and batch == base)
+    ]
+
+
 def read_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Current state from the batch folders: each key's row of its last batch.
+    """Current state: each key's row of its last batch; empty before the first batch."""
+    stored = _read(spark, state_folders(spark, path), _with_batch(schema))
+    return _newest(stored).drop("batch")
 
-    Empty, with the given columns, before the first batch.
-    """
-    names = [c for c in schema.fieldNames() if c not in ("urn", "aspect")]
-    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    try:
-        written = spark.read.schema(stored).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        written = spark.createDataFrame([], stored)
+
+def _with_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+
+
+def _newest(stored: DataFrame) -> DataFrame:
+    names = [c for c in stored.columns if c not in ("urn", "aspect")]
     return (
-        written.groupBy("urn", "aspect")
+        stored.groupBy("urn", "aspect")
         .agg(F.max_by(F.struct(*names), F.col("batch")).alias("newest"))
         .select("urn", "aspect", "newest.*")
     )

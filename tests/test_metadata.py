@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import keys
-from gaugeworks.operators import catalog, lineage
+from gaugeworks.operators import catalog, joins, lineage
 
 T0 = datetime(2024, 1, 1)
 
@@ -132,6 +132,38 @@ def test_walk_with_cycle_and_shortcut(spark, monkeypatch, filter_keys, max_rows,
     assert lineage.lineage_walk(edges, "nowhere", "upstream", **sizes).isEmpty()
 
 
+def test_filters_on_clustered_edges_skip_files(spark):
+    edges = spark.range(2000).selectExpr(
+        "lpad(id % 100, 3, '0') AS upstream", "CAST(id % 1000 AS STRING) AS downstream")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge such small files
+    try:
+        stored = lineage.clustered_edges(edges, "upstream")
+        assert stored.count() == 1000 and len(stored.inputFiles()) > 1
+        wanted = stored.where(F.col("upstream").isin(["007"])).select("downstream")
+        assert len(wanted.collect()) == 10
+        scan = wanted._jdf.queryExecution().executedPlan().collectLeaves().head()
+        assert scan.metrics().apply("numOutputRows").value() < 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("sizes", [{}, {"max_rows": 0}, {"max_rows": 0, "hot_rows": 1}])
+def test_checks_count_hot_keys_before_joining(spark, monkeypatch, sizes):
+    counted = []
+    count = joins.hot_buckets_of_each
+    monkeypatch.setattr(
+        joins, "hot_buckets_of_each", lambda df, *a: (counted.append(df), count(df, *a))[1])
+    edges = spark.createDataFrame(
+        [("a", "b"), ("a", "x"), ("y", "b"), ("y", "x"), ("y", "x")], "upstream string, downstream string")
+    known = spark.createDataFrame([("a",), ("b",)], "key string")
+    got = catalog.orphan_edges(edges, known, **sizes)
+    assert pairs(got, "upstream", "downstream", "missing_end") == [
+        ("a", "x", "downstream"), ("y", "b", "upstream"), ("y", "x", "both"), ("y", "x", "both")]
+    assert len(counted) == (1 if sizes else 0)
+    for df in counted:
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_walk_too_deep_raises(spark):
     chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(5)], "upstream string, downstream string")
     with pytest.raises(ValueError, match="deeper than 3"):
@@ -144,6 +176,9 @@ def test_edges_from_inputs_jobs_and_mappings(spark):
         "downstream string, inputs array<string>, ts timestamp, actor string")
     assert pairs(lineage.lineage_edges(inputs), "upstream", "downstream", "type") == [
         ("lookup", "enriched", "TRANSFORMED"), ("profiles", "enriched", "TRANSFORMED")]
+    typed = inputs.withColumns({"type": F.lit(lineage.COPY), "job": F.lit("j")})
+    assert pairs(lineage.lineage_edges(typed), "upstream", "type", "job", "description") == [
+        ("lookup", "COPY", "j", None), ("profiles", "COPY", "j", None)]
     jobs = spark.createDataFrame(
         [("j2", ["p", "z"], ["e"], ["j1"]), ("j1", ["r"], ["p"], None)],
         "job string, input_datasets array<string>, output_datasets array<string>, input_jobs array<string>")

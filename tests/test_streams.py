@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from gaugeworks.operators.joins import sized_join
 from gaugeworks.streaming import changes
 
 T0 = datetime(2024, 1, 1)
@@ -17,17 +18,17 @@ def stream(spark, path, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in*")
 
 
-@pytest.mark.parametrize("max_rows", [1000, 0])
-def test_alerts_equal_the_batch_result_on_both_join_ways(spark, tmp_path, max_rows):
+@pytest.mark.parametrize("sizes", [{}, {"max_rows": 0}, {"max_rows": 0, "hot_rows": 2}])
+def test_alerts_equal_the_batch_result_on_all_join_ways(spark, tmp_path, sizes):
     schema = "entity string, status string, run_id long"
     rows = [[(f"e{i % 5}", "FAILED" if i % 3 else "SUCCESS", i) for i in range(s, s + 20)] for s in (0, 20)]
     write_files(spark, tmp_path, rows, schema)
     tiers = spark.createDataFrame(
         [("e1", "Tier1"), ("e1", "Tier1"), ("e2", "Tier1"), ("e3", "Tier2")], "entity string, tier string")
-    alerts = changes.alert_stream(stream(spark, tmp_path, schema), tiers, max_rows=max_rows)
-    out = str(tmp_path / "out")
-    changes.run_to_files(alerts, out, str(tmp_path / "progress")).awaitTermination()
-    got = sorted(r.run_id for r in spark.read.parquet(out).collect())
+    out, source = str(tmp_path / "out"), stream(spark, tmp_path, schema)
+    assert changes.read_batches(spark, out, source.schema).isEmpty()
+    changes.run_alerts_to_files(source, tiers, out, str(tmp_path / "progress"), **sizes).awaitTermination()
+    got = sorted(r.run_id for r in changes.read_batches(spark, out, source.schema).collect())
     assert got == [i for i in range(40) if i % 5 in (1, 2) and i % 3]
 
 
@@ -55,3 +56,26 @@ def test_state_over_several_batches_and_after_a_restart(spark, tmp_path):
     spark.createDataFrame([("a", "x", "9", T0 + timedelta(days=2), 9)], LOG).coalesce(1).write.parquet(
         str(tmp_path / "in9"))
     assert run() == {"a": ("9", 9), "b": ("2", 2)}
+
+
+def test_state_is_merged_and_repeats_leave_commits_alone(spark, tmp_path):
+    rows = [[(f"k{i % 3}", "x", str(i), T0 + timedelta(days=i), i)] for i in range(7)]
+    write_files(spark, tmp_path, rows, LOG)
+    out = str(tmp_path / "out")
+    state = changes.latest_state(stream(spark, tmp_path, LOG))
+    changes.run_state_to_files(state, out, str(tmp_path / "p"), merge_every=3).awaitTermination()
+    commits = changes._commits(spark, out)
+    assert sorted(b for b, merged in commits if merged) == [2, 5]
+    assert len(changes.state_folders(spark, out)) == 2  # the merge after batch 5, and batch 6
+    found = changes.read_state(spark, out, state.schema).collect()
+    assert {r.urn: r.value for r in found} == {"k0": "6", "k1": "4", "k2": "5"}
+    changes._commit(spark.range(9), out, 6)
+    (tmp_path / "out" / "data" / "7-half").mkdir()
+    assert changes._commits(spark, out) == commits
+
+
+def test_streams_are_joined_per_batch(spark, tmp_path):
+    write_files(spark, tmp_path, [[("e", 1)]], "entity string, x int")
+    tiers = spark.createDataFrame([("e", "Tier1")], "entity string, tier string")
+    with pytest.raises(ValueError, match="micro-batch"):
+        sized_join(stream(spark, tmp_path, "entity string, x int"), tiers, ["entity"])
