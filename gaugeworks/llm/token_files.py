@@ -107,9 +107,36 @@ class PieceEncoder:
         return self.encode_pieces(first) + b"".join(map(self.words.__getitem__, others))
 
 
+class TextEncoder(PieceEncoder):
+    """A PieceEncoder that recognises the file's added tokens inside texts, as the library does.
+
+    The text between added tokens is encoded on its own. Added tokens that strip blanks, stand
+    as single words only or match normalised text are left to the library's whole-text call.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path)
+        listed = self.library.get_added_tokens_decoder()
+        self.added = {token.content: struct.pack("<I", number) for number, token in listed.items() if token.content}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in listed.values())
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile(f"({'|'.join(map(re.escape, longest_first))})")
+
+    def encode(self, text: str) -> bytes:
+        if not any(content in text for content in self.added):
+            return super().encode(text)
+        if not self.plain:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        between = super().encode
+        return b"".join(
+            self.added[part] if k % 2 else between(part) for k, part in enumerate(self.marks.split(text))
+        )
+
+
 @cache
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -155,8 +182,9 @@ def write_token_files(
     shared dictionary, beside an index: ids, offsets (one more than documents), token
     counts, and the dictionary's hash. Shards are rows of Parquet files, which Spark commits
     to any store; reading the index leaves the payloads alone. Texts are dealt into ranges
-    of ids once, as text; each task encodes its range in order. Null texts count as empty,
-    and every document ends with `end_id`. Null ids come first; rows of one id are ordered
+    of ids once, as text; each task encodes its range in order. Added tokens of the tokenizer's
+    file inside a text get their own ids. Null texts count as empty, and every document ends with
+    `end_id`. Null ids come first; rows of one id are ordered
     by a hash of their text. An empty table writes no shard.
     """
     spark = df.sparkSession

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from gaugeworks.llm import token_files as F
 
@@ -71,3 +71,32 @@ def test_dictionary_helps_short_documents(spark, tmp_path):
     plain = sum(len(F.zstandard.ZstdCompressor(level=3).compress(x)) for x in short)
     shared = F.zstandard.ZstdCompressor(level=3, dict_data=F.zstandard.ZstdCompressionDict(raw))
     assert raw and sum(len(shared.compress(x)) for x in short) < 0.9 * plain
+
+
+MARKED = [
+    "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "one two\n\n<|endoftext|>  three it's", "<|endoftext|",
+    "tail <|endoftext|>", " \n<|endoftext|>\n ", "plain words", "", "漢字<|endoftext|>é <|endoftext|>" + " word" * 500,
+]
+
+
+def test_added_tokens_inside_texts_match_the_library(spark, tmp_path):
+    library = Tokenizer.from_file(F.TOKENIZER)
+    assert library.encode(MARKED[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    F.write_token_files(docs, str(tmp_path / "marked"))
+    start = 0
+    for row in sorted(F.read_token_files(spark, str(tmp_path / "marked")).collect(), key=lambda r: r["id"]):
+        want = library.encode(MARKED[row["id"]], add_special_tokens=False).ids + [0]
+        assert np.frombuffer(bytes(row["ids"]), "<u4").tolist() == want
+        assert (row["start"], row["n_tokens"]) == (start, len(want))
+        start += len(want)
+
+
+@pytest.mark.parametrize("flags", [{"lstrip": True}, {"rstrip": True}, {"single_word": True}, {"normalized": True}])
+def test_flags_of_added_tokens_match_the_library(tmp_path, flags):
+    library = Tokenizer.from_file(F.TOKENIZER)
+    library.add_tokens([AddedToken("<x>", **{"normalized": False} | flags), AddedToken("<x><y>", normalized=False)])
+    library.save(str(tmp_path / "t.json"))
+    own = F.TextEncoder(str(tmp_path / "t.json"))
+    for text in [*MARKED, "a <x> b", "a<x>b", " <x><y><x> ", "<|endoftext|> <x>\n<y>"]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
