@@ -5,7 +5,9 @@ Everything here is DataFrame functions: no Python runs on the executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import pkgutil
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ EQUIVALENTS = [
     ("v3", "version 3"),
 ]
 
-# Texts of short licences and of one-line notices.
+# The short list that the checking SQL knows; the query knows `known_texts` too.
 KNOWN = [
     ("MIT", """MIT License
 
@@ -94,6 +96,31 @@ For more information, please refer to <https://unlicense.org>"""),
 ]
 
 
+def known_texts(data: str = "known_licences.json") -> Iterator[tuple[str, str]]:
+    """Names and texts of the package's table of licences.
+
+    A licence's texts are its bodies with each of its titles, endings and variants (values of
+    the slots @0@, @1@ and so on); its notices are its names in each of the phrases.
+    """
+    listed = json.loads(pkgutil.get_data(__package__, data))
+    for item in listed["licenses"]:
+        for body in item["bodies"]:
+            for title in item["titles"]:
+                for ending in dict.fromkeys(item["endings"]):
+                    whole = f"{title}\n{body}\n{ending}"
+                    for values in item["variants"] or [[]]:
+                        text = whole
+                        for slot, value in enumerate(values):
+                            text = text.replace(f"@{slot}@", value)
+                        yield item["license"], text
+        for name in item["names"]:
+            for phrase in listed["phrases"]:
+                yield item["license"], phrase.format(name)
+
+
+ALL_KNOWN = [*KNOWN, *known_texts()]
+
+
 def canonical_lines(text: Column) -> Column:
     """Lines of a text in canonical words: lower case (A-Z), no punctuation, no copyright
     lines, one spelling. A line without words is an empty string."""
@@ -117,7 +144,7 @@ def canonical_digest(lines: Column) -> Column:
     return F.sha2(F.array_join(F.filter(lines, lambda line: line != ""), " "), 256)
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = ALL_KNOWN) -> DataFrame:
     """Digests of known texts: digest and license, the first name for texts that agree."""
     listed = spark.createDataFrame(
         [(i, name, text) for i, (name, text) in enumerate(known)], "place int, license string, body string"
@@ -128,7 +155,7 @@ def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN)
 
 
 def scan_licenses(
-    df: DataFrame, id_column: str = "doc_id", text: str = "text", known: Sequence[tuple[str, str]] = KNOWN
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", known: Sequence[tuple[str, str]] = ALL_KNOWN
 ) -> DataFrame:
     """Licences of whole texts: id, text_digest, license, notices; one row per input row.
 
@@ -142,15 +169,18 @@ def scan_licenses(
     Other columns are left out.
     """
     names = known_digests(df.sparkSession, known)
-    lookup = names.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("m")).first()["m"]
-    pairs = [F.lit(part) for item in sorted(lookup.items()) for part in item]
-    table_of_lines = F.create_map(*pairs) if pairs else F.expr("map('', '')")
+    lookup = {row["digest"]: row["license"] for row in names.collect()}
+    # One literal each, however many texts are known: a set that every line is looked up in, and
+    # a map that is read for the lines found.
+    listed = ", ".join(f"'{digest}'" for digest in sorted(lookup)) or "''"
+    found_lines = F.expr(f"filter(lines, line -> sha2(line, 256) in ({listed}))")
+    table_of_lines = F.from_json(F.lit(json.dumps(lookup)), "map<string, string>")
     read = df.select(F.col(f"`{id_column}`").alias("id"), canonical_lines(F.col(f"`{text}`")).alias("lines"))
     nothing = F.sha2(F.lit(""), 256)
     digested = read.select(
         "id",
         canonical_digest(F.col("lines")).alias("text_digest"),
-        F.transform("lines", lambda line: F.element_at(table_of_lines, F.sha2(line, 256))).alias("hits"),
+        F.transform(found_lines, lambda line: F.element_at(table_of_lines, F.sha2(line, 256))).alias("hits"),
     )
     matched = digested.join(
         F.broadcast(names.where(F.col("digest") != nothing).withColumnRenamed("digest", "text_digest")), "text_digest", "left"

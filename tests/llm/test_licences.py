@@ -53,3 +53,38 @@ def test_edge_cases(spark):
     assert {r["license"] for r in L.scan_licenses(docs, known=[]).collect()} == {None}
     plan = L.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_table_names_the_usual_licences(spark):
+    """Every text and notice of the package's table leads to its own licence."""
+    known = list(L.known_texts())
+    whole = {name for name, text in known if len(text) > 500}
+    assert whole >= {
+        "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Zlib", "BSL-1.0", "Apache-2.0", "GPL-1.0",
+        "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "GFDL-1.2", "GFDL-1.3", "CC0-1.0",
+        "CC-BY-4.0", "CC-BY-SA-4.0", "OFL-1.1", "Unicode-3.0",
+    }
+    got = scan(spark, [text for _, text in known])
+    assert {i: got[i][0] for i in got} == {i: name for i, (name, _) in enumerate(known)}
+
+
+def test_variants_and_notices_of_other_licences(spark):
+    mit = L.KNOWN[0][1].split("\n", 1)[1]
+    third = """Copyright 2020, A Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+* Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+""" + L.KNOWN[3][1][L.KNOWN[3][1].index("THIS SOFTWARE"):]
+    got = scan(spark, [
+        mit, third, "Text.\nLicensed under the GNU General Public License, version 2.\n", "Text.\n# SPDX-License-Identifier: BSD-3-Clause",
+        "This work is licensed under CC BY 4.0.", "Released under the Mozilla Public Licence, v. 2.0\nText", "Licensed under AGPL-3.0\nText",
+        third.replace("without specific", "with no"), "The GPL is one licence, MIT another.",
+    ])
+    assert got == {
+        0: ("MIT", ""), 1: ("BSD-3-Clause", ""), 2: (None, "GPL-2.0"), 3: (None, "BSD-3-Clause"), 4: ("CC-BY-4.0", "CC-BY-4.0"),
+        5: (None, "MPL-2.0"), 6: (None, "AGPL-3.0"), 7: (None, ""), 8: (None, ""),
+    }
