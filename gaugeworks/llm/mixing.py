@@ -17,7 +17,6 @@ BLOCK_DOCS = 1024
 #: Production settings: nats of entropy as a share of the largest possible, and repetitions.
 ENTROPY_SHARE = 0.95
 MAX_REPEAT = 2.0
-STAGE_MAX_REPEAT = 1.25
 
 
 def tempered(shares: Sequence[float], exponent: float) -> list[float]:
@@ -180,8 +179,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, smaller sources up to STAGE_MAX_REPEAT times."""
-    return mix_sources(docs, max_repeat=STAGE_MAX_REPEAT).select(docs.columns)
+    """The production settings without a budget: every document at least once, smaller sources
+    up to MAX_REPEAT times."""
+    return mix_sources(docs, entropy_share=ENTROPY_SHARE, max_repeat=MAX_REPEAT).select(docs.columns)
 
 
 QUERIES = {"op10_source_mixing": op10_source_mixing}

@@ -67,3 +67,15 @@ def test_edge_cases(spark):
     assert M.mixing_stage(spark, docs.limit(0), "").count() == 0
     assert M.mix_sources(docs.limit(0), budget=5, entropy_share=0.9).count() == 0
     assert M.mix_sources(docs.limit(2), budget=5, entropy_share=0.9).count() == 0
+
+
+def test_stage_flattens_a_hot_source(spark):
+    rows = [("w " * 20, i, "en", "hot" if i % 3 == 0 else f"s{i % 20}", 40) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "text string, doc_id long, lang string, source string, n_chars long")
+    times = Counter((r["source"], r["doc_id"]) for r in M.mixing_stage(spark, docs, "").collect())
+    assert {i for _, i in times} == set(range(3000)) and set(times.values()) <= {1, 2}
+    total = sum(times.values())
+    share = Counter()
+    for (source, _), n in times.items():
+        share[source] += n / total
+    assert share["hot"] < 0.22 and M.entropy(list(share.values())) > 0.94 * math.log(21)
