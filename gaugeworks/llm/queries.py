@@ -1,13 +1,13 @@
 """The corpus operators' queries and checking SQL."""
 
 from gaugeworks.llm import (
-    bpe, embeddings, licences, mixing, quality, rules, simhash, sketches, substrings, token_files,
-    token_rollup,
+    bpe, conversations, embeddings, licences, mixing, quality, rules, simhash, sketches, substrings,
+    token_files, token_rollup,
 )
 
 _MODULES = [
     token_rollup, simhash, embeddings, token_files, substrings, bpe, quality, sketches, licences,
-    mixing, rules,
+    mixing, conversations, rules,
 ]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
