@@ -2,12 +2,12 @@
 
 from gaugeworks.llm import (
     bpe, conversations, embeddings, licences, mixing, quality, rules, simhash, sketches, substrings,
-    token_files, token_rollup,
+    token_files, token_rollup, whitening,
 )
 
 _MODULES = [
     token_rollup, simhash, embeddings, token_files, substrings, bpe, quality, sketches, licences,
-    mixing, conversations, rules,
+    mixing, whitening, conversations, rules,
 ]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}

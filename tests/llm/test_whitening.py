@@ -1,0 +1,145 @@
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from gaugeworks.llm import whitening as W
+
+SF = "/root/testdata/sf0.01"
+
+
+def vectors_of(kind, width, count):
+    rng = np.random.default_rng(width * 1000 + count)
+    if kind == "normal":
+        return rng.normal(size=(count, width)) * np.logspace(0, -3, width)
+    if kind == "whole":
+        return np.round(rng.normal(size=(count, width)) * 3)
+    if kind == "axes":
+        return np.eye(width)[rng.integers(0, width, count)]
+    flat = rng.normal(size=(count, 2)) @ rng.normal(size=(2, width))
+    return np.r_[flat, flat]
+
+
+@pytest.mark.parametrize("kind", ["normal", "whole", "axes", "flat"])
+@pytest.mark.parametrize("width,count", [(1, 5), (2, 3), (6, 4), (6, 60), (33, 200)])
+def test_rank_one_updates(kind, width, count):
+    rows = vectors_of(kind, width, count)
+    spectrum = W.Spectrum(width)
+    for row in rows:
+        spectrum.add(row)
+    matrix = rows.T @ rows
+    scale = np.linalg.norm(matrix)
+    assert np.abs(spectrum.vectors * spectrum.values @ spectrum.vectors.T - matrix).max() < 1e-12 * scale
+    assert np.abs(spectrum.vectors.T @ spectrum.vectors - np.eye(len(spectrum.values))).max() < 1e-12
+    want = np.linalg.eigvalsh(matrix)
+    assert np.abs(want[width - len(spectrum.values):] - spectrum.values).max() < 1e-12 * scale
+    assert np.abs(want[: width - len(spectrum.values)]).max(initial=0) < 1e-12 * scale
+
+
+def test_merge_of_spectra():
+    rows = vectors_of("normal", 12, 90)
+    whole, parts = W.Spectrum(12), [W.Spectrum(12) for _ in range(3)]
+    for i, row in enumerate(rows):
+        whole.add(row)
+        parts[i % 3].add(row)
+    parts[0].merge(parts[1])
+    parts[0].merge(parts[2])
+    assert np.allclose(parts[0].values, whole.values, rtol=1e-11, atol=1e-13 * whole.values[-1])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_secular_roots(seed):
+    """Roots interlace with the poles and solve the equation, poles close together as well."""
+    rng = np.random.default_rng(seed)
+    d = np.cumsum(10.0 ** rng.uniform(-9, 2, 9))
+    z, rho = 10.0 ** rng.uniform(-6, 0, 9), float(10 ** rng.uniform(-3, 3))
+    origin, offset = W.secular_roots(d, z, rho)
+    want = np.linalg.eigvalsh(np.diag(d) + rho * np.outer(z, z))
+    found = d[origin] + offset
+    assert np.allclose(found, want, rtol=1e-12, atol=1e-13 * want[-1])
+    for j in range(9):
+        exact = [Fraction(float(x)) for x in d]
+        root = exact[origin[j]] + Fraction(float(offset[j]))
+        assert exact[j] < root and (j == 8 or root < exact[j + 1])
+
+
+def brute(rows, components=32):
+    """rows: list of (id, vector); whitening by the library's eigenvalues of the exact covariance."""
+    x = [[math.floor(64 * float(c)) + 1_000_000 for c in v] for _, v in rows]
+    n, width = len(x), len(x[0])
+    sums = [sum(r[k] for r in x) for k in range(width)]
+    off = [[n * c - s for c, s in zip(r, sums)] for r in x]
+    cov = np.array([[float(Fraction(sum(r[i] * r[j] for r in off), n**3)) for j in range(width)] for i in range(width)])
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    rank = int((values > 1e-12 * values.sum()).sum())
+    centred = np.array([[float(Fraction(c, n)) for c in r] for r in off])
+    white = centred @ vectors[:, : min(rank, components)] / np.sqrt(values[: min(rank, components)])
+    return n, [sum(c * c for c in r) for r in off], white, values / values.sum()
+
+
+def compare(got, rows, same_ids=False):
+    n, deviation, white, share = brute(rows)
+    assert len(got) == white.size
+    table = np.zeros_like(white)
+    place = {i: k for k, (i, _) in enumerate(rows)}
+    for r in got:
+        k = place[r["id"]]
+        assert r["n"] == n and r["deviation"] == deviation[k]
+        assert r["explained"] == pytest.approx(share[r["component"] - 1], rel=1e-8)
+        assert 0 <= r["identity_error"] < 1e-9
+        table[k, r["component"] - 1] = r["whitened"]
+    signs = np.sign((table * white).sum(axis=0))
+    assert np.abs(table * signs - white).max() < 1e-6
+    assert np.abs(table.T @ table / n - np.eye(white.shape[1])).max() < 1e-9
+
+
+def test_query_matches_brute_force(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    got = W.op11_embedding_whitening(spark, SF).withColumnRenamed("vec_id", "id").collect()
+    compare(got, rows)
+
+
+def test_many_tasks_merge(spark, monkeypatch):
+    monkeypatch.setattr(W, "FAN_IN", 2)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=5) * [9, 5, 2, 1, 0.5]).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9)
+    compare(W.whiten_embeddings(df).collect(), rows)
+
+
+def test_rows_left_out_and_other_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(30)]
+    other = [(100 + i, rng.normal(size=2).tolist()) for i in range(10)]
+    odd = [(200, None), (201, []), (202, [1.0, None, 2.0]), (203, [math.nan, 0.0, 0.0]), (204, [math.inf, 0.0, 0.0]), (205, [1e300, 0.0, 0.0])]
+    df = spark.createDataFrame(
+        [(i, v, 1, "x", 2.0) for i, v in rows + other + odd],
+        "vec_id long, embedding array<double>, component int, n string, y double",
+    )
+    got = W.whiten_embeddings(df).collect()
+    compare([r for r in got if r["id"] < 100], rows)
+    compare([r for r in got if r["id"] >= 100], other)
+
+
+def test_no_variance_and_ties(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert W.whiten_embeddings(spark.createDataFrame([], schema)).count() == 0
+    assert W.whiten_embeddings(spark.createDataFrame([(1, [1.0, 2.0])], schema)).count() == 0
+    assert W.whiten_embeddings(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], schema)).count() == 0
+    # A third of equal rows, repeated ids, a null id, and equal eigenvalues.
+    rows = [(1, [0.0, 0.0])] * 4 + [(None, [1.0, 0.0]), (3, [-1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, -1.0])]
+    got = W.whiten_embeddings(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 16 and {r["explained"] for r in got} == {0.5}
+    assert all(r["identity_error"] < 1e-12 for r in got)
+    assert all(r["deviation"] == 0 and r["whitened"] == 0 for r in got if r["id"] == 1)
+
+
+def test_deviation_beyond_a_long():
+    whole = np.array([[2.0**50], [-(2.0**50)]])
+    fit = W.Whitening(2, (0,), np.eye(1), np.ones(1), 1.0)
+    assert W.deviations(whole, fit) == [None, None]
+    fit = W.Whitening(2, (2**51 - 6,), np.eye(1), np.ones(1), 1.0)
+    assert W.deviations(whole[:1], fit) == [36]
