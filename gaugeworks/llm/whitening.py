@@ -40,8 +40,8 @@ def secular_roots(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray,
     ends = np.r_[d[1:], d[-1] + rho * squares.sum()]
     gap = ends - d
     index = np.arange(n)
-    left_of = index[:, None] <= index  # pole i is left of root j
-    middle = 1 / rho + (squares[:, None] / (d[:, None] - (d + gap / 2))).sum(axis=0)
+    left_of = (index[:, None] <= index).astype(float)  # pole i is left of root j
+    middle = 1 / rho + squares @ (1 / (d[:, None] - (d + gap / 2)))
     origin = np.where((middle >= 0) | (index == n - 1), index, np.minimum(index + 1, n - 1))
     right = origin > index
     poles = d[:, None] - d[origin]
@@ -50,18 +50,18 @@ def secular_roots(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray,
     below, above = d - d[origin], ends - d[origin]
     x = (lo + hi) / 2
     for _ in range(80):
-        distance = poles - x
-        terms = squares[:, None] / distance
-        value = 1 / rho + terms.sum(axis=0)
-        small = 8 * _EPS * n * (1 / rho + np.abs(terms).sum(axis=0))
+        inverse = 1 / (poles - x)
+        left, every = squares @ (inverse * left_of), squares @ inverse
+        value = 1 / rho + every
+        small = 8 * _EPS * n * (1 / rho + every - 2 * left)  # terms on the left are negative
         negative = value < 0
         lo, hi = np.where(negative, x, lo), np.where(negative, hi, x)
         open_ = (np.abs(value) > small) & (hi - lo > 2 * _EPS * np.maximum(np.abs(lo), np.abs(hi)))
         if not open_.any():
             break
-        slopes = terms / distance
-        slope_left = np.where(left_of, slopes, 0.0).sum(axis=0)
-        slope_right = slopes.sum(axis=0) - slope_left
+        inverse *= inverse
+        slope_left = squares @ (inverse * left_of)
+        slope_right = squares @ inverse - slope_left
         to_left, to_right = below - x, above - x
         c = value - to_left * slope_left - to_right * slope_right
         a = (to_left + to_right) * value - to_left * to_right * (slope_left + slope_right)
