@@ -8,6 +8,7 @@ from typing import Literal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.contraction import contract_runs
 from gaugeworks.operators.joins import (
     BROADCAST_BYTES, BROADCAST_ROWS, HOT_ROWS, hot_buckets, sized_join,
 )
@@ -16,6 +17,8 @@ from gaugeworks.session import settle, settle_measured
 # Types of edges.
 TRANSFORMED, COPY, VIEW = "TRANSFORMED", "COPY", "VIEW"
 FILTER_KEYS = 1_000
+#: Rounds after which a walk counts as a deep one.
+CONTRACT_AFTER = 12
 
 
 def lineage_edges(inputs: DataFrame) -> DataFrame:
@@ -103,6 +106,7 @@ def lineage_walk(
     direction: Literal["upstream", "downstream"],
     max_hops: int | None = None,
     *,
+    contract_after: int = CONTRACT_AFTER,
     max_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -110,23 +114,34 @@ def lineage_walk(
 
     Breadth first: each round joins the newly found entities to the edges and drops those
     seen before, so cycles end and a diamond is not walked twice. The found set is written
-    to the shared folder per round and measured by that write. A frontier of up to `FILTER_KEYS` entities becomes a
-    filter the scan can use to skip files and row groups, one of up to `max_rows` is
-    broadcast; for a larger one the edges of hot entities are salted, as one may hold a
-    large part of all edges. It ends when a round finds nothing; with a `max_hops`, walks that
-    are deeper raise rather than return a part.
-
-    Each round scans the edges, so pass a stored table: for an upstream walk the
-    `clustered_edges` by downstream, and the other way round. A few keys skip all but their
-    own row groups; many skip what lies outside the least and the greatest of them.
+    to the shared folder per round and measured by that write. A frontier of up to
+    `FILTER_KEYS` entities becomes a filter the scan can use to skip files and row groups,
+    one of up to `max_rows` is broadcast; for a larger one the edges of hot entities are
+    salted, as one may hold a large part of all edges. It ends when a round finds nothing;
+    with a `max_hops`, walks that are deeper raise rather than return a part.
+
+    A walk that goes on after `contract_after` rounds is a deep one: then runs of entities
+    without a branch become single steps (see `contract_runs`), and the rest of the walk
+    takes a round per step between branches, not per hop.
+
+    Each round scans the edges, so pass a stored table: for many walks the `clustered_edges`
+    by the end that is looked up. A few keys skip all but their own row groups; many skip
+    what lies outside the least and the greatest of them.
     """
     here, there = ("downstream", "upstream") if direction == "upstream" else (
         "upstream", "downstream")
-    steps = edges.select(F.col(here).alias("entity"), F.col(there).alias("next"))
+    steps = edges.select(F.col(here).alias("entity"), F.col(there).alias("next")).where(
+        "entity IS NOT NULL AND next IS NOT NULL")
+    too_deep = ValueError(f"lineage of {start} is deeper than {max_hops} hops")
     found = edges.sparkSession.range(1).select(F.lit(start).alias("entity"))
     seen = found.withColumn("hops", F.lit(0))
     rows, size, hot = 1, len(start.encode()), None
-    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
+    for hop in count(1):
+        if hop > contract_after:
+            walked = _deep_walk(steps, seen, found, hop - 1, max_rows, hot_rows)
+            if max_hops is not None and not walked.where(F.col("hops") > max_hops).isEmpty():
+                raise too_deep
+            return walked.where(F.col("hops") > 0)
         if rows <= min(FILTER_KEYS, max_rows):
             keys = [row["entity"] for row in found.collect()]
             matched = steps.where(F.col("entity").isin(keys))
@@ -135,7 +150,7 @@ def lineage_walk(
             if not small and hot is None:
                 hot = hot_buckets(steps, ["entity"], hot_rows)
             matched = sized_join(steps, found, ["entity"], "left_semi", small=small, hot=hot)
-        reached = matched.select(F.col("next").alias("entity")).where("entity IS NOT NULL")
+        reached = matched.select(F.col("next").alias("entity"))
         found, measured = settle_measured(
             reached.distinct().join(seen.select("entity"), "entity", "left_anti"),
             n=F.count(F.lit(1)), bytes=F.sum(F.octet_length("entity")),
@@ -143,5 +158,42 @@ def lineage_walk(
         rows, size = measured["n"], measured["bytes"]
         if rows == 0:
             return seen.where(F.col("hops") > 0)
+        if max_hops is not None and hop > max_hops:
+            raise too_deep
         seen = seen.unionByName(found.withColumn("hops", F.lit(hop)))
-    raise ValueError(f"lineage of {start} is deeper than {max_hops} hops")
+
+
+def _deep_walk(
+    steps: DataFrame, seen: DataFrame, frontier: DataFrame, hops: int, max_rows: int, hot_rows: int
+) -> DataFrame:
+    """Go on from a frontier over contracted steps; (entity, hops) of all that is reached.
+
+    What was seen before is final, so steps into it are dropped. A step may stand for many
+    hops, so an entity's hops can still fall after it was first reached; entities whose hops
+    fell are looked at again, until none does.
+    """
+    seen = settle(seen)
+    ahead = sized_join(
+        steps, seen.select(F.col("entity").alias("next")), ["next"], "left_anti",
+        max_rows=max_rows, hot_rows=hot_rows,
+    )
+    contracted = contract_runs(settle(ahead.select("entity", "next").distinct()), frontier)
+    hot = hot_buckets(contracted.steps, ["entity"], hot_rows)
+    changed = frontier.select("entity", F.lit(hops).cast("bigint").alias("hops"))
+    best = changed
+    while True:
+        # A few columns of few entities mostly; the join measures them.
+        moved = sized_join(contracted.steps, changed, ["entity"], max_rows=max_rows, hot=hot)
+        offered = moved.groupBy(F.col("next").alias("entity")).agg(
+            F.min(F.col("hops") + F.col("weight")).alias("offer"))
+        better = offered.join(best, "entity", "left").where("hops IS NULL OR offer < hops")
+        changed, measured = settle_measured(
+            better.select("entity", F.col("offer").alias("hops")), n=F.count(F.lit(1)))
+        if measured["n"] == 0:
+            break
+        best = settle(best.unionByName(changed).groupBy("entity").agg(F.min("hops").alias("hops")))
+    entered = contracted.steps.where("head IS NOT NULL").join(best, "entity").select("head", "hops")
+    within = sized_join(contracted.members, settle(entered), ["head"], max_rows=max_rows, hot_rows=hot_rows)
+    within = within.select("entity", F.col("hops") + F.col("offset") + 1)
+    later = best.unionAll(within).select("entity", F.col("hops").cast("int"))
+    return seen.unionByName(later.join(frontier, "entity", "left_anti"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import lineage
 from gaugeworks.plans.standins import table, tagged
+from gaugeworks.session import settle
 
 
 def line_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +78,9 @@ def q_column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lineage_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = key_edges(spark, sf_dir)
-    by_downstream = lineage.clustered_edges(edges, "downstream")
-    by_upstream = lineage.clustered_edges(edges, "upstream")
-    up = lineage.lineage_walk(by_downstream, "region:0", "upstream")
-    down = lineage.lineage_walk(by_upstream, "part:1", "downstream")
+    edges = settle(key_edges(spark, sf_dir))  # two walks do not pay for sorting them
+    up = lineage.lineage_walk(edges, "region:0", "upstream")
+    down = lineage.lineage_walk(edges, "part:1", "downstream")
     return up.withColumn("walk", F.lit("upstream of region:0")).unionByName(
         down.withColumn("walk", F.lit("downstream of part:1"))
     )
