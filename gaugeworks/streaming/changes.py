@@ -1,8 +1,12 @@
-"""Jobs over the change stream: alerts, and the current state of every aspect."""
+"""Jobs over the change stream: alerts, and the current state of every aspect.
+
+What a job writes is one Parquet table with a partition folder per micro-batch. A batch that
+is repeated after a failure replaces its own folder, so a restart changes nothing twice.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +19,7 @@ from gaugeworks.operators.quality import FAILED
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_COMMIT = "batch bigint, merged boolean, folder string"
+BATCH = "batch"
 
 
 def tier_alerts(
@@ -44,10 +48,7 @@ def run_alerts_to_files(
     broadcast, counts its own hot entities. The tier table's files are listed at the start:
     restart the query to see entities whose tier changed. Read with `read_batches`.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        _commit(tier_alerts(batch, tiers, tier, **sizes), path, batch_id)
-
+    write = _batch_writer(path, lambda batch: tier_alerts(batch, tiers, tier, **sizes))
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -56,41 +57,31 @@ def run_alerts_to_files(
     )
 
 
-def _commits(spark: SparkSession, path: str) -> dict[tuple[int, bool], str]:
-    """Folder of each committed batch and of each merge, by (batch, whether a merge)."""
-    try:
-        rows = spark.read.schema(_COMMIT).parquet(f"{path}/commits").collect()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return {}
-    return {(row["batch"], row["merged"]): f"{path}/{row['folder']}" for row in rows}
-
+def _batch_writer(
+    path: str, made: Callable[[DataFrame], DataFrame] = lambda batch: batch
+) -> Callable[[DataFrame, int], None]:
+    """Writer of each micro-batch to its own partition folder."""
 
-def _commit(rows: DataFrame, path: str, batch_id: int, merged: bool = False) -> None:
-    """Write a batch to a new folder, then name that folder in the table of commits.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        made(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
-    Readers see only named folders, so never half a batch; a batch that is repeated after
-    its commit is left as it is. The table of commits has one small row per batch.
-    """
-    spark = rows.sparkSession
-    if (batch_id, merged) in _commits(spark, path):
-        return
-    folder = f"data/{batch_id}-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/{folder}")
-    named = spark.createDataFrame([(batch_id, merged, folder)], _COMMIT)
-    named.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return write
 
 
-def _read(spark: SparkSession, folders: list[str], schema: T.StructType) -> DataFrame:
-    if not folders:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*folders)
+def _batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches with their batch's number; empty before the first."""
+    stored = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    try:
+        return spark.read.schema(stored).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stored)
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of all committed batches; empty before the first."""
-    return _read(spark, list(_commits(spark, path).values()), schema)
+    """Rows of all batches; empty before the first."""
+    return _batches(spark, path, schema).drop(BATCH)
 
 
 def latest_state(changes: DataFrame, ts: str = "ts", seq: str = "seq") -> DataFrame:
@@ -105,29 +96,19 @@ def latest_state(changes: DataFrame, ts: str = "ts", seq: str = "seq") -> DataFr
     ).select("urn", "aspect", "newest.*")
 
 
-def run_state_to_files(
-    stream: DataFrame, path: str, checkpoint: str, merge_every: int = 20
-) -> StreamingQuery:
-    """Write the keys each micro-batch changed; every so many batches, merge all into one folder.
+def run_state_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the keys that each micro-batch changed, with their new values.
 
-    A reader thus opens one merged folder and at most `merge_every` newer ones. State goes
-    to RocksDB unless the session names a state store of its own.
+    State goes to RocksDB unless the session names a state store of its own. Read with
+    `read_state`.
     """
     conf = stream.sparkSession.conf
     chosen = conf.get(_STATE_STORE, None)
-    stored = _with_batch(stream.schema)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _commit(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), path, batch_id)
-        if (batch_id + 1) % merge_every == 0:
-            _commit(_newest(_read(spark, state_folders(spark, path), stored)), path, batch_id, True)
-
     writer = (
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(write)
+        .foreachBatch(_batch_writer(path))
     )
     if chosen is not None:
         return writer.start()
@@ -138,30 +119,14 @@ def run_state_to_files(
         conf.unset(_STATE_STORE)
 
 
-def state_folders(spark: SparkSession, path: str) -> list[str]:
-    """Folders that hold the current state: the last merge and the batches after it."""
-    commits = _commits(spark, path)
-    base = max((batch for batch, merged in commits if merged), default=-1)
-    return [
-        folder for (batch, merged), folder in commits.items()
-        if batch > base or (merged and batch == base)
-    ]
-
-
 def read_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Current state: each key's row of its last batch; empty before the first batch."""
-    stored = _read(spark, state_folders(spark, path), _with_batch(schema))
-    return _newest(stored).drop("batch")
-
-
-def _with_batch(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    """Current state: each key's row of its last batch; empty before the first batch.
 
-
-def _newest(stored: DataFrame) -> DataFrame:
-    names = [c for c in stored.columns if c not in ("urn", "aspect")]
-    return (
-        stored.groupBy("urn", "aspect")
-        .agg(F.max_by(F.struct(*names), F.col("batch")).alias("newest"))
-        .select("urn", "aspect", "newest.*")
+    The aggregate merges inside the tasks, so a key that every batch changed is one row per
+    task in the shuffle.
+    """
+    names = [c for c in schema.names if c not in ("urn", "aspect")]
+    newest = F.max_by(F.struct(*names), F.col(BATCH)).alias("newest")
+    return _batches(spark, path, schema).groupBy("urn", "aspect").agg(newest).select(
+        "urn", "aspect", "newest.*"
     )

@@ -58,20 +58,45 @@ def test_state_over_several_batches_and_after_a_restart(spark, tmp_path):
     assert run() == {"a": ("9", 9), "b": ("2", 2)}
 
 
-def test_state_is_merged_and_repeats_leave_commits_alone(spark, tmp_path):
-    rows = [[(f"k{i % 3}", "x", str(i), T0 + timedelta(days=i), i)] for i in range(7)]
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    rows = [[(f"k{i % 3}", "x", str(i), T0 + timedelta(days=i), i)] for i in range(5)]
     write_files(spark, tmp_path, rows, LOG)
     out = str(tmp_path / "out")
     state = changes.latest_state(stream(spark, tmp_path, LOG))
-    changes.run_state_to_files(state, out, str(tmp_path / "p"), merge_every=3).awaitTermination()
-    commits = changes._commits(spark, out)
-    assert sorted(b for b, merged in commits if merged) == [2, 5]
-    assert len(changes.state_folders(spark, out)) == 2  # the merge after batch 5, and batch 6
-    found = changes.read_state(spark, out, state.schema).collect()
-    assert {r.urn: r.value for r in found} == {"k0": "6", "k1": "4", "k2": "5"}
-    changes._commit(spark.range(9), out, 6)
-    (tmp_path / "out" / "data" / "7-half").mkdir()
-    assert changes._commits(spark, out) == commits
+    changes.run_state_to_files(state, out, str(tmp_path / "p")).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"batch={i}" for i in range(5)]
+
+    def found():
+        return {r.urn: r.value for r in changes.read_state(spark, out, state.schema).collect()}
+
+    assert found() == {"k0": "3", "k1": "4", "k2": "2"}
+    again = spark.read.schema(state.schema).parquet(f"{out}/batch=3").collect()
+    repeat = spark.createDataFrame(again, state.schema)
+    (tmp_path / "out" / "batch=3" / "part-left-over.parquet").write_bytes(b"half a file")
+    changes._batch_writer(out)(repeat, 3)
+    assert found() == {"k0": "3", "k1": "4", "k2": "2"}
+
+
+def test_replay_of_the_change_log_rebuilds_the_state(spark, tmp_path):
+    """A stream that ends midway, goes on, and is then rebuilt elsewhere from the log alone."""
+    rows = [[(f"k{(i * j) % 4}", f"x{j % 2}", f"{i}.{j}", T0 + timedelta(days=(i * 7 + j) % 11), 10 * i + j)
+             for j in range(6)] for i in range(4)]
+    write_files(spark, tmp_path, rows[:2], LOG)
+    out, progress = str(tmp_path / "out"), str(tmp_path / "p")
+    source = stream(spark, tmp_path, LOG)
+    schema = changes.latest_state(source).schema
+
+    def run(out, progress):
+        changes.run_state_to_files(changes.latest_state(source), out, progress).awaitTermination()
+        return sorted(changes.read_state(spark, out, schema).collect())
+
+    run(out, progress)
+    for i in (2, 3):
+        spark.createDataFrame(rows[i], LOG).coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+    continued = run(out, progress)
+    assert run(f"{tmp_path}/new", f"{tmp_path}/new-p") == continued
+    log = spark.createDataFrame([r for part in rows for r in part], LOG)
+    assert sorted(changes.latest_state(log).collect()) == continued
 
 
 def test_streams_are_joined_per_batch(spark, tmp_path):
