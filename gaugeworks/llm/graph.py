@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.joins import sized_join
-from gaugeworks.session import settle
+from gaugeworks.operators.joins import BROADCAST_ROWS, sized_join
+from gaugeworks.session import settle, settle_measured
 
 
 def _to_smallest(links: DataFrame, by: str, other: str) -> DataFrame:
     """Join every row of `links` to the smallest `other` seen with its `by`."""
-    least = links.groupBy(by).agg(F.min(other).alias("least"))
-    return sized_join(links, least, [by])
+    least, seen = settle_measured(
+        links.groupBy(by).agg(F.min(other).alias("least")), n=F.count(F.lit(1))
+    )
+    return sized_join(links, least, [by], small=seen["n"] <= BROADCAST_ROWS)  # 16 bytes a row
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if state["n"] == 0 or tuple(state) == before:
             break
         before = tuple(state)
-        links = settle(_small_star(_large_star(links)))
+        links = settle(_small_star(settle(_large_star(links))))
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )
