@@ -34,13 +34,23 @@ def fits_broadcast(
 ) -> bool:
     """Measure whether a table may be broadcast.
 
-    Rows are counted where they lie, bytes only if there are few rows. (A limit would move
-    its number of rows from every task into one.)
+    Rows and bytes are taken by one aggregate where they lie. (A limit would move its number
+    of rows from every task into one.)
     """
-    if df.count() > max_rows:
-        return False
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
-    return (size["bytes"] or 0) <= max_bytes
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df.schema)).alias("bytes")).first()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+
+
+def _row_bytes(schema: T.StructType) -> Column:
+    """About the bytes of a row: eight per plain value, texts by their length."""
+    size = F.lit(8 * len(schema))
+    for field in schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif not isinstance(field.dataType, T.AtomicType):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return size
 
 
 def hot_buckets(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> HotBuckets:

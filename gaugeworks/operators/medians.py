@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,7 @@ class _Target:
     rows: int
     low: float
     high: float
+    cuts: tuple[float, float] | None = None
 
     @property
     def known(self) -> bool:
@@ -40,8 +41,9 @@ def exact_medians(
     """Median of each numeric column, middle pair averaged; None without values.
 
     A quantile sketch of the range that holds the wanted rank proposes two cuts just below
-    and above that rank, a second scan counts the rows on either side of the cuts and on
-    them, and the part with the rank is the next range. Cuts go by rank, so two scans thin
+    and above that rank (the first one comes with the scan that takes the ranges), a second
+    scan counts the rows on either side of the cuts and on them, and the part with the rank
+    is the next range. Cuts go by rank, so two scans thin
     the rows over a thousandfold however the values are spread, and a frequent value is
     found as a cut. The counts are exact: a sketch that misses costs a round, not the result.
     Once at most `small` rows remain they are ranked. Per column a few numbers reach the
@@ -51,8 +53,10 @@ def exact_medians(
     NaN is larger than any number here, as in Spark's ordering; infinities count.
     """
     targets = _first_ranges(df, columns)
+    cuts = {t.column: t.cuts for t in targets}
     while wide := [t for t in targets if not t.known and t.rows > small]:
-        _cut_ranges(df, wide)
+        _cut_ranges(df, wide, cuts)
+        cuts = {}
     _rank_rest(df, [t for t in targets if not t.known])
     found = {column: [t.low for t in targets if t.column == column] for column in columns}
     return {c: sum(pair) / len(pair) if pair else None for c, pair in found.items()}
@@ -62,7 +66,7 @@ def _first_ranges(df: DataFrame, columns: Sequence[str]) -> list[_Target]:
     """Targets over the finite values, or already known where the rank falls outside them."""
     if not columns:
         return []
-    infinity = float("inf")
+    infinity, margin = float("inf"), 2 / _ACCURACY
     aggregates = []
     for i, column in enumerate(columns):
         value = quoted(column).cast("double")
@@ -74,6 +78,7 @@ def _first_ranges(df: DataFrame, columns: Sequence[str]) -> list[_Target]:
             F.count_if(F.isnan(value)).alias(f"nan{i}"),
             F.min(finite).alias(f"low{i}"),
             F.max(finite).alias(f"high{i}"),
+            F.percentile_approx(finite, [0.5 - margin, 0.5 + margin], _ACCURACY).alias(f"cuts{i}"),
         ]
     seen = df.agg(*aggregates).first()
     targets = []
@@ -87,6 +92,7 @@ def _first_ranges(df: DataFrame, columns: Sequence[str]) -> list[_Target]:
         total = sum(rows for rows, _, _ in parts)
         for rank in sorted({(total - 1) // 2, total // 2}) if total else []:
             targets.append(_descend(column, rank, parts))
+            targets[-1].cuts = seen[f"cuts{i}"] and tuple(seen[f"cuts{i}"])
     return targets
 
 
@@ -99,22 +105,28 @@ def _descend(column: str, rank: int, parts: Sequence[tuple[int, float, float]])
     raise ValueError(f"column {column} changed between two reads")
 
 
-def _cut_ranges(df: DataFrame, targets: Sequence[_Target]) -> None:
+def _cut_ranges(
+    df: DataFrame, targets: Sequence[_Target], known: Mapping[str, tuple[float, float] | None]
+) -> None:
+    """Narrow each target's range; `known` has cuts that an earlier scan proposed."""
     # The middle pair mostly shares its range; each range is cut once.
     ranges: dict[tuple[str, float, float], list[_Target]] = {}
     for t in targets:
         ranges.setdefault((t.column, t.low, t.high), []).append(t)
+    cuts: list[Sequence[float] | None] = []
     proposed, margin = [], 2 / _ACCURACY
     for sharing in ranges.values():
         t, ranks = sharing[0], [each.rank for each in sharing]
         shares = [
             max(0.0, min(ranks) / t.rows - margin), min(1.0, (max(ranks) + 1) / t.rows + margin)
         ]
-        proposed.append(
-            F.percentile_approx(F.when(t.inside(), t.value()), shares, _ACCURACY)
-            .alias(f"cuts{len(proposed)}")
-        )
-    cuts = df.agg(*proposed).first()
+        cuts.append(known.get(t.column))
+        if cuts[-1] is None:
+            sketch = F.percentile_approx(F.when(t.inside(), t.value()), shares, _ACCURACY)
+            proposed.append(sketch.alias(f"cuts{len(proposed)}"))
+    if proposed:
+        found = iter(df.agg(*proposed).first())
+        cuts = [next(found) if pair is None else pair for pair in cuts]
     counts, widths = [], []
     for i, sharing in enumerate(ranges.values()):
         t, (lower, upper) = sharing[0], cuts[i]

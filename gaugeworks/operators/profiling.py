@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from gaugeworks.functions.scalars import is_blank, quoted, stamp
 from gaugeworks.operators.medians import exact_medians
 from gaugeworks.sources.files import stored_bytes
 
+#: Columns estimated to have at most so many distinct values may be collected whole.
+FEW_VALUES = 10_000
+
 
 def table_profile(
     df: DataFrame, path: str, table: str, ts: datetime | Column | None = None
@@ -171,14 +175,78 @@ def column_sample_values(
 ) -> DataFrame:
     """The n smallest distinct values of each column, shown as text.
 
-    Two scans for any n and any number of columns. The first takes the minimum of each of
-    some hash buckets per column; n of these are n values of the column, so the largest of
-    the n smallest is a bound for what is wanted. The second keeps the distinct values up to
-    the bounds, which are n and the few that shared a bucket with a smaller one. A task sends
-    at most one row per bucket and column, and one bound per column reaches the driver.
-    Columns of other than plain types, and binary ones, are compared as text.
+    Two scans for any number of columns, each one wide aggregate. The first deals the rows
+    into buckets in turn and takes every column's minimum in each: n distinct minima are n
+    values of the column, so the largest of the n smallest is a bound for what is wanted.
+    It also estimates how many distinct values a column has. The second collects the
+    distinct values up to the bounds, and all of them where they are few. Rows are dealt out
+    evenly, so few other values lie below a bound, whatever the order of the table. Only the
+    bounds reach the driver, one per column.
+
+    Columns of many values whose smallest are so frequent that the buckets show fewer than n
+    of them take two more scans, see `_frequent_samples`. Columns of other than plain types,
+    and binary ones, are compared as text.
     """
     names = list(columns or df.columns)
+    sampled = {name: _sampled(df, name) for name in names}
+    buckets = max(1_024, 16 * n)
+    held = df.select(
+        F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).alias("bucket"),
+        *[_plain_zero(kind, value).alias(f"v{i}") for i, (kind, value) in enumerate(sampled.values())],
+    )
+    each = range(len(names))
+    least = held.groupBy("bucket").agg(
+        *[F.min(f"v{i}").alias(f"v{i}") for i in each],
+        *[F.hll_sketch_agg(F.xxhash64(f"v{i}"), 10).alias(f"d{i}") for i in each],
+    )
+    minima = least.agg(
+        *[F.sort_array(F.collect_set(f"v{i}")).alias(f"v{i}") for i in each],
+        *[F.hll_sketch_estimate(F.hll_union_agg(f"d{i}")).alias(f"d{i}") for i in each],
+    )
+    seen = minima.select(*[F.get(f"v{i}", F.lit(n - 1)).cast("string").alias(f"v{i}") for i in each],
+                         *[f"d{i}" for i in each]).first()
+    wanted, frequent = [], []
+    for i, name in enumerate(names):
+        kind, value = F.col(f"v{i}"), sampled[name][0]
+        if seen[f"d{i}"] > FEW_VALUES and seen[f"v{i}"] is None:
+            frequent.append(name)
+            continue
+        if seen[f"v{i}"] is not None:
+            kind = F.when(kind <= F.lit(seen[f"v{i}"]).cast(value), kind)
+        wanted.append((name, F.slice(F.sort_array(F.collect_set(kind)), 1, n).alias(f"v{i}"), f"v{i}"))
+    parts = []
+    if wanted:
+        one = held.agg(*[found for _, found, _ in wanted])
+        entries = [
+            F.struct(F.lit(name).alias("column"), F.transform(slot, partial(_shown, df, name)).alias("values"))
+            for name, _, slot in wanted
+        ]
+        one = one.select(F.inline(F.array(*entries))).select("column", F.posexplode("values").alias("rank", "value"))
+        parts.append(one.select("column", (F.col("rank") + 1).alias("rank"), "value"))
+    if frequent:
+        parts.append(_frequent_samples(df, n, frequent))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _plain_zero(kind: T.DataType, value: Column) -> Column:
+    """A value with one zero only, as grouping sees it."""
+    return value + F.lit(0.0).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else value
+
+
+def _shown(df: DataFrame, name: str, value: Column) -> Column:
+    """A sampled value as text."""
+    if isinstance(df.schema[name].dataType, T.TimestampType):
+        value = F.timestamp_micros(value)
+    return value.cast("string")
+
+
+def _frequent_samples(df: DataFrame, n: int, names: Sequence[str]) -> DataFrame:
+    """The n smallest values of columns whose smallest values are very frequent.
+
+    Values are dealt into buckets by their hash, so that equal ones share a bucket, however
+    many they are; that takes a row per value in the scan. The n-th smallest of the buckets'
+    minima is the bound, the second scan keeps the distinct values up to it.
+    """
     buckets = max(1_024, 16 * n)
     slots = [f"v{k}" for k in range(len({_sampled(df, name)[0] for name in names}))]
     numbered = F.row_number().over(Window.partitionBy("position").orderBy(*slots))
@@ -194,12 +262,7 @@ def column_sample_values(
         .select("position", F.coalesce(*[F.col(slot).cast("string") for slot in slots]).alias("bound"))
         .collect()
     }
-    shown = []
-    for name, (kind, slot) in _slots(df, names).items():
-        value = F.col(slot)
-        if isinstance(df.schema[name].dataType, T.TimestampType):
-            value = F.timestamp_micros(value)
-        shown.append(value.cast("string"))
+    shown = [_shown(df, name, F.col(slot)) for name, (_, slot) in _slots(df, names).items()]
     return (
         _slotted(df, names, bounds)
         .distinct()

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import medians
+from gaugeworks.operators import medians, profiling
 from gaugeworks.operators.medians import exact_medians
 from gaugeworks.operators.profiling import (
     column_profile, column_sample_values, sample_payload, sample_rows, table_profile,
@@ -182,3 +182,17 @@ def test_sample_rows_and_payload(spark):
     assert [r.n for r in sample_rows(df, 3).collect()] == [0, 1, 2]
     payload = sample_payload(df, 2, ["n"]).first()
     assert payload.columns == ["n", "t"] and payload.rows == [["0", "x"], ["1", "x"]]
+
+
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_sample_values_of_frequent_and_many_values(spark, monkeypatch, n):
+    """Few values, many, a smallest value in every bucket, and signed zeros, all at once."""
+    monkeypatch.setattr(profiling, "FEW_VALUES", 60)
+    rnd = random.Random(n)
+    rows = [(i % 7, rnd.randrange(10**6), 0 if i % 50 else i, (-0.0, 0.0, float(i))[i % 3]) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "few int, many long, hot long, z double").repartition(3)
+    got = {}
+    for r in column_sample_values(df, n).orderBy("column", "rank").collect():
+        got.setdefault(r.column, []).append(float(r.value))
+    columns = dict(zip(df.columns, zip(*rows)))
+    assert got == {name: [float(v) for v in sorted(set(values))[:n]] for name, values in columns.items()}
