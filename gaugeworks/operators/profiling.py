@@ -175,45 +175,40 @@ def column_sample_values(
 ) -> DataFrame:
     """The n smallest distinct values of each column, shown as text.
 
-    Two scans for any number of columns, each one wide aggregate. The first deals the rows
-    into buckets in turn and takes every column's minimum in each: n distinct minima are n
-    values of the column, so the largest of the n smallest is a bound for what is wanted.
-    It also estimates how many distinct values a column has. The second collects the
-    distinct values up to the bounds, and all of them where they are few. Rows are dealt out
-    evenly, so few other values lie below a bound, whatever the order of the table. Only the
-    bounds reach the driver, one per column.
-
-    Columns of many values whose smallest are so frequent that the buckets show fewer than n
-    of them take two more scans, see `_frequent_samples`. Columns of other than plain types,
-    and binary ones, are compared as text.
+    Each scan is one wide aggregate. The first deals the rows into buckets in turn and takes
+    every column's minimum in each: n distinct minima are n values of the column, so the
+    largest of the n smallest is a bound for what is wanted. The last collects the distinct
+    values up to the bounds. Rows are dealt out evenly, so few other values lie below a
+    bound, whatever the order of the table. Only the bounds reach the driver, one per column.
+
+    Columns whose buckets show fewer than n values either have few, or their smallest are
+    very frequent. A sketch of these columns tells: few values are collected whole, others
+    take two more scans, see `_frequent_samples`. Columns of other than plain types, and
+    binary ones, are compared as text.
     """
     names = list(columns or df.columns)
     sampled = {name: _sampled(df, name) for name in names}
     buckets = max(1_024, 16 * n)
     held = df.select(
-        F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).alias("bucket"),
         *[_plain_zero(kind, value).alias(f"v{i}") for i, (kind, value) in enumerate(sampled.values())],
     )
-    each = range(len(names))
-    least = held.groupBy("bucket").agg(
-        *[F.min(f"v{i}").alias(f"v{i}") for i in each],
-        *[F.hll_sketch_agg(F.xxhash64(f"v{i}"), 10).alias(f"d{i}") for i in each],
-    )
-    minima = least.agg(
-        *[F.sort_array(F.collect_set(f"v{i}")).alias(f"v{i}") for i in each],
-        *[F.hll_sketch_estimate(F.hll_union_agg(f"d{i}")).alias(f"d{i}") for i in each],
-    )
-    seen = minima.select(*[F.get(f"v{i}", F.lit(n - 1)).cast("string").alias(f"v{i}") for i in each],
-                         *[f"d{i}" for i in each]).first()
+    each = [f"v{i}" for i in range(len(names))]
+    dealt = held.withColumn("bucket", F.pmod(F.monotonically_increasing_id(), F.lit(buckets)))
+    least = dealt.groupBy("bucket").agg(*[F.min(slot).alias(slot) for slot in each])
+    bounds = least.agg(*[F.sort_array(F.collect_set(slot)).alias(slot) for slot in each]).select(
+        *[F.get(slot, F.lit(n - 1)).cast("string").alias(slot) for slot in each]
+    ).first()
+    unsure = [slot for slot in each if bounds[slot] is None]
+    values = held.agg(*[F.approx_count_distinct(slot).alias(slot) for slot in unsure]).first() if unsure else {}
     wanted, frequent = [], []
-    for i, name in enumerate(names):
-        kind, value = F.col(f"v{i}"), sampled[name][0]
-        if seen[f"d{i}"] > FEW_VALUES and seen[f"v{i}"] is None:
+    for name, slot in zip(names, each):
+        if bounds[slot] is None and values[slot] > FEW_VALUES:
             frequent.append(name)
             continue
-        if seen[f"v{i}"] is not None:
-            kind = F.when(kind <= F.lit(seen[f"v{i}"]).cast(value), kind)
-        wanted.append((name, F.slice(F.sort_array(F.collect_set(kind)), 1, n).alias(f"v{i}"), f"v{i}"))
+        kept = F.col(slot)
+        if bounds[slot] is not None:
+            kept = F.when(kept <= F.lit(bounds[slot]).cast(sampled[name][0]), kept)
+        wanted.append((name, F.slice(F.sort_array(F.collect_set(kept)), 1, n).alias(slot), slot))
     parts = []
     if wanted:
         one = held.agg(*[found for _, found, _ in wanted])
