@@ -191,7 +191,7 @@ def keyword_search(df: DataFrame, text: str, query: str) -> DataFrame:
     Words are runs of ASCII letters and digits, in any case. A plain substring test goes
     first, so that the pattern is tried on candidate texts only.
     """
-    words = sorted(set(_query_words(query)))
+    words = query_words(query)
     if not words:
         raise ValueError("the query holds no word")
     lowered = F.lower(F.col(text))
@@ -203,9 +203,10 @@ def keyword_search(df: DataFrame, text: str, query: str) -> DataFrame:
     return df.where(wanted)
 
 
-def _query_words(query: str) -> list[str]:
+def query_words(query: str) -> list[str]:
+    """Distinct words of a query, in order."""
     spaced = "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower())
-    return spaced.split()
+    return sorted(set(spaced.split()))
 
 
 def unregistered_keys(df: DataFrame, columns: Sequence[str], registry: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def column_profile(
             F.count_if(column.isNull()).alias(f"nulls_{i}"),
             F.count_if(is_blank(column, field.dataType.typeName())).alias(f"missing_{i}"),
         ]
-        if _ordered(field.dataType):
+        if is_ordered(field.dataType):
             aggregates += [
                 F.min(column).cast("string").alias(f"min_{i}"),
                 F.max(column).cast("string").alias(f"max_{i}"),
@@ -79,7 +79,7 @@ def column_profile(
     no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
     entries = []
     for i, field in enumerate(fields):
-        is_number, ordered = field.name in numeric, _ordered(field.dataType)
+        is_number, ordered = field.name in numeric, is_ordered(field.dataType)
         if approximate:
             median = F.col(f"median_{i}") if is_number else no_number
             unique = F.col(f"unique_{i}")
@@ -122,11 +122,11 @@ def column_profile(
     )
 
 
-def _ordered(kind: T.DataType) -> bool:
+def is_ordered(kind: T.DataType) -> bool:
     return isinstance(kind, (T.AtomicType,)) and not isinstance(kind, (T.BinaryType, T.BooleanType))
 
 
-def _comparable(column: Column, kind: T.DataType) -> tuple[str, Column]:
+def comparable(column: Column, kind: T.DataType) -> tuple[str, Column]:
     """A column as long, double or text such that equal values stay equal, others differ."""
     if isinstance(kind, T.IntegralType):
         return "whole", column.cast("bigint")
@@ -147,7 +147,7 @@ def _distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFram
     """
     entries = []
     for i, field in enumerate(fields):
-        slot, value = _comparable(quoted(field.name), field.dataType)
+        slot, value = comparable(quoted(field.name), field.dataType)
         slots = {"whole": "bigint", "real": "double", "text": "string"}
         entries.append(
             F.when(

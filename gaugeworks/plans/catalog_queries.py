@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import keys
-from gaugeworks.operators import catalog
+from gaugeworks.operators import catalog, search_index
 from gaugeworks.operators.catalog import GOVERNANCE_FIELDS
+from gaugeworks.operators.joins import sized_join
+from gaugeworks.operators.kpi_deltas import KpiState
+from gaugeworks.operators.quality import FAILED
 from gaugeworks.plans.lineage_queries import KEY_EDGES_SQL, key_edges
 from gaugeworks.plans.quality_queries import RESULTS_SQL, rule_results
 from gaugeworks.plans.standins import READINGS_SQL, readings, table, tagged
+from gaugeworks.session import scratch_path, settle
 
 KNOWN_FLAGS = ["A", "N"]
 
@@ -128,6 +132,35 @@ def q_governance_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
                         for c in kpis.columns])
 
 
+def q_kpi_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of `governance_kpis`, kept by signed changes in three batches.
+
+    The second batch brings rows without their tier, edges and results that do not last; the
+    third takes them away.
+    """
+    state = KpiState(scratch_path(spark, "kpis"), buckets=16)
+    entities, edges, results = (
+        make(spark, sf_dir) for make in (governed_entities, key_edges, rule_results)
+    )
+    settled = settle(entities)
+    customers = F.col("type") == "customer"
+    bare = settled.where(customers).withColumn("tier", F.lit(None).cast("string"))
+    passing = edges.select(F.col("upstream").alias("downstream"), F.lit("part:1").alias("upstream"))
+    failed = results.withColumn("status", F.lit(FAILED))
+
+    def signed(*parts: tuple[DataFrame, int]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df.withColumn("sign", F.lit(sign)) for df, sign in parts])
+
+    state.apply(spark, 1, signed((settled.where(~customers), 1)), signed((edges, 1)), signed((results, 1)))
+    state.apply(spark, 2, signed((bare, 1)), signed((passing, 1)), signed((failed, 1)))
+    state.apply(
+        spark, 3, signed((bare, -1), (settled.where(customers), 1)), signed((passing, -1)), signed((failed, -1))
+    )
+    kpis = state.kpis(spark)
+    return kpis.select([F.round(c, 6).alias(c) if c.endswith(("_share", "_rate")) else F.col(c)
+                        for c in kpis.columns])
+
+
 def q_facet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = catalog.facet_filter(
         parts_as_entities(spark, sf_dir),
@@ -154,6 +187,26 @@ def q_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "n_chars")
 
 
+def q_keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of `keyword_search`, on posting lists that are added to in two parts."""
+    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "keywords")
+    for part in (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")):
+        search_index.add_to_keyword_index(part, path, "doc_id", "text")
+    found = search_index.keyword_lookup(spark, path, "On THE, of").withColumnRenamed("key", "doc_id")
+    return sized_join(docs.select("doc_id", "lang", "n_chars"), found, ["doc_id"], "left_semi")
+
+
+def q_facet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of `facet_search`, on bitmaps."""
+    path, facets = scratch_path(spark, "facets"), ["type", "internal_name", "size", "tags"]
+    search_index.write_facet_index(parts_as_entities(spark, sf_dir), path, facets, name="external_name")
+    found = search_index.facet_lookup(
+        spark, path,
+        {"type": ["ECONOMY", "PROMO", "SMALL"], "tags": ["ring", "bolt", "gear", "widget"]}, prefix="s",
+    )
+    return search_index.indexed_facet_counts(spark, path, found, facets)
+
+
 def q_orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "orders").select(
         tagged("customer", "o_custkey").alias("upstream"),
@@ -191,9 +244,12 @@ QUERIES = {
     "entity_lookup": q_entity_lookup,
     "dotted_lookup": q_dotted_lookup,
     "governance_kpis": q_governance_kpis,
+    "kpi_deltas": q_kpi_deltas,
     "facet_search": q_facet_search,
     "governed_search": q_governed_search,
     "keyword_search": q_keyword_search,
+    "keyword_index": q_keyword_index,
+    "facet_index": q_facet_index,
     "orphan_edges": q_orphan_edges,
     "payload_checks": q_payload_checks,
 }
@@ -355,3 +411,5 @@ UNION ALL
 SELECT key, 'unknown_parent' FROM payload WHERE parent IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM orders WHERE o_orderkey = parent AND o_orderstatus <> 'P')""",
 }
+ORACLE |= {"keyword_index": ORACLE["keyword_search"], "facet_index": ORACLE["facet_search"],
+           "kpi_deltas": ORACLE["governance_kpis"]}

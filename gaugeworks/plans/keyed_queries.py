@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 from gaugeworks.functions import keys
 from gaugeworks.operators import latest
+from gaugeworks.operators.keyed_table import KeyedTable
+from gaugeworks.operators.stored_versions import VersionHistory
 from gaugeworks.plans.standins import CHANGE_LOG_SQL, change_log, table
+from gaugeworks.session import scratch_path
 
 PROPS = T.StructType([T.StructField("k", T.IntegerType())])
 
@@ -23,6 +26,29 @@ def q_aspect_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.aspect_versions(change_log(spark, sf_dir)).drop("actor")
 
 
+def q_upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest values of `upsert_latest`, written to a bucketed table in three turns."""
+    log = change_log(spark, sf_dir)
+    kept = KeyedTable(scratch_path(spark, "keyed"), ("urn", "aspect"), log.schema, buckets=64)
+    days = [F.lit(day).cast("timestamp_ntz") for day in ("2024-01-16", "2024-01-29")]
+    kept.upsert(log.where(F.col("ts") < days[1]))
+    kept.upsert(log.where(F.col("ts") >= days[1]))
+    kept.upsert(log.where(F.col("ts") >= days[0]))  # again in part: changes nothing
+    return kept.read(spark)
+
+
+def q_version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of `aspect_versions`, from batches that come in order but for the last."""
+    log = change_log(spark, sf_dir)
+    history = VersionHistory(scratch_path(spark, "versions"), log.schema)
+    day = F.lit("2024-01-16").cast("timestamp_ntz")
+    late = F.col("seq") % 500 == 7
+    history.append(log.where((F.col("ts") < day) & ~late), 1)
+    history.append(log.where((F.col("ts") >= day) & ~late), 2)
+    history.append(log.where(late), 3)
+    return history.read(spark).drop("actor")
+
+
 def q_entity_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of whatever aspects there are, as text."""
     page = latest.entity_page(change_log(spark, sf_dir))
@@ -60,6 +86,8 @@ def q_aspect_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "upsert_latest": q_upsert_latest,
     "aspect_versions": q_aspect_versions,
+    "upsert_buckets": q_upsert_buckets,
+    "version_history": q_version_history,
     "entity_page": q_entity_page,
     "editorial_overlay": q_editorial_overlay,
     "aspect_encode": q_aspect_encode,
@@ -101,3 +129,4 @@ FROM customer LEFT JOIN d ON d.urn = c_custkey AND d.n = 1
        'UPSERT' AS change_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
 FROM events""",
 }
+ORACLE |= {"upsert_buckets": LATEST_SQL, "version_history": ORACLE["aspect_versions"]}
