@@ -20,9 +20,10 @@ _LOWER = _UPPER.lower()
 # Punctuation beyond ASCII that counts as a blank.
 _MARKS = " «·»‐‑‒–—‘’“”•…"
 
-# A line that states a copyright, not one that speaks of copyright notices.
+# A line that states a copyright, not one that speaks of copyright notices or
+# is item (c) of a list: a bare (c) needs a year, a placeholder or the word behind it.
 _COPYRIGHT_LINE = (
-    r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)|©|all rights reserved)[^\n]*"
+    r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]*(copyright|[0-9<\[{])|©|all rights reserved)[^\n]*"
 )
 
 # Spellings that count as the same, each a sequence of words.
@@ -46,7 +47,7 @@ EQUIVALENTS = [
     ("v3", "version 3"),
 ]
 
-# The short list that the checking SQL knows; the query knows `known_texts` too.
+# A short list beside the package's table.
 KNOWN = [
     ("MIT", """MIT License
 
@@ -211,11 +212,47 @@ def _lines_sql(column: str) -> str:
 
 
 _KNOWN_ROWS = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(KNOWN))
+_TABLE = _quoted(pkgutil.get_data(__package__, "known_licences.json").decode())
+_MOST_SLOTS = max(
+    len(values) for item in json.loads(pkgutil.get_data(__package__, "known_licences.json"))["licenses"]
+    for values in item["variants"] or [[]]
+)
+
+
+def _filled_sql(text: str) -> str:
+    """A text with its slots filled from the list `filling`, null for those without slots."""
+    for slot in range(_MOST_SLOTS):
+        text = f"replace({text}, '@{slot}@', coalesce(filling[{slot + 1}], '@{slot}@'))"
+    return text
+
 
 QUERIES = {"op9_license_scan": op9_license_scan}
 ORACLE = {
     "op9_license_scan": f"""
-WITH listed(place, license, body) AS (VALUES {_KNOWN_ROWS}),
+WITH whole_table AS (
+  SELECT from_json({_TABLE}, '{{"licenses": [{{"license": "VARCHAR", "bodies": ["VARCHAR"], "titles": ["VARCHAR"],
+    "endings": ["VARCHAR"], "variants": [["VARCHAR"]], "names": ["VARCHAR"]}}], "phrases": ["VARCHAR"]}}') AS t
+), items AS (
+  SELECT unnest(t.licenses) AS item, t.phrases AS phrases FROM whole_table
+), bodies AS (
+  SELECT item, unnest(item.bodies) AS body FROM items
+), titled AS (
+  SELECT item, unnest(item.titles) AS title, body FROM bodies
+), ended AS (
+  SELECT item, title || chr(10) || body || chr(10) || ending AS body
+  FROM (SELECT item, title, body, unnest(item.endings) AS ending FROM titled)
+), filled AS (
+  SELECT item.license AS license, {_filled_sql('body')} AS body
+  FROM (SELECT item, body, unnest(CASE WHEN len(item.variants) > 0 THEN item.variants ELSE [NULL] END) AS filling FROM ended)
+), notices AS (
+  SELECT license, replace(phrase, '{{}}', name) AS body
+  FROM (SELECT license, name, unnest(phrases) AS phrase
+        FROM (SELECT item.license AS license, unnest(item.names) AS name, phrases FROM items))
+), short(place, license, body) AS (VALUES {_KNOWN_ROWS}),
+listed AS (
+  SELECT place, license, body FROM short
+  UNION ALL SELECT 1000000, license, body FROM (SELECT DISTINCT license, body FROM filled UNION SELECT license, body FROM notices)
+),
 known AS (
   SELECT sha256(array_to_string(list_filter(lines, lambda l: l <> ''), ' ')) AS digest, min_by(license, place) AS license
   FROM (SELECT place, license, {_lines_sql('body')} AS lines FROM listed) GROUP BY 1

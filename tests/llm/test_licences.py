@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from gaugeworks.llm import licences as L
@@ -14,7 +16,7 @@ def test_known_texts_in_other_guises(spark):
     mit = L.KNOWN[0][1]
     wrapped = mit.replace(" ", "\n   ").upper().replace('"', "“")
     dressed = mit.replace("<year> <copyright holders>", "2019-2021 Somebody GmbH & Co").replace("MIT License", "\t* MIT LICENCE *")
-    twice = mit.replace("Copyright (c) <year> <copyright holders>", "Copyright 2001 A\nCopyright © 2002 B\n(c) C\nAll rights reserved.")
+    twice = mit.replace("Copyright (c) <year> <copyright holders>", "Copyright 2001 A\nCopyright © 2002 B\n(c) 2003 C\nAll rights reserved.")
     got = scan(spark, [mit, dressed, twice, mit + " Not quite", mit.replace("free of charge", "for a fee"), wrapped])
     assert [got[i][0] for i in range(5)] == ["MIT", "MIT", "MIT", None, None]
     assert got[5][0] is None  # wrapped inside the copyright line, its holder stays behind
@@ -88,3 +90,25 @@ Redistribution and use in source and binary forms, with or without modification,
         0: ("MIT", ""), 1: ("BSD-3-Clause", ""), 2: (None, "GPL-2.0"), 3: (None, "BSD-3-Clause"), 4: ("CC-BY-4.0", "CC-BY-4.0"),
         5: (None, "MPL-2.0"), 6: (None, "AGPL-3.0"), 7: (None, ""), 8: (None, ""),
     }
+
+
+def test_no_line_is_dropped_but_statements_of_copyright(spark):
+    """Every line with words of every known text keeps words, so any change to it shows."""
+    states = re.compile(r"[^a-z0-9]*(copyright *(\(c\)|©|[0-9<\[{])|\(c\) *(copyright|[0-9<\[{])|©|all rights reserved)", re.I)
+    texts = sorted({text for _, text in L.ALL_KNOWN})
+    df = spark.createDataFrame([(text,) for text in texts], "t string")
+    kept = df.select("t", L.F.filter(L.canonical_lines(L.F.col("t")), lambda line: line != "").alias("lines"))
+    for row in kept.collect():
+        lines = [line for line in row["t"].split("\n") if re.search(r"[A-Za-z0-9\x80-\U0010ffff]", line.strip(" " + L._MARKS))]
+        assert len(row["lines"]) == sum(not states.match(line) for line in lines)
+
+
+def test_altered_items_of_clause_lists_are_not_the_licence(spark):
+    found = {}
+    for name, text in L.ALL_KNOWN:
+        item = re.search(r"\n[ \t]*\(c\) [A-Za-z][^\n]*", text)
+        if item and name not in found:
+            found[name] = text, text.replace(item[0], "\n(c) You must pay one thousand dollars for every copy that You make.")
+    assert {"Apache-2.0", "MPL-2.0"} <= set(found)
+    got = scan(spark, [text for pair in found.values() for text in pair])
+    assert [got[i][0] for i in range(len(got))] == [x for name in found for x in (name, None)]
