@@ -19,15 +19,14 @@ BASE_WIDTH = 8
 #: Cells of a part beside those in proportion: two keys of a small pair that share all
 #: three cells cannot be told apart, which is as rare as this number's cube is large.
 SPARE = 32
+#: Cells of a part per digest of a pair at the first attempt.
+FIRST_WIDTH = 0.75
 #: Peeling steps of one attempt; each peels one of the three parts.
 STEPS = 12
 _NO_ID = -(1 << 63)
 # A word and the blanks behind it; possessive, so that matching never goes back.
 _WORD = r"[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+"
-#: A cell's tally is the sum of sign * (ONE + check) over its keys, so that count and check
-#: are one number; checks have 40 bits.
-_ONE = 1 << 44
-_CHECK_BITS = (1 << 40) - 1
+_CHECK_BITS = (1 << 32) - 1
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -45,9 +44,9 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(first, rest), lambda p: F.xxhash64(F.rtrim(p))))
 
 
-def _tally(key: Column) -> Column:
-    """What one key adds to a cell's tally."""
-    return F.xxhash64(key, F.lit("check")).bitwiseAND(F.lit(_CHECK_BITS)) + F.lit(_ONE)
+def _check(key: Column) -> Column:
+    """What one key adds to a cell's checks: 32 further bits of hash."""
+    return F.xxhash64(key, F.lit("check")).bitwiseAND(F.lit(_CHECK_BITS))
 
 
 def _cell(key: Column, part: int, width: Column) -> Column:
@@ -56,22 +55,29 @@ def _cell(key: Column, part: int, width: Column) -> Column:
 
 
 def _summed(cells: DataFrame) -> DataFrame:
-    """Sum up cells, which are linear; empty ones go. Cell -1 counts what is recovered."""
-    summed = cells.groupBy("g", "width", "cell").agg(
-        F.bit_xor("keys").alias("keys"), F.sum("tally").alias("tally")
+    """Sum up cells, which are linear; empty ones go.
+
+    `keys` and `checks` are exclusive ors, so no number of keys overflows them; `count` is
+    the sum of the signs. Digests recovered so far ride along by `found`, which is null in
+    the rows of cells.
+    """
+    summed = cells.groupBy("g", "width", "cell", "found").agg(
+        F.bit_xor("keys").alias("keys"), F.bit_xor("checks").alias("checks"), F.sum("count").alias("count")
     )
-    return summed.where("keys <> 0 or tally <> 0")
+    return summed.where("keys <> 0 or checks <> 0 or count <> 0 or found is not null")
 
 
 def sketch_cells(sets: DataFrame) -> DataFrame:
-    """Sketches of digest sets: rows (g, width, cell, keys, tally) of cells that hold something.
+    """Sketches of digest sets: rows (g, width, cell, found, keys, checks, count) of cells that
+    hold something.
 
     `sets` has g, a long, width, an int, and `entries`, an array of (key, sign).
     """
     keyed = sets.select("g", "width", F.explode("entries").alias("e")).select("g", "width", "e.key", "e.sign")
     placed = keyed.select(
         "g", "width", F.explode(F.array(*[_cell(F.col("key"), p, F.col("width")) for p in range(3)])).alias("cell"),
-        F.col("key").alias("keys"), (F.col("sign") * _tally(F.col("key"))).alias("tally"),
+        F.lit(None).cast("long").alias("found"),
+        F.col("key").alias("keys"), _check(F.col("key")).alias("checks"), F.col("sign").alias("count"),
     )
     return _summed(placed)
 
@@ -85,8 +91,8 @@ def base_fingerprints(sets: DataFrame) -> DataFrame:
     size. `sets` has g and digests; sets without digests have no row."""
     cells = sketch_cells(sets.select("g", F.lit(BASE_WIDTH).alias("width"), signed("digests", 1).alias("entries")))
     digested = cells.groupBy("g").agg(
-        F.bit_xor(F.xxhash64("cell", "keys", "tally")).alias("x"),
-        F.bit_xor(F.xxhash64("tally", "keys", "cell")).alias("y"),
+        F.bit_xor(F.xxhash64("cell", "keys", "checks", "count")).alias("x"),
+        F.bit_xor(F.xxhash64("count", "checks", "keys", "cell")).alias("y"),
     )
     return digested.select("g", F.lower(F.concat(F.lpad(F.hex("x"), 16, "0"), F.lpad(F.hex("y"), 16, "0"))).alias("fingerprint"))
 
@@ -94,88 +100,84 @@ def base_fingerprints(sets: DataFrame) -> DataFrame:
 def _peeled(cells: DataFrame, part: int) -> DataFrame:
     """Peel every pure cell of one part.
 
-    A cell is pure if key and tally are those of one key that belongs there. A key has one
-    cell in a part, so none is peeled twice; it leaves its other two cells, and is counted at
-    cell -1: by ones on our side, by 2**32 on theirs.
+    A cell is pure if its count is one, ours or theirs, its checks are those of its keys and
+    they belong there. A key has one cell in a part, so none is peeled twice; it leaves its
+    other two cells and becomes a found digest, at cell -1 if ours, -2 if theirs.
     """
-    key, tally, width = F.col("keys"), F.col("tally"), F.col("width")
-    pure = (F.abs(tally) == _tally(key)) & (F.col("cell") == _cell(key, part, width))
-
-    def row(cell: Column, keys: Column, amount: Column) -> Column:
-        return F.struct(cell.alias("cell"), keys.alias("keys"), amount.alias("tally"))
+    key, count, width = F.col("keys"), F.col("count"), F.col("width")
+    pure = F.col("found").isNull() & (F.abs(count) == 1) & (F.col("checks") == _check(key)) & (
+        F.col("cell") == _cell(key, part, width))
+    none = F.lit(None).cast("long")
+
+    def row(cell: Column, found: Column, keys: Column, checks: Column, amount: Column) -> Column:
+        return F.struct(
+            cell.alias("cell"), found.alias("found"), keys.alias("keys"), checks.alias("checks"), amount.alias("count")
+        )
 
-    others = [row(_cell(key, p, width), key, -tally) for p in range(3) if p != part]
-    found = row(F.lit(-1), F.lit(0).cast("long"), F.when(tally > 0, F.lit(1)).otherwise(F.lit(1 << 32)).cast("long"))
-    emitted = F.when(pure, F.array(found, *others)).otherwise(F.array(row(F.col("cell"), key, tally)))
+    others = [row(_cell(key, p, width), none, key, F.col("checks"), -count) for p in range(3) if p != part]
+    zero = F.lit(0).cast("long")
+    found = row(F.when(count > 0, -1).otherwise(-2), key, zero, zero, zero)
+    kept = row(F.col("cell"), F.col("found"), key, F.col("checks"), count)
+    emitted = F.when(pure, F.array(found, *others)).otherwise(F.array(kept))
     return _summed(cells.select("g", "width", F.explode(emitted).alias("c")).select("g", "width", "c.*"))
 
 
 def subtract_and_peel(pairs: DataFrame, steps: int = STEPS) -> DataFrame:
     """One attempt: subtract the sketches of `ours` and `theirs` (digest arrays) and peel.
 
-    Returns g, plus and minus, the numbers of digests recovered on our and on their side, and
-    left, the cells that could not be peeled; pairs without a difference have no row. Stays
-    within the partitions of `pairs` where they are dealt by g.
+    Returns g, plus and minus, the digests recovered on our and on their side, and left, the
+    cells that could not be peeled; pairs without a difference have no row. Stays within the
+    partitions of `pairs` where they are dealt by g.
     """
     cells = sketch_cells(pairs.select("g", "width", F.concat(signed("ours", 1), signed("theirs", -1)).alias("entries")))
     for step in range(steps):
         cells = _peeled(cells, step % 3)
-    counted = F.when(F.col("cell") == -1, F.col("tally")).otherwise(0)
     return cells.groupBy("g").agg(
-        F.sum(counted.bitwiseAND(F.lit((1 << 32) - 1))).alias("plus"),
-        F.sum(F.shiftright(counted, 32)).alias("minus"),
-        F.sum((F.col("cell") >= 0).cast("long")).alias("left"),
+        F.collect_list(F.when(F.col("cell") == -1, F.col("found"))).alias("plus"),
+        F.collect_list(F.when(F.col("cell") == -2, F.col("found"))).alias("minus"),
+        F.count_if(F.col("cell") >= 0).alias("left"),
     )
 
 
-def recovered_digests(pairs: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The differing digests themselves: rows (g, digest, sign), sign 1 for ours.
-
-    Recovered from the sketches in the same way, but handed over step by step. Pairs that do
-    not peel to nothing give the digests that came out.
-    """
-    cells = sketch_cells(pairs.select("g", "width", F.concat(signed("ours", 1), signed("theirs", -1)).alias("entries")))
-    found = None
-    for step in range(steps):
-        cells = settle(cells)
-        key = F.col("keys")
-        pure = (F.abs("tally") == _tally(key)) & (F.col("cell") == _cell(key, step % 3, F.col("width")))
-        out = cells.where(pure).select("g", key.alias("digest"), F.signum("tally").cast("int").alias("sign"))
-        found = out if found is None else found.unionByName(out)
-        cells = _peeled(cells, step % 3).where("cell >= 0")
-    return found
-
-
-def likeness(pairs: DataFrame, first_width: float = 0.75) -> DataFrame:
-    """Likeness of pairs of digest sets by their sketches: columns g and near.
+def recovered_digests(pairs: DataFrame, first_width: float = FIRST_WIDTH) -> DataFrame:
+    """The differing digests of every pair by their sketches: columns g, plus and minus.
 
-    `pairs` has g, a long, and the digest arrays ours and theirs. near is twice the shared
-    digests over all digests of both sides, 1 for two empty sides. The shared ones are what
-    peeling the subtracted sketches does not recover. The first attempt takes `first_width`
-    cells a part per digest and SPARE more; pairs that do not peel to nothing are tried again with four times
-    as many until all have.
+    `pairs` has g, a long, and the digest arrays ours and theirs. plus are the digests that
+    only ours has, minus those that only theirs has, both empty for equal sides. The first
+    attempt takes `first_width` cells a part per digest and SPARE more; pairs that do not
+    peel to nothing are tried again with four times as many until all have.
     """
     total = (F.size("ours") + F.size("theirs")).cast("long")
     waiting = pairs.withColumn("width", (F.ceil(total * first_width) + SPARE).cast("int"))
+    none = F.array().cast("array<long>")
     done = None
     while True:
-        peeled = subtract_and_peel(waiting)
-        sizes = waiting.select("g", F.size("ours").alias("mine"), total.alias("total"))
-        joined = sizes.join(peeled, "g", "left").withColumn(
-            "near",
-            F.when(F.col("total") == 0, F.lit(1.0))
-            .when(F.coalesce("left", F.lit(0)) > 0, F.lit(None))
-            .otherwise(2.0 * (F.col("mine") - F.coalesce("plus", F.lit(0))) / F.col("total")),
-        )
-        joined = settle(joined.select("g", "near"))
-        solved = joined.where("near is not null")
+        peeled = waiting.select("g").join(subtract_and_peel(waiting), "g", "left")
+        tried = settle(peeled.select(
+            "g", F.coalesce("plus", none).alias("plus"), F.coalesce("minus", none).alias("minus"),
+            F.coalesce("left", F.lit(0)).alias("left"),
+        ))
+        solved = tried.where("left = 0").drop("left")
         done = solved if done is None else done.unionByName(solved)
-        failed = joined.where("near is null").select("g")
+        failed = tried.where("left > 0").select("g")
         if failed.isEmpty():
             return done
         waiting = settle(waiting.join(failed, "g", "left_semi").withColumn("width", F.col("width") * 4))
 
 
+def likeness(pairs: DataFrame, first_width: float = FIRST_WIDTH) -> DataFrame:
+    """Likeness of pairs of digest sets by their sketches: columns g and near.
+
+    near is twice the shared digests over all digests of both sides, 1 for two empty sides.
+    The shared ones are ours without those that `recovered_digests` gives back.
+    """
+    total = (F.size("ours") + F.size("theirs")).cast("long")
+    sizes = pairs.select("g", F.size("ours").alias("mine"), total.alias("total"))
+    only = recovered_digests(pairs, first_width).select("g", F.size("plus").alias("plus"))
+    near = F.when(F.col("total") == 0, 1.0).otherwise(2.0 * (F.col("mine") - F.col("plus")) / F.col("total"))
+    return sizes.join(only, "g").select("g", near.alias("near"))
+
+
 def _following(docs: DataFrame) -> DataFrame:
     """For each distinct (k, h), in that order, the next one, and the first after the last.
 
