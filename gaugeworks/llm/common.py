@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -38,6 +39,21 @@ def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
+_PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(data: bytes, size: int = _PIECE) -> Iterator[bytes]:
+    """A text in pieces of about a megabyte, cut at white space, so that a very long one never
+    becomes a list of all its words."""
+    start = 0
+    while start < len(data):
+        found = _SPACE.search(data, start + size)
+        end = found.end() if found else len(data)
+        yield data[start:end]
+        start = end
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, null as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import encoded, long_id, ship_package, slices, table
+from gaugeworks.llm.common import encoded, long_id, pieces, ship_package, slices, table
 from gaugeworks.session import settle
 
 #: Documents with fewer words, or a larger share of repeated words, are dropped whatever the votes.
@@ -26,7 +26,7 @@ ROUNDS = 200
 START = ((0.4, 0.4, 0.2), (0.05, 0.35, 0.6))
 SMOOTHING = 2.0
 
-_PIECE = 1 << 20  # bytes of a text that are split into words at a time
+_PIECE = 1 << 20  # characters whose case is looked up at a time
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b"\x20\t\n\x0b\x0c\r"
 # A word of letters with an inner hyphen or apostrophe, in quotes or brackets, with one mark behind it.
@@ -59,16 +59,6 @@ class _Numbers(dict):
         return number
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """The text in pieces of about a megabyte, cut at white space only."""
-    start, cut = 0, re.compile(rb"[\x20\x09-\x0D]")
-    while start < len(text):
-        found = cut.search(text, start + _PIECE)
-        end = found.end() if found else len(text)
-        yield text[start:end]
-        start = end
-
-
 def repeated_words(numbers: np.ndarray, window: int = 3) -> int:
     """Words covered by windows that occur at least twice in the sequence."""
     n = len(numbers) - window + 1
@@ -115,7 +105,7 @@ def measure(text: str | None) -> Measures:
     text = text or ""
     raw = encoded(text)
     known, parts = _Numbers(), []
-    for piece in _pieces(raw):
+    for piece in pieces(raw):
         words = piece.split()
         parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
     numbers = np.concatenate(parts) if parts else np.empty(0, np.int32)

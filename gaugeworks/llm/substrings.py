@@ -3,30 +3,35 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.llm.common import (
-    long_id, partitions_for, ship_package, table, text_bytes, words_of,
+    encoded, long_id, partitions_for, pieces, ship_package, table, text_bytes,
 )
 
 WINDOW = 13
 #: Text of one chunk of documents, and window hashes of one counting bucket: both grow with
 #: the corpus up to what a task holds with ease, so that their product, the number of blobs
 #: shuffled, stays far below the number of windows.
-CHUNK_BYTES = (8 << 20, 64 << 20)
-BUCKET_WINDOWS = (1 << 21, 1 << 22)
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+CHUNK_BYTES = (4 << 20, 32 << 20)
+BUCKET_WINDOWS = (1 << 20, 1 << 22)
+#: Bases of the two window hashes, odd, so that they have inverses modulo 2**64.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
+_KNOWN_WORDS = 1 << 18
 _NO_ID = -(1 << 63)
 
+#: Hashes of all windows from a text's word numbers and the window's length.
+Hash = Callable[[np.ndarray, int], np.ndarray]
+
 _SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("n_words", T.LongType()),
@@ -38,35 +43,61 @@ _SCHEMA = T.StructType([
 ])
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+class _Digits(dict):
+    """XXH64 of words; frequent ones are looked up, and only so many are held."""
+
+    def __missing__(self, word: bytes) -> int:
+        digit = xxhash.xxh64_intdigest(word)
+        if len(self) < _KNOWN_WORDS:
+            self[word] = digit
+        return digit
+
+
+_DIGITS = _Digits()
+
+
+def word_digits(text: str | None) -> np.ndarray:
+    """A 64-bit number for each word of a text, null as empty."""
+    parts = [np.empty(0, np.uint64)]
+    for piece in pieces(encoded(text)):
+        words = piece.split()
+        parts.append(np.fromiter(map(_DIGITS.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(parts)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
     steps = np.full(n, base, np.uint64)
     steps[:1] = 1
     return np.multiply.accumulate(steps)
 
 
-def window_hashes(words: list[bytes], window: int = WINDOW) -> np.ndarray:
-    """Rabin-Karp hash of every run of `window` words, modulo 2**64.
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """A bijection that spreads values evenly, so that their order can deal them out."""
+    values = (values ^ (values >> np.uint64(33))) * _MIX
+    return values ^ (values >> np.uint64(29))
+
 
-    The polynomial's digits are the words' XXH64 values. Prefix sums give each window in
-    one subtraction; the factor base**start is divided out. A bijective mix spreads the
-    values evenly, so that their order can deal them out.
+def window_hashes(digits: np.ndarray, window: int = WINDOW, which: int = 0) -> np.ndarray:
+    """Rabin-Karp hash of every run of `window` words, modulo 2**64, by one of two polynomials.
+
+    The digits are the words' numbers, for the second polynomial mixed once more. Prefix sums
+    give each window in one subtraction; the factor base**start is divided out.
     """
-    n = len(words) - window + 1
+    n = len(digits) - window + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    digits = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    base = _BASES[which]
+    if which:
+        digits = _mixed(digits ^ np.uint64(base))
     out = np.empty(n, np.uint64)
     step = 1 << 16  # so that the powers stay a short table
-    up, down = _powers(_BASE, step + window), _powers(_INVERSE, step)
+    up, down = _powers(base, step + window), _powers(pow(base, -1, 1 << 64), step)
     for start in range(0, n, step):
         part = digits[start : min(start + step, n) + window - 1]
         sums = np.r_[np.uint64(0), np.add.accumulate(part * up[: len(part)])]
         count = len(part) - window + 1
         out[start : start + count] = (sums[window:] - sums[:count]) * down[:count]
-    out ^= out >> np.uint64(33)
-    out *= _MIX
-    out ^= out >> np.uint64(29)
-    return out
+    return _mixed(out)
 
 
 def covered_words(flags: np.ndarray, n_words: int, window: int = WINDOW) -> np.ndarray:
@@ -87,102 +118,166 @@ def intervals(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Chunk:
     """Windows of a chunk of documents: all hashes, and each distinct one's first document."""
 
-    def __init__(self, docs: pa.Table, window: int) -> None:
+    def __init__(self, docs: pa.Table, window: int, first: Hash = window_hashes, second: Hash | None = None) -> None:
         ids = docs.column("id").to_numpy()
         self.order = np.argsort(ids, kind="stable")
-        self.ids = ids[self.order]
+        self.ids = ids[self.order].astype(np.int64)
         self.texts = docs.column("text").combine_chunks() if docs.num_rows else docs.column("text")
-        self.hashes = [window_hashes(words_of(self.text(i)), window) for i in range(len(ids))]
-        sizes = [len(h) for h in self.hashes]
+        self.window, self.second = window, second or partial(window_hashes, which=1)
+        self.digits = [word_digits(self.text(i)) for i in range(len(ids))]
+        hashes = [first(d, window) for d in self.digits]
+        sizes = np.array([len(h) for h in hashes], np.int64)
         self.of_window = np.repeat(np.arange(len(ids)), sizes)
-        merged = np.concatenate([*self.hashes, np.empty(0, np.uint64)])
-        self.distinct, first, self.inverse = np.unique(merged, return_index=True, return_inverse=True)
-        self.first_doc = self.of_window[first]
+        self.merged = np.concatenate([*hashes, np.empty(0, np.uint64)])
         self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
 
     def text(self, i: int) -> str | None:
         return self.texts[int(self.order[i])].as_py()
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, and the first document of each."""
+        distinct, first = np.unique(self.merged, return_index=True)
+        return distinct, self.of_window[first]
 
-def _distinct_windows(docs: pa.Table, window: int, buckets: int) -> pa.Table:
-    """Blobs of a chunk's distinct window hashes, one for each bucket, in order of document."""
-    chunk = _Chunk(docs, window)
-    spread = 1 << 32
-    bucket = ((chunk.distinct >> np.uint64(32)) * np.uint64(buckets) // np.uint64(spread)).astype(np.int64)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    out: list[tuple] = []
-    number = docs.column("chunk")[0].as_py()
-    for b in np.flatnonzero(np.diff(edges)):
-        part = slice(edges[b], edges[b + 1])
-        order = np.argsort(chunk.first_doc[part], kind="stable")
-        owners, counts = np.unique(chunk.first_doc[part], return_counts=True)
-        out.append((
-            int(b), number, chunk.distinct[part][order].tobytes(),
-            chunk.ids[owners].astype(np.int64).tobytes(), counts.astype(np.int32).tobytes(),
-        ))
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["bucket", "chunk", "hashes", "owners", "counts"]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    def seconds(self, where: np.ndarray) -> np.ndarray:
+        """Second hashes of the windows at these positions, in rising order."""
+        out = np.empty(len(where), np.uint64)
+        edges = np.searchsorted(where, np.r_[self.starts, self.ends[-1:]])
+        for i in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[i], edges[i + 1])
+            out[part] = self.second(self.digits[i], self.window)[where[part] - self.starts[i]]
+        return out
 
 
-def _seen_before(blobs: pa.Table) -> pa.Table:
-    """For each chunk, the bucket's hashes that start in an earlier document of another chunk."""
-    chunks = blobs.column("chunk").to_numpy()
-    hashes = [np.frombuffer(x.as_py(), np.uint64) for x in blobs.column("hashes")]
-    owners = [
-        np.repeat(np.frombuffer(o.as_py(), np.int64), np.frombuffer(c.as_py(), np.int32))
-        for o, c in zip(blobs.column("owners"), blobs.column("counts"), strict=True)
-    ]
+def _blobs(bucket: np.ndarray, chunk: int, columns: Sequence[np.ndarray], names: Sequence[str]) -> pa.Table:
+    """One row per bucket, with the bytes of its part of each column; `bucket` is rising."""
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+    ends = np.r_[cuts[1:], len(bucket)] if len(cuts) else cuts
+    arrays = [pa.array(bucket[cuts], pa.int64()), pa.array([chunk] * len(cuts), pa.int64())]
+    for column in columns:
+        arrays.append(pa.array([column[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()))
+    return pa.table(arrays, ["bucket", "chunk", *names])
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _column(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
+
+
+def _groups(ordered: Sequence[np.ndarray]) -> np.ndarray:
+    """Number of the group of equal rows that each row of sorted columns belongs to."""
+    if not len(ordered[0]):
+        return np.empty(0, np.int64)
+    differs = np.any([c[1:] != c[:-1] for c in ordered], axis=0)
+    return np.r_[0, np.cumsum(differs)]
+
+
+def _shared(blobs: pa.Table) -> pa.Table:
+    """For each chunk, the bucket's hashes that some other chunk has too."""
+    hashes = _column(blobs, "hashes", np.uint64)
     of_blob = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-    merged, owner = np.concatenate(hashes), np.concatenate(owners)
+    merged = np.concatenate(hashes)
     order = np.argsort(merged, kind="stable")
     ordered = merged[order]
     same = ordered[1:] == ordered[:-1]
-    shared = np.r_[False, same] | np.r_[same, False]
-    order, ordered = order[shared], ordered[shared]
-    replies: list[tuple] = []
-    if len(order):
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        least = np.minimum.reduceat(owner[order], starts)
-        later = owner[order] > np.repeat(least, np.diff(np.r_[starts, len(order)]))
-        order = order[later]
-        by_chunk = np.argsort(of_blob[order], kind="stable")
-        order = order[by_chunk]
-        edges = np.searchsorted(of_blob[order], np.arange(len(hashes) + 1))
-        for i in np.flatnonzero(np.diff(edges)):
-            replies.append((int(chunks[i]), merged[order[edges[i] : edges[i + 1]]].tobytes()))
-    columns = list(zip(*replies, strict=True)) or [()] * 2
-    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["chunk", "seen"])
+    order = order[np.r_[False, same] | np.r_[same, False]]
+    order = order[np.argsort(of_blob[order], kind="stable")]
+    owner = of_blob[order]
+    number = blobs.column("chunk").to_numpy()[owner] if len(order) else np.empty(0, np.int64)
+    return _blobs(number, 0, [merged[order]], ["hashes"]).select(["bucket", "hashes"]).rename_columns(["chunk", "shared"])
+
+
+def _confirmed(chunk: _Chunk, shared: pa.Table, buckets: int, number: int) -> pa.Table:
+    """Both hashes of the windows that are shared by the first, once per pair, with the
+    smallest document that has it."""
+    asked = np.concatenate([*_column(shared, "shared", np.uint64), np.empty(0, np.uint64)])
+    where = np.flatnonzero(np.isin(chunk.merged, asked))
+    one, two = chunk.merged[where], chunk.seconds(where)
+    owner = chunk.ids[chunk.of_window[where]]
+    order = np.lexsort((owner, two, one))
+    one, two, owner = one[order], two[order], owner[order]
+    first = np.flatnonzero(np.r_[True, np.diff(_groups((one, two))) > 0]) if len(one) else np.empty(0, np.int64)
+    one, two, owner = one[first], two[first], owner[first]
+    return _blobs(_bucket(one, buckets), number, [one, two, owner], ["one", "two", "owners"])
+
+
+def _seen_before(blobs: pa.Table) -> pa.Table:
+    """For each chunk, the bucket's windows that start in an earlier document of another chunk."""
+    ones = _column(blobs, "one", np.uint64)
+    of_blob = np.repeat(np.arange(len(ones)), [len(x) for x in ones])
+    one, two = np.concatenate(ones), np.concatenate(_column(blobs, "two", np.uint64))
+    owner = np.concatenate(_column(blobs, "owners", np.int64))
+    order = np.lexsort((owner, two, one))
+    group = _groups((one[order], two[order]))
+    first = np.flatnonzero(np.r_[True, np.diff(group) > 0])
+    later = order[owner[order] > owner[order][first][group]]
+    later = later[np.argsort(of_blob[later], kind="stable")]
+    number = blobs.column("chunk").to_numpy()[of_blob[later]]
+    found = _blobs(number, 0, [one[later], two[later]], ["one", "two"])
+    return found.select(["bucket", "one", "two"]).rename_columns(["chunk", "one", "two"])
+
+
+def _repeated(chunk: _Chunk, replies: pa.Table) -> np.ndarray:
+    """Windows that start in an earlier document, of this chunk or by the replies."""
+    seen = [np.concatenate([*_column(replies, name, np.uint64), np.empty(0, np.uint64)]) for name in ("one", "two")]
+    out = np.zeros(len(chunk.merged), bool)
+    # Only windows whose first hash occurs twice here, or is in the replies, need the second.
+    _, inverse, counts = np.unique(chunk.merged, return_inverse=True, return_counts=True)
+    where = np.flatnonzero((counts[inverse] > 1) | np.isin(chunk.merged, seen[0]))
+    del inverse, counts
+    one = np.r_[chunk.merged[where], seen[0]]
+    two = np.r_[chunk.seconds(where), seen[1]]
+    owner = np.r_[chunk.ids[chunk.of_window[where]], np.full(len(seen[0]), _NO_ID)]
+    foreign = np.r_[np.zeros(len(where), bool), np.ones(len(seen[0]), bool)]
+    order = np.lexsort((owner, ~foreign, two, one))
+    group = _groups((one[order], two[order]))
+    if not len(group):
+        return out
+    first = np.flatnonzero(np.r_[True, np.diff(group) > 0])
+    lead = order[first][group]  # the reply, or else the smallest document
+    earlier = ~foreign[order] & (foreign[lead] | (owner[order] > owner[lead]))
+    out[where[order[earlier]]] = True
+    return out
+
+
+def _kept(text: str | None, covered: np.ndarray) -> Iterator[bytes]:
+    """The words that are not covered, joined by one space, a piece of the text at a time."""
+    at, between = 0, b""
+    for piece in pieces(encoded(text)):
+        words = piece.split()
+        gone = covered[at : at + len(words)]
+        at += len(words)
+        if gone.any():
+            edges = np.flatnonzero(np.diff(np.r_[True, gone, True].astype(np.int8))).tolist()
+            words = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
+        if words:
+            yield between + b" ".join(words)
+            between = b" "
 
 
-def _cleaned(docs: pa.Table, replies: pa.Table, window: int) -> pa.Table:
+def _cleaned(docs: pa.Table, replies: pa.Table, window: int, first: Hash, second: Hash | None) -> pa.Table:
     """Apply the replies of all buckets, and the chunk's own repeats, to its documents."""
-    chunk = _Chunk(docs, window)
-    seen = np.concatenate([
-        *(np.frombuffer(x.as_py(), np.uint64) for x in replies.column("seen")), np.empty(0, np.uint64),
-    ])
-    elsewhere = np.isin(chunk.distinct, seen)
-    own_id = chunk.ids[chunk.of_window] if len(chunk.of_window) else np.empty(0, np.int64)
-    first_id = chunk.ids[chunk.first_doc] if len(chunk.first_doc) else np.empty(0, np.int64)
-    repeated = elsewhere[chunk.inverse] | (first_id[chunk.inverse] < own_id)
+    chunk = _Chunk(docs, window, first, second)
+    repeated = _repeated(chunk, replies)
     out: list[tuple] = []
-    for i, end in enumerate(chunk.ends):
-        text = chunk.text(i)
-        words = words_of(text)
-        flags = repeated[end - len(chunk.hashes[i]) : end]
-        covered = covered_words(flags, len(words), window)
+    for i, (start, end) in enumerate(zip(chunk.starts, chunk.ends, strict=True)):
+        text, n_words = chunk.text(i), len(chunk.digits[i])
+        covered = covered_words(repeated[start:end], n_words, window)
         starts, ends = intervals(covered)
-        kept = words
-        if len(starts):
-            edges = np.r_[0, np.column_stack([starts, ends]).ravel(), len(words)].tolist()
-            kept = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
-        line = b" ".join(kept)
+        digest, parts = hashlib.sha256(), []
+        for part in _kept(text, covered):
+            digest.update(part)
+            if len(starts):
+                parts.append(part)
         own = int(chunk.ids[i])
         out.append((
-            None if own == _NO_ID else own, len(words), len(words) - len(kept),
+            None if own == _NO_ID else own, n_words, int(covered.sum()),
             starts.astype(np.int32).tolist(), ends.astype(np.int32).tolist(),
-            line.decode("utf-8", "replace") if len(starts) else text, hashlib.sha256(line).hexdigest(),
+            b"".join(parts).decode("utf-8", "replace") if len(starts) else text, digest.hexdigest(),
         ))
     columns = list(zip(*out, strict=True)) or [()] * 7
     kinds = [
@@ -194,6 +289,11 @@ def _cleaned(docs: pa.Table, replies: pa.Table, window: int) -> pa.Table:
     return pa.table(arrays, [*_SCHEMA.names, *carried])
 
 
+def chunk_of(own: Column, text: Column, chunks: int) -> Column:
+    """The chunk a row is dealt to: rows without an id, or of one id, spread by their texts."""
+    return F.pmod(F.xxhash64(own, text), F.lit(chunks))
+
+
 def _between(bounds: tuple[int, int], wanted: int) -> int:
     return max(bounds[0], min(bounds[1], wanted))
 
@@ -201,7 +301,7 @@ def _between(bounds: tuple[int, int], wanted: int) -> int:
 def remove_repeats(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW,
     chunk_bytes: int | None = None, bucket_windows: int | None = None,
-    carry: Sequence[str] = (),
+    carry: Sequence[str] = (), first: Hash = window_hashes, second: Hash | None = None,
 ) -> DataFrame:
     """Remove words covered by a window that also starts in a document with a smaller id.
 
@@ -209,12 +309,14 @@ def remove_repeats(
     maximal, end exclusive), `text` (unchanged where nothing is removed, else the kept words
     joined by one space) and the kept words' kept_sha256; one row per input row.
 
-    Documents are dealt into chunks by their id. Each chunk hashes every window of its whole
-    texts and sends its distinct ones, with the first document of each, to counting buckets;
-    a passage that a third of all documents share is one entry per chunk there. Buckets
-    answer each chunk with the hashes that start earlier elsewhere, and the chunk, read from
-    the same shuffle again, marks its windows. 64 bits of hash and the few windows per bucket
-    make a false repeat unlikely up to some 10**9 windows (chance n**2 / 2**65).
+    Documents are dealt into chunks by id and text. Each chunk hashes every window of its
+    whole texts and sends its distinct ones to counting buckets; a passage that a third of
+    all documents share is one entry per chunk there. Buckets tell each chunk which hashes
+    other chunks have too. For these few the chunks send a second, independent hash with the
+    smallest document, and are told which of them start earlier elsewhere; then they mark
+    their windows. So windows count as equal if 128 bits agree, and a collision of the first
+    64 costs an entry, not a document's words. The documents are shuffled once and read
+    three times. `first` and `second` are the hash functions.
 
     Null and empty texts have no words. Rows with a null id count as smaller than every
     other and not smaller than one another; equal ids likewise do not remove from one
@@ -232,24 +334,33 @@ def remove_repeats(
     along = [F.col(f"`{name}`").alias(f"carried_{i}") for i, name in enumerate(carry)]
     docs = df.select(
         own.alias("id"), F.col(f"`{text}`").alias("text"),
-        F.pmod(F.xxhash64(own), F.lit(chunks)).alias("chunk"), *along,
+        chunk_of(own, F.col(f"`{text}`"), chunks).alias("chunk"), *along,
     )
     schema = T.StructType([
         *_SCHEMA.fields,
         *(T.StructField(f"carried_{i}", df.schema[name].dataType) for i, name in enumerate(carry)),
     ])
     docs = docs.repartition(partitions_for(spark, total, 4 * chunk_bytes), "chunk")
+    by_bucket = partitions_for(spark, 2 * total)  # eight bytes a window, and owners
 
     def hashed(group: pa.Table) -> pa.Table:
-        return _distinct_windows(group, window, buckets)
+        distinct, _ = _Chunk(group, window, first, second).distinct()
+        return _blobs(_bucket(distinct, buckets), group.column("chunk")[0].as_py(), [distinct], ["hashes"])
+
+    def confirmed(group: pa.Table, shared: pa.Table) -> pa.Table:
+        if not group.num_rows or not shared.num_rows:
+            return _blobs(np.empty(0, np.int64), 0, [np.empty(0)] * 3, ["one", "two", "owners"])
+        return _confirmed(_Chunk(group, window, first, second), shared, buckets, group.column("chunk")[0].as_py())
 
     def cleaned(group: pa.Table, replies: pa.Table) -> pa.Table:
-        return _cleaned(group, replies, window)
+        return _cleaned(group, replies, window, first, second)
 
-    blobs = docs.groupBy("chunk").applyInArrow(
-        hashed, "bucket long, chunk long, hashes binary, owners binary, counts binary"
+    blobs = docs.groupBy("chunk").applyInArrow(hashed, "bucket long, chunk long, hashes binary")
+    shared = blobs.repartition(by_bucket, "bucket").groupBy("bucket").applyInArrow(_shared, "chunk long, shared binary")
+    pairs = docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
+        confirmed, "bucket long, chunk long, one binary, two binary, owners binary"
     )
-    replies = blobs.groupBy("bucket").applyInArrow(_seen_before, "chunk long, seen binary")
+    replies = pairs.groupBy("bucket").applyInArrow(_seen_before, "chunk long, one binary, two binary")
     return docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cleaned, schema)
 
 
@@ -260,11 +371,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace texts by what substring dedup leaves of them, and n_chars; all documents stay."""
+    """Replace texts by what substring dedup leaves of them, and n_chars if it is there; all
+    documents and other columns stay."""
     carry = [name for name in docs.columns if name not in ("text", "n_chars")]
     cleaned = remove_repeats(docs, carry=carry)
     named = {name: F.col(f"carried_{i}") for i, name in enumerate(carry)}
-    named |= {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    named["text"] = F.col("text")
+    if "n_chars" in docs.columns:
+        named["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return cleaned.select([named[name].alias(name) for name in docs.columns])
 
 

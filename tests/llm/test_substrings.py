@@ -52,13 +52,35 @@ def test_matches_brute_force(spark, sizes):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 2_000, "bucket_windows": 100}])
+def test_colliding_hashes_remove_nothing(spark, sizes):
+    """The first hash has seven values only, within a chunk and between chunks: the second decides."""
+    rows = corpus(2, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def poor(digits, window):
+        return S.window_hashes(digits, window) % np.uint64(7) << np.uint64(61)
+
+    got = S.remove_repeats(docs, first=poor, **sizes).select("id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "'text ' || id AS text")
+    dealt = rows.select("doc_id", S.chunk_of(S.F.coalesce("doc_id", S.F.lit(S._NO_ID)), S.F.col("text"), 30).alias("chunk"))
+    sizes = [r["count"] for r in dealt.where("doc_id IS NULL").groupBy("chunk").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 80
+
+
 def test_windows_are_independent_of_place():
-    words = [w.encode() for w in "a b c d e f g h i j k l m n o p".split()]
-    far = words * 9000
-    hashes = S.window_hashes(far)
-    assert np.array_equal(hashes[:16], hashes[16 * 8000 : 16 * 8000 + 16])
-    assert len(set(hashes[:16].tolist())) == 16
-    assert len(S.window_hashes(words[:12])) == 0
+    words = "a b c d e f g h i j k l m n o p".split()
+    far = S.word_digits(" ".join(words * 90_000))
+    for which in (0, 1):
+        hashes = S.window_hashes(far, which=which)
+        assert np.array_equal(hashes[:16], hashes[16 * 80_000 : 16 * 80_000 + 16])
+        assert len(set(hashes[:16].tolist())) == 16
+        assert len(S.window_hashes(far[:12], which=which)) == 0
+    assert not set(S.window_hashes(far[:40]).tolist()) & set(S.window_hashes(far[:40], which=1).tolist())
 
 
 def test_edge_cases_and_stage(spark):
@@ -74,6 +96,7 @@ def test_edge_cases_and_stage(spark):
     assert sorted(map(tuple, got), key=key) == sorted(brute([(r[1], r[0]) for r in rows]), key=key)
     kept = S.substring_stage(spark, docs, "")
     assert kept.columns == docs.columns
+    assert S.substring_stage(spark, docs.drop("n_chars"), "").columns == docs.drop("n_chars").columns
     by = {r["doc_id"]: r for r in kept.collect()}
     assert by[2]["text"] is None and by[3]["text"] == "" and by[1]["text"] == long
     assert by[4]["text"] == "" and by[4]["n_chars"] == 0 and by[None]["text"] == text
