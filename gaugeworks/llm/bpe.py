@@ -75,8 +75,11 @@ def encode_chunk(bpe: Bpe, text: str, offset: int, last: bool, chunk: int, overl
 
     It is cut only behind pre-tokens that end in no white space: what ends there matches
     alike with and without the text that follows, while the end of a text draws the white
-    space before it together.
+    space before it together. A chunk without neighbours needs no boundary inside.
     """
+    if last and offset == 0:
+        ids = np.array(bpe.encode(text), np.int32)
+        return EncodedChunk(0, ids, np.array([0, len(text)], np.int64), np.array([0, len(ids)], np.int64))
     ends = bpe.ends(text)
     if not last:
         ends = ends[ends <= len(text) - MARGIN]
@@ -136,10 +139,10 @@ def encode_documents(
 ) -> DataFrame:
     """Ids of whole texts: columns id and ids (array<int>), one row per input row.
 
-    Texts up to one chunk are encoded where they lie. Longer ones are cut into overlapping
-    chunks that any task may take, and their encoded chunks are stitched per document. Null
-    and empty texts have no ids. Rows that repeat an id and text are encoded once and
-    returned as often; a null id stays null. An empty table gives an empty one. Other
+    Texts are cut into overlapping chunks, and their encoded chunks are stitched. A text of one
+    chunk has nothing to stitch and is encoded where it lies; the chunks of others go to any
+    task and meet again per document. Null and empty texts have no ids. Long rows that repeat
+    an id and text are encoded once and returned as often; a null id stays null. An empty table gives an empty one. Other
     columns are left out. `ranks` is a file that every worker has.
     """
     ship_package(df.sparkSession)
@@ -150,7 +153,7 @@ def encode_documents(
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks)
         for batch in slices(batches):
-            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+            ids = [encode_chunk(bpe, t, 0, True, chunk, overlap).ids for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"]
             )
@@ -180,10 +183,12 @@ def encode_documents(
             for r in rows
         ]
         ids = stitch(bpe, chunks, [r["text"] for r in rows], chunk)
-        copies = rows[0]["copies"]
         return pa.table(
-            [pa.array([rows[0]["id"]] * copies, pa.int64()), pa.array([ids] * copies, pa.list_(pa.int32()))],
-            ["id", "ids"],
+            [
+                pa.array([rows[0]["id"]], pa.int64()), pa.array([ids], pa.list_(pa.int32())),
+                pa.array([rows[0]["copies"]], pa.int64()),
+            ],
+            ["id", "ids", "copies"],
         )
 
     numbered = long.withColumn("digest", F.sha2("text", 256)).withColumn(
@@ -199,12 +204,14 @@ def encode_documents(
         pieces,
         "id long, digest string, copies long, number long, text string, ids array<int>, at array<long>, before array<long>",
     )
-    stitched = encoded.groupBy("digest", "id").applyInArrow(joined, "id long, ids array<int>")
+    stitched = encoded.groupBy("digest", "id").applyInArrow(joined, "id long, ids array<int>, copies long")
+    # Copies are a number until here, and rows of their own only in the JVM.
+    stitched = stitched.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("id", "ids")
     return short.mapInArrow(whole, "id long, ids array<int>").unionByName(stitched)
 
 
 def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """Bytes of encoded documents: id, n_tokens, ids_sha256 and `decoded` (binary).
+    """Bytes of encoded documents: id, ids, n_tokens, ids_sha256 and `decoded` (binary).
 
     Decoding concatenates the raw bytes of the ids. Null ids count as none.
     """
@@ -218,16 +225,16 @@ def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
             lines = [" ".join(map(decimals.__getitem__, ids)).encode() for ids in lists]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns,
                     pa.array(map(len, lists), pa.int64()),
                     pa.array([hashlib.sha256(line).hexdigest() for line in lines], pa.string()),
                     pa.array(map(bpe.decode, lists), pa.binary()),
                 ],
-                ["id", "n_tokens", "ids_sha256", "decoded"],
+                ["id", "ids", "n_tokens", "ids_sha256", "decoded"],
             )
 
     return encoded.select("id", "ids").mapInArrow(
-        run, "id long, n_tokens long, ids_sha256 string, decoded binary"
+        run, "id long, ids array<int>, n_tokens long, ids_sha256 string, decoded binary"
     )
 
 
@@ -239,9 +246,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every document; returns doc_id, n_tokens and ids."""
-    return encode_documents(docs).select(
-        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids"
+    """Encode every document and decode its ids: doc_id, n_tokens, ids and decoded_sha256."""
+    return decode_documents(encode_documents(docs)).select(
+        F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 

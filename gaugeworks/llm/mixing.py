@@ -111,14 +111,32 @@ def mix_sources(
     source's blocks, never over a source's documents. A null source is a source of its own.
     Null and empty texts have no tokens and ride along with their block; a source without
     any token has weight zero, and its documents are used once if there is no budget, else
-    not. Rows that repeat others in all of id and text take neighbouring places. An empty
-    table gives an empty one. `mix_` columns that exist already are replaced.
+    not. Rows that repeat others in id and text are told apart by their place in the table,
+    so that they spread over the blocks. An empty table gives an empty one. The documents'
+    own columns, whatever their names, come along untouched, but for those named as one of
+    the five.
     """
-    own = [name for name in docs.columns if not name.startswith("mix_")]
+    mixed = _mixed(docs, budget, target_entropy, entropy_share, max_repeat, tokens, block_docs)
+    own = [F.col(f"row.`{name}`") for name in docs.columns if name not in _ADDED]
+    return mixed.select(*own, *_ADDED)
+
+
+_ADDED = ["mix_source", "mix_epoch", "mix_tokens", "mix_start", "mix_quota"]
+
+
+def _mixed(
+    docs: DataFrame, budget: int | None, target_entropy: float | None, entropy_share: float | None,
+    max_repeat: float | None, tokens: Column | None, block_docs: int,
+) -> DataFrame:
+    """The mixture with the documents' own columns as one struct, `row`."""
+    draw = F.md5(F.concat(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit(""))
+    ))
     counted = docs.select(
-        *[F.col(f"`{name}`") for name in own],
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("mix_source"),
         (word_count(F.col("text")) if tokens is None else tokens).cast("long").alias("mix_tokens"),
+        draw.alias("mix_draw"), F.monotonically_increasing_id().alias("mix_place"),
     )
     totals = counted.groupBy("mix_source").agg(
         F.sum("mix_tokens").alias("total"), F.count(F.lit(1)).alias("n")
@@ -137,11 +155,13 @@ def mix_sources(
     plan_table = spark.createDataFrame(
         plan, "mix_source string, total long, mix_blocks long, mix_quota long, epochs long"
     )
-    draw = F.md5(F.concat(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit(""))
-    ))
+    repeated = counted.groupBy("mix_draw").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = settle(repeated.select("mix_draw", F.lit(True).alias("mix_repeated")))
+    counted = sized_join(counted, repeated, ["mix_draw"], "left")
+    apart = F.md5(F.concat_ws("|", "mix_draw", "mix_place"))
+    counted = counted.withColumn("mix_draw", F.when(F.col("mix_repeated"), apart).otherwise(F.col("mix_draw")))
     placed = sized_join(counted, plan_table.select("mix_source", "mix_blocks"), ["mix_source"])
-    placed = placed.withColumn("mix_draw", draw).withColumn(
+    placed = placed.withColumn(
         "mix_block", F.conv(F.substring("mix_draw", 1, 7), 16, 10).cast("long") % F.col("mix_blocks")
     )
     within = Window.partitionBy("mix_source", "mix_block").orderBy("mix_draw").rowsBetween(
@@ -162,9 +182,7 @@ def mix_sources(
     )
     copies = sized_join(placed, settle(epochs), ["mix_source", "mix_block"])
     copies = copies.withColumn("mix_start", F.col("offset") + F.col("mix_before"))
-    return copies.where(F.col("mix_start") + F.col("mix_tokens") <= F.col("mix_quota")).select(
-        *[F.col(f"`{name}`") for name in own], "mix_source", "mix_epoch", "mix_tokens", "mix_start", "mix_quota"
-    )
+    return copies.where(F.col("mix_start") + F.col("mix_tokens") <= F.col("mix_quota")).select("row", *_ADDED)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +198,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The production settings without a budget: every document at least once, smaller sources
-    up to MAX_REPEAT times."""
-    return mix_sources(docs, entropy_share=ENTROPY_SHARE, max_repeat=MAX_REPEAT).select(docs.columns)
+    up to MAX_REPEAT times. All columns stay as they are."""
+    return _mixed(docs, None, None, ENTROPY_SHARE, MAX_REPEAT, None, BLOCK_DOCS).select("row.*")
 
 
 QUERIES = {"op10_source_mixing": op10_source_mixing}

@@ -18,8 +18,8 @@ from gaugeworks.session import settle
 FEATURE_BITS = 18
 #: Bound of the labelled rows the model is fitted on; a larger set of labels is cut by hash.
 MAX_TRAINING_ROWS = 12_000
-#: Models fitted side by side on disjoint parts of them; their weights are averaged.
-LEARNERS = 2
+#: Bound of their features' bytes, which are what the learner holds.
+MAX_TRAINING_BYTES = 256 << 20
 EPOCHS = 3
 THRESHOLD = 0.3
 FOLDS = 5
@@ -105,15 +105,16 @@ def held_out(id_column: Column, folds: int = FOLDS) -> Column:
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, epochs: int = EPOCHS,
-    bits: int = FEATURE_BITS,
+    bits: int = FEATURE_BITS, max_bytes: int = MAX_TRAINING_BYTES,
 ) -> np.ndarray:
     """Weights fitted on labelled documents out of the held-out fold.
 
     `labels` has doc_id and quality; ids with several labels count with the smallest, null
     labels and ids not at all. Of more than about `max_rows` labelled ids, those with the
     smallest hash are used. The rows, bounded that way, meet the documents by a broadcast of
-    their ids; each of a few learners fits a part, and what reaches the driver is one
-    weight vector of 2**bits each. Without any label, or any document to it, all weights are
+    their ids; each document becomes its sparse features where it lies, and of more than
+    about `max_bytes` of features a part is used, again by hash. One task takes them in the
+    order of the hash, and one weight vector of 2**bits reaches the driver. Without any label, or any document to it, all weights are
     zero and every score is one half.
     """
     spark = docs.sparkSession
@@ -126,46 +127,62 @@ def fit_quality(
     known = settle(known.withColumn("draw", draw_of("id")))
     count = known.count()
     known = known.where(drawn(max_rows / max(1, count), "id"))
-    learners = max(1, min(LEARNERS, count // 500))
     chosen = docs.select(long_id(docs, "doc_id").alias("id"), "text").join(F.broadcast(known), "id")
-    chosen = chosen.withColumn("learner", F.col("draw") % learners)
+    # A repeated id counts once, with its smallest text, however many rows carry it.
+    chosen = chosen.groupBy("id", "quality", "draw").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [_shifted(t.as_py(), bits) for t in batch.column(3)]
+            packed = [
+                pa.array([array.astype(kind).tobytes() for array in arrays], pa.binary())
+                for arrays, kind in zip(zip(*rows, strict=True), (np.int32, np.float32), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *packed], ["id", "quality", "draw", "slots", "values"])
+
+    found = settle(chosen.mapInArrow(featured, "id long, quality int, draw long, slots binary, values binary"))
+    size = found.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
+    found = found.where(drawn(max_bytes / max(1, 2 * size), "id", "draw"))
 
     def fit(group: pa.Table) -> pa.Table:
-        text = group.column("text")
-        order = sorted(range(group.num_rows), key=lambda i: (group.column("draw")[i].as_py(), text[i].as_py() or ""))
-        rows = [_shifted(text[i].as_py(), bits) for i in order]
-        rows = [(slots.astype(np.int32), values.astype(np.float32)) for slots, values in rows]
-        marks = [group.column("quality")[i].as_py() for i in order]
-        weights = fit_ftrl(rows, marks, epochs, bits)
+        group = group.sort_by([("draw", "ascending"), ("id", "ascending")])
+        rows = [
+            (np.frombuffer(s.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32))
+            for s, v in zip(group.column("slots"), group.column("values"), strict=True)
+        ]
+        weights = fit_ftrl(rows, group.column("quality").to_pylist(), epochs, bits)
         return pa.table([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
-    fitted = chosen.groupBy("learner").applyInArrow(fit, "weights binary").collect()
+    # Updates depend on one another: one task, over rows bounded in number and bytes.
+    fitted = found.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(fit, "weights binary").collect()
     if not fitted:
         return np.zeros((1 << bits) + 1, np.float32)
-    return np.mean([np.frombuffer(row["weights"], np.float32) for row in fitted], axis=0)
+    return np.frombuffer(fitted[0]["weights"], np.float32)
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, bits: int = FEATURE_BITS) -> DataFrame:
-    """Score every document: its columns and `quality_score`, 0 to 1, higher for better.
+def score_quality(
+    docs: DataFrame, weights: np.ndarray, bits: int = FEATURE_BITS, name: str = "quality_score"
+) -> DataFrame:
+    """Score every document: its columns and one more, 0 to 1, higher for better.
 
     Scored on whole texts as a sparse dot product; null and empty texts get the intercept's
-    score. A column already named quality_score is replaced.
+    score. A column that already has the score's name is replaced.
     """
     ship_package(docs.sparkSession)
-    kept = docs.drop("quality_score")
-    schema = kept.withColumn("quality_score", F.lit(0.0)).schema
+    kept = docs.drop(name)
+    names = [*kept.columns, name]
+    plain = [f"c{i}" for i in range(len(names))]  # so that names may hold anything
+    at = names.index("text")
+    renamed = kept.toDF(*plain[:-1])
     vector = docs.sparkSession.sparkContext.broadcast(weights)
-    at = kept.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = vector.value
         for batch in slices(batches):
             scores = [score_text(weights, t.as_py(), bits) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "quality_score"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], plain)
 
-    return kept.mapInArrow(run, schema)
+    return renamed.mapInArrow(run, renamed.withColumn(plain[-1], F.lit(0.0)).schema).toDF(*names)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +197,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects, scores below THRESHOLD."""
+    """Drop the documents that the classifier rejects, scores below THRESHOLD; all columns stay."""
     weights = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, weights).where(F.col("quality_score") >= THRESHOLD).select(docs.columns)
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    kept = score_quality(docs, weights, name=name).where(F.col(name) >= THRESHOLD)
+    return kept.drop(name)
 
 
 QUERIES = {"op7_quality_classifier": op7_quality_classifier}

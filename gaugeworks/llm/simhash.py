@@ -327,10 +327,12 @@ def simhash_groups(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SHINGLE,
     radius: int = RADIUS, hot_rows: int = HOT_BAND_ROWS,
 ) -> DataFrame:
-    """Near-duplicate groups: id, fingerprint (long), component_id, one row per input row.
+    """Near-duplicate groups: id, fingerprint (long), component_id and component, one row per
+    input row.
 
     Fingerprints that differ in at most `radius` bits are linked, and component_id is the
-    smallest id reachable by links, the row's own included. Equal fingerprints are one node,
+    smallest id reachable by links, the row's own included; component, a fingerprint of the
+    group, tells groups apart that share an id. Equal fingerprints are one node,
     so copies never meet in pairs. Null and empty texts have fingerprint zero and are linked
     like any other; rows with a null id belong to their group without naming it, and
     component_id is null where no row of a group has an id. Repeated rows give repeated
@@ -345,9 +347,11 @@ def simhash_groups(
     grouped = grouped.withColumn("component", F.coalesce("component", "mark"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     nodes = sized_join(grouped, named, ["component"]).select(
-        F.col("mark").alias("fingerprint"), "component_id"
+        F.col("mark").alias("fingerprint"), "component_id", "component"
+    )
+    return sized_join(marked, settle(nodes), ["fingerprint"]).select(
+        "id", "fingerprint", "component_id", "component"
     )
-    return sized_join(marked, settle(nodes), ["fingerprint"]).select("id", "fingerprint", "component_id")
 
 
 # Query and stage
@@ -365,23 +369,28 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash group: the one with the group's smallest id.
 
-    Of several rows with that id the one with the smallest text stays. Rows without an id
-    take no part in groups and stay.
+    Groups are those of texts, so rows of one id with unlike texts belong to several groups,
+    each of which keeps a document. Of several rows of a group with its smallest id, the one
+    with the smallest fingerprint and then text stays. Rows without an id take no part in
+    groups and stay. All columns, whatever their names, stay as they are.
     """
     named = docs.where(F.col("doc_id").isNotNull())
     groups = settle(simhash_groups(named))
-    leads = groups.where("id = component_id").groupBy(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).agg(
-        F.count(F.lit(1)).alias("n")
+    leads = groups.groupBy("component").agg(F.min(F.struct("id", "fingerprint")).alias("lead")).select("lead.*")
+    often = settle(groups.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    leads = settle(leads)
+    held = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), long_id(docs, "doc_id").alias("id"))
+    single = sized_join(leads.select("id"), often, ["id"], "left_anti")
+    kept = sized_join(held, single, ["id"], "left_semi").select("row").unionByName(held.where("id IS NULL").select("row"))
+    if often.isEmpty():
+        return kept.select("row.*")
+    several = settle(sized_join(held, often, ["id"], "left_semi").withColumn("place", F.monotonically_increasing_id()))
+    marks = fingerprints(several.select("place", F.col("row.text").alias("text")), "place").withColumnRenamed("id", "place")
+    several = several.join(marks, "place")
+    chosen = sized_join(several, leads, ["id", "fingerprint"], "left_semi").groupBy("id", "fingerprint").agg(
+        F.min_by("row", F.struct(F.coalesce("row.text", F.lit("")).alias("text"), F.col("place"))).alias("row")
     )
-    kept = sized_join(docs, leads.where("n = 1").select("doc_id"), ["doc_id"], "left_semi")
-    kept = kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
-    repeated = settle(leads.where("n > 1").select("doc_id"))
-    if not repeated.isEmpty():
-        several = sized_join(docs, repeated, ["doc_id"], "left_semi").groupBy("doc_id").agg(
-            F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")
-        )
-        kept = kept.unionByName(several.select("row.*"))
-    return kept
+    return kept.unionByName(chosen.select("row")).select("row.*")
 
 
 QUERIES = {"op2_simhash_near_dedup": op2_simhash_near_dedup}

@@ -44,7 +44,7 @@ def test_edge_cases(spark):
     )
     assert B.encode_documents(docs.limit(0)).count() == 0
     staged = B.bpe_stage(spark, docs, "")
-    assert staged.columns == ["doc_id", "n_tokens", "ids"] and staged.count() == len(rows)
+    assert staged.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and staged.count() == len(rows)
 
 
 def test_reads_the_tables(spark):

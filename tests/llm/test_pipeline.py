@@ -1,9 +1,11 @@
 """The pipeline against its stages worked out one text at a time."""
 
+import hashlib
 from collections import Counter
 
 import corpus_pipeline
-from gaugeworks.llm import bpe, quality
+from gaugeworks.llm import bpe, quality, simhash
+from gaugeworks.session import settle
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +42,9 @@ def test_pipeline_matches_brute_force(spark):
     assert {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in got} == {
         i: (len(encode(t)), encode(t)) for i, t in texts.items()
     }
+    assert {r["doc_id"]: r["decoded_sha256"] for r in got} == {
+        i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()
+    }
     assert set(Counter(r["doc_id"] for r in got).values()) <= {1, 2}
 
 
@@ -54,3 +59,40 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_columns_of_any_name_pass_through_the_stages(spark):
+    """Names the stages use themselves, no n_chars, rows without an id and with repeated ones."""
+    words = [f"word{i} follows another" for i in range(400)]
+    texts = [". ".join(words[20 * i : 20 * i + 20]) for i in range(20)] + [None, ""]
+    rows = [
+        (f"o{n}", n, f"q{n}", 0.5 + n, n % 3, texts[n % len(texts)], None if n % 5 == 0 else n % 17, ("a", "b", None)[n % 3],
+         ["x"], f"s{n}", "c", n, "k")
+        for n in range(60)
+    ]
+    names = ["offset", "mix_note", "quality_score", "mix_start", "component", "text", "doc_id", "source", "carried_0",
+             "_salt", "text2", "id", "a.b"]
+    types = "string int string double int string long string array<string> string string int string".split()
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
+    marks = {}
+    for row in rows:
+        marks[row[1]] = tuple(repr(v) for i, v in enumerate(row) if names[i] != "text")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["mix_note"]: r["text"] for r in docs.collect()}
+        docs = settle(stage(spark, docs, SF))
+        assert docs.columns == names
+        kept = docs.collect()
+        for row in kept:
+            assert tuple(repr(v) for n, v in zip(names, row) if n != "text") == marks[row["mix_note"]], name
+        if name in ("substring_dedup", "source_mixing"):
+            assert {r["mix_note"] for r in kept} == set(before), name
+        if name == "simhash_near_dedup":
+            # No group of texts is lost: every fingerprint component keeps a row.
+            def print_of(text):
+                return simhash.fingerprint(text)
+
+            prints = {n: print_of(t) for n, t in before.items()}
+            left = {prints[r["mix_note"]] for r in kept}
+            assert all(any((p ^ q).bit_count() <= 2 for q in left) for p in prints.values())
+    done = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert done.count() == docs.count()

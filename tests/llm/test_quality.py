@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -66,3 +69,55 @@ def test_stage_drops_rejected(spark):
     assert kept.columns == docs.columns
     accepted = Q.op7_quality_classifier(spark, SF).where("predicted = 1").select("doc_id")
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in accepted.collect())
+
+
+def brute_features(text, bits):
+    """Log counts of hashed 1- and 2-grams, a dictionary, scaled to length one."""
+    words = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+", (text or "").encode())
+    codes = [zlib.crc32(w) for w in words]
+    grams = codes + [0x5851F42D4C957F2D if a == b else a * 31 + b + 0x7F4A7C15 for a, b in zip(codes, codes[1:])]
+    counts = Counter(g * 0x9E3779B97F4A7C15 % 2**64 >> (64 - bits) for g in grams)
+    length = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values()))
+    return {-1: 1.0} | {slot: math.log1p(n) / length for slot, n in counts.items()}
+
+
+def brute_weights(rows, epochs, s=Q.Ftrl()):
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_query_matches_brute_force(spark):
+    """Features, updates and scores worked out one number at a time."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    drawn = labels.select("doc_id", "quality", Q.draw_of("doc_id").alias("draw")).collect()
+    known = sorted((r["draw"], r["doc_id"], r["quality"]) for r in drawn if zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    rows = {i: brute_features(t, Q.FEATURE_BITS) for i, t in docs.items()}
+    weights = brute_weights([(rows[i], y) for _, i, y in known if i in rows], Q.EPOCHS)
+    got = {r["doc_id"]: r["score"] for r in Q.op7_quality_classifier(spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    for i, x in rows.items():
+        dot = sum(v * weights.get(slot, 0.0) for slot, v in x.items())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-dot)), abs=1e-3)
+
+
+def test_repeated_ids_count_once(spark):
+    docs = spark.createDataFrame([(i, f"good words {i}" if i % 2 else f"!!! {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    more = docs.unionByName(docs.where("doc_id = 7")).unionByName(docs.where("doc_id = 7"))
+    assert np.array_equal(Q.fit_quality(docs, labels), Q.fit_quality(more, labels))
+    assert not np.array_equal(Q.fit_quality(docs, labels, max_bytes=400), Q.fit_quality(docs, labels))
