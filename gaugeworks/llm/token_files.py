@@ -24,12 +24,14 @@ from gaugeworks.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-#: Documents the dictionary is trained on, the bytes taken of each, and its own size.
+#: Documents the dictionary is trained on, the first characters taken of each, and its own size.
 SAMPLE_DOCS = 2_000
-SAMPLE_BYTES = 1 << 14
+SAMPLE_CHARS = 1 << 14
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
+#: A shard ends with the document that brings its frames, or the ids in them, to so many bytes.
 SHARD_BYTES = 1 << 20
+SHARD_ID_BYTES = 1 << 24
 KNOWN_PIECES = 300_000
 KNOWN_WORDS = 500_000
 _ENDS = frozenset(".,;:!?")
@@ -160,11 +162,12 @@ def fit_dictionary(docs: DataFrame, count: int, path: str, tokenizer: str = TOKE
     def train(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("draw").to_numpy(), kind="stable")
         texts = group.column("text").take(pa.array(order))
-        samples = [encoder(tokenizer).encode(t.as_py())[:SAMPLE_BYTES] for t in texts]
+        samples = [encoder(tokenizer).encode(t.as_py()) for t in texts]
         return pa.table([pa.array([train_dictionary([s for s in samples if s])], pa.binary())], ["dictionary"])
 
-    sampled = docs.select(draw_of("id", "mark").alias("draw"), "text", F.lit(0).alias("all")).groupBy("all").applyInArrow(train, "dictionary binary")
-    found = sampled.collect()
+    begun = F.left("text", F.lit(SAMPLE_CHARS)).alias("text")  # before the texts move
+    sampled = docs.select(draw_of("id", "mark").alias("draw"), begun, F.lit(0).alias("all"))
+    found = sampled.groupBy("all").applyInArrow(train, "dictionary binary").collect()
     raw = bytes(found[0]["dictionary"]) if found else b""
     spark.createDataFrame(
         [(hashlib.sha256(raw).hexdigest(), bytearray(raw))], "hash string, dictionary binary"
@@ -175,13 +178,15 @@ def fit_dictionary(docs: DataFrame, count: int, path: str, tokenizer: str = TOKE
 def write_token_files(
     df: DataFrame, path: str, id_column: str = "doc_id", text: str = "text",
     tokenizer: str = TOKENIZER, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES,
+    shard_id_bytes: int = SHARD_ID_BYTES,
 ) -> None:
     """Encode whole texts and write them below `path` in ascending order of their ids.
 
     A shard holds the frames of consecutive documents, one zstandard frame each under the
     shared dictionary, beside an index: ids, offsets (one more than documents), token
     counts, and the dictionary's hash. Shards are rows of Parquet files, which Spark commits
-    to any store; reading the index leaves the payloads alone. Texts are dealt into ranges
+    to any store; reading the index leaves the payloads alone. A shard is bounded in the bytes
+    of its frames and of the ids they hold, as repetitive texts shrink a thousandfold. Texts are dealt into ranges
     of ids once, as text; each task encodes its range in order. Added tokens of the tokenizer's
     file inside a text get their own ids. Null texts count as empty, and every document ends with
     `end_id`. Null ids come first; rows of one id are ordered
@@ -202,7 +207,7 @@ def write_token_files(
         made = encoder(tokenizer)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw))
         part = TaskContext.get().partitionId()
-        number, held, ids, counts, size = 0, [], [], [], 0
+        number, held, ids, counts, size, plain = 0, [], [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
             offsets = np.cumsum([0, *map(len, held)]).tolist()
@@ -223,10 +228,10 @@ def write_token_files(
                 held.append(frame)
                 ids.append(own)
                 counts.append(len(line) // 4 + 1)
-                size += len(frame)
-                if size >= shard_bytes:
+                size, plain = size + len(frame), plain + len(line)
+                if size >= shard_bytes or plain >= shard_id_bytes:
                     yield shard()
-                    number, held, ids, counts, size = number + 1, [], [], [], 0
+                    number, held, ids, counts, size, plain = number + 1, [], [], [], 0, 0
         if held:
             yield shard()
 

@@ -100,3 +100,12 @@ def test_flags_of_added_tokens_match_the_library(tmp_path, flags):
     own = F.TextEncoder(str(tmp_path / "t.json"))
     for text in [*MARKED, "a <x> b", "a<x>b", " <x><y><x> ", "<|endoftext|> <x>\n<y>"]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_repetitive_texts_fill_shards_by_their_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "alpha beta " * 3000) for i in range(40)], "doc_id long, text string").coalesce(1)
+    F.write_token_files(docs, str(tmp_path / "f"), shard_id_bytes=100_000)
+    shards = spark.read.parquet(f"{tmp_path}/f/shards").select("n_tokens").collect()
+    assert len(shards) > 5 and max(r["n_tokens"] for r in shards) * 4 < 150_000
+    got = F.read_token_files(spark, str(tmp_path / "f"))
+    assert got.count() == 40 and got.select("ids").distinct().count() == 1
