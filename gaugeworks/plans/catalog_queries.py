@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import keys
-from gaugeworks.operators import catalog, search_index
+from gaugeworks.operators import catalog, lineage, quality, search_index
 from gaugeworks.operators.catalog import GOVERNANCE_FIELDS
 from gaugeworks.operators.joins import sized_join
 from gaugeworks.operators.kpi_deltas import KpiState
@@ -207,6 +207,16 @@ def q_facet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_index.indexed_facet_counts(spark, path, found, facets)
 
 
+def q_walk_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Badges along the lineage: what a region stands on, with the outcome of its tests.
+
+    The daily tests of a user count as tests of the customer of that number.
+    """
+    walked = lineage.lineage_walk(settle(key_edges(spark, sf_dir)), "region:0", "upstream")
+    results = rule_results(spark, sf_dir).withColumn("entity", F.replace("entity", F.lit("user:"), F.lit("customer:")))
+    return walked.join(quality.lineage_dq_badge(walked, results), "entity")
+
+
 def q_orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "orders").select(
         tagged("customer", "o_custkey").alias("upstream"),
@@ -249,6 +259,7 @@ QUERIES = {
     "governed_search": q_governed_search,
     "keyword_search": q_keyword_search,
     "keyword_index": q_keyword_index,
+    "walk_badges": q_walk_badges,
     "facet_index": q_facet_index,
     "orphan_edges": q_orphan_edges,
     "payload_checks": q_payload_checks,
@@ -413,3 +424,17 @@ SELECT key, 'unknown_parent' FROM payload WHERE parent IS NOT NULL AND NOT EXIST
 }
 ORACLE |= {"keyword_index": ORACLE["keyword_search"], "facet_index": ORACLE["facet_search"],
            "kpi_deltas": ORACLE["governance_kpis"]}
+ORACLE["walk_badges"] = f"""WITH RECURSIVE {KEY_EDGES_SQL}, {RESULTS_SQL}, up(entity, hops) AS (
+  SELECT 'region:0', 0
+  UNION SELECT upstream, hops + 1 FROM up JOIN edges ON downstream = entity),
+walked AS (SELECT entity, CAST(MIN(hops) AS INTEGER) AS hops FROM up WHERE hops > 0 GROUP BY entity),
+latest AS (
+  SELECT replace(entity, 'user:', 'customer:') AS entity, test, status, ROW_NUMBER() OVER (
+    PARTITION BY entity, test ORDER BY ts DESC, run_id DESC) AS n FROM results),
+per_entity AS (
+  SELECT entity, COUNT(*) FILTER (WHERE status = 'FAILED') AS failed_tests, COUNT(*) AS tests
+  FROM latest WHERE n = 1 GROUP BY entity)
+SELECT walked.entity, hops,
+       CASE WHEN failed_tests > 0 THEN 'red' WHEN tests > 0 THEN 'green' ELSE 'none' END AS badge,
+       COALESCE(failed_tests, 0) AS failed_tests, COALESCE(tests, 0) AS tests
+FROM walked LEFT JOIN per_entity ON walked.entity = per_entity.entity"""
