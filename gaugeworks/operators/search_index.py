@@ -25,17 +25,19 @@ _DELTA_CODED = {
 
 def _write_sorted(df: DataFrame, path: str, *order: str) -> None:
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    sorted_rows.write.options(**_DELTA_CODED).mode("append").parquet(path)
+    sorted_rows.write.options(**_DELTA_CODED).mode("overwrite").parquet(path)
 
 
-def add_to_keyword_index(df: DataFrame, path: str, key: str, text: str) -> None:
-    """Add the words of texts to the posting lists below a path; the first call begins them.
+def add_to_keyword_index(df: DataFrame, path: str, batch: str, key: str, text: str) -> None:
+    """Add the words of a batch of texts to the posting lists below a path.
+
+    The batch has folders of its own, and the same batch again replaces them.
 
     Words are runs of ASCII letters and digits, in any case, as in `keyword_search`. A list
     is kept in blocks of ids, one row (word, block, ids) with rising ids, in the order of
     words; a word that every text holds is many blocks, never one group. `key` is a long
     that names one row of all that are ever added; rows without one, and texts without
-    words, are not found. Rows of a text that changes must be indexed under a new key.
+    words, are not found. A text that changes takes its batch written again, or a new key.
 
     A second table has each word's number of texts, for the order of intersection.
     """
@@ -48,9 +50,9 @@ def add_to_keyword_index(df: DataFrame, path: str, key: str, text: str) -> None:
         found.groupBy("word", F.shiftright("key", POSTING_BITS).alias("block"))
         .agg(F.sort_array(F.collect_set(low)).alias("ids"))
     )
-    _write_sorted(postings, f"{path}/postings", "word", "block")
+    _write_sorted(postings, f"{path}/postings/batch={batch}", "word", "block")
     counts = postings.groupBy("word").agg(F.sum(F.size("ids")).cast("bigint").alias("texts"))
-    _write_sorted(counts, f"{path}/words", "word")
+    _write_sorted(counts, f"{path}/words/batch={batch}", "word")
 
 
 def keyword_lookup(spark: SparkSession, path: str, query: str) -> DataFrame:
@@ -68,7 +70,7 @@ def keyword_lookup(spark: SparkSession, path: str, query: str) -> DataFrame:
     common = None
     for word in rarest_first:
         blocks = spark.read.parquet(f"{path}/postings").where(F.col("word") == word)
-        # A block has a row for each time that texts of it were added.
+        # A block has a row for each batch that has texts of it.
         blocks = blocks.groupBy("block").agg(F.flatten(F.collect_list("ids")).alias("ids"))
         if common is None:
             common = blocks

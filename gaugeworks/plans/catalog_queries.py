@@ -188,10 +188,10 @@ def q_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search of `keyword_search`, on posting lists that are added to in two parts."""
+    """The search of `keyword_search`, on posting lists that are added to in two batches."""
     docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "keywords")
-    for part in (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")):
-        search_index.add_to_keyword_index(part, path, "doc_id", "text")
+    for batch, wanted in (("even", "doc_id % 2 = 0"), ("odd", "doc_id % 2 <> 0")):
+        search_index.add_to_keyword_index(docs.where(wanted), path, batch, "doc_id", "text")
     found = search_index.keyword_lookup(spark, path, "On THE, of").withColumnRenamed("key", "doc_id")
     return sized_join(docs.select("doc_id", "lang", "n_chars"), found, ["doc_id"], "left_semi")
 
