@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import WORD, table, word_count
+from gaugeworks.llm.bpe import RANKS, load
+from gaugeworks.llm.common import WORD, ship_package, slices, table, word_count
 from gaugeworks.operators.joins import sized_join
 from gaugeworks.session import scratch_path
 
@@ -24,6 +28,29 @@ def words_2_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("long")
 
 
+def with_bpe_count(docs: DataFrame, name: str = "n_bpe", ranks: str = RANKS) -> DataFrame:
+    """Documents with the number of their whole text's ids under a rank file, null as empty.
+
+    A column that already has the name is replaced; all others stay. For batches of a
+    tokenizer's version: `inserted(with_bpe_count(docs), "byte_bpe_50k", F.col("n_bpe"))`.
+    """
+    ship_package(docs.sparkSession)
+    kept = docs.drop(name)
+    names = [*kept.columns, name]
+    plain = [f"c{i}" for i in range(len(names))]  # so that names may hold anything
+    at = names.index("text")
+    renamed = kept.toDF(*plain[:-1])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(ranks)
+        for batch in slices(batches):
+            counts = [len(bpe.encode(t.as_py() or "")) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], plain)
+
+    schema = renamed.withColumn(plain[-1], F.lit(0).cast("long")).schema
+    return renamed.mapInArrow(run, schema).toDF(*names)
+
+
 def inserted(docs: DataFrame, tokenizer: str, tokens: Column) -> DataFrame:
     """Changes that add documents under a tokenizer version."""
     return _changes(docs, tokenizer, 1, tokens)

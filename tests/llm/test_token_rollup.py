@@ -1,6 +1,7 @@
 import pytest
 
 from gaugeworks.llm import token_rollup as R
+from gaugeworks.llm.bpe import RANKS, load
 
 SCHEMA = "doc_id long, source string, lang string, text string, n_tokens string"
 
@@ -65,3 +66,26 @@ def test_edge_cases(spark, docs, tmp_path):
     for bad in ("", "a/b", "base-1", "_x", ".x"):
         with pytest.raises(ValueError):
             ledger.commit(bad, docs)
+
+
+def test_counts_of_a_real_tokenizer(spark, docs, tmp_path):
+    """Inserted, then some deleted and one revised under the 50k byte-level ranks."""
+    encode = load(RANKS).encoding.encode_ordinary
+    named = docs.withColumn("n_bpe", R.F.lit("x")).withColumn("a.b", R.F.lit(1))
+    counted = R.with_bpe_count(named)
+    assert counted.columns == [*docs.columns, "a.b", "n_bpe"]
+    rows = counted.collect()
+    assert all(r["n_bpe"] == len(encode(r["text"] or "")) for r in rows) and len(rows) == 6
+    ledger = R.TokenLedger(spark, str(tmp_path))
+    n = R.F.col("n_bpe")
+    ledger.commit("load", R.inserted(counted, "byte_bpe_50k", n))
+    ledger.commit("gone", R.deleted(counted.where("doc_id = 3"), "byte_bpe_50k", n))
+    again = R.with_bpe_count(docs.where("doc_id = 1").withColumn("text", R.F.lit("one, two; three")))
+    ledger.commit("edit", R.revised(again, "byte_bpe_50k", R.F.lit(len(encode("one two"))), n))
+    want = {}
+    for r in rows:
+        if r["doc_id"] != 3:
+            text = "one, two; three" if r["doc_id"] == 1 else r["text"] or ""
+            key = (r["source"], r["lang"], "byte_bpe_50k")
+            want[key] = tuple(a + b for a, b in zip(want.get(key, (0, 0)), (1, len(encode(text)))))
+    assert totals(ledger) == sorted((k + v for k, v in want.items()), key=str)
