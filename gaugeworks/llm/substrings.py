@@ -22,7 +22,7 @@ WINDOW = 13
 #: the corpus up to what a task holds with ease, so that their product, the number of blobs
 #: shuffled, stays far below the number of windows.
 CHUNK_BYTES = (4 << 20, 32 << 20)
-BUCKET_WINDOWS = (1 << 20, 1 << 22)
+BUCKET_WINDOWS = (1 << 21, 1 << 22)
 #: Bases of the two window hashes, odd, so that they have inverses modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -116,30 +116,36 @@ def intervals(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Chunk:
-    """Windows of a chunk of documents: all hashes, and each distinct one's first document."""
+    """Windows of a chunk of documents, in the order of ids.
 
-    def __init__(self, docs: pa.Table, window: int, first: Hash = window_hashes, second: Hash | None = None) -> None:
+    `codes` has for each window its counting bucket, from the upper half of the first hash,
+    above that hash's lower half.
+    """
+
+    def __init__(
+        self, docs: pa.Table, window: int, buckets: int, first: Hash = window_hashes, second: Hash | None = None
+    ) -> None:
         ids = docs.column("id").to_numpy()
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order].astype(np.int64)
         self.texts = docs.column("text").combine_chunks() if docs.num_rows else docs.column("text")
         self.window, self.second = window, second or partial(window_hashes, which=1)
         self.digits = [word_digits(self.text(i)) for i in range(len(ids))]
-        hashes = [first(d, window) for d in self.digits]
-        sizes = np.array([len(h) for h in hashes], np.int64)
-        self.of_window = np.repeat(np.arange(len(ids)), sizes)
-        self.merged = np.concatenate([*hashes, np.empty(0, np.uint64)])
+        half = np.uint64(32)
+
+        def coded(hashes: np.ndarray) -> np.ndarray:
+            return (hashes >> half) * np.uint64(buckets) >> half << half | hashes & np.uint64(0xFFFFFFFF)
+
+        codes = [coded(first(d, window)) for d in self.digits]
+        sizes = np.array([len(c) for c in codes], np.int64)
+        self.codes = np.concatenate([*codes, np.empty(0, np.uint64)])
+        self.of_window = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
 
     def text(self, i: int) -> str | None:
         return self.texts[int(self.order[i])].as_py()
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes, and the first document of each."""
-        distinct, first = np.unique(self.merged, return_index=True)
-        return distinct, self.of_window[first]
-
     def seconds(self, where: np.ndarray) -> np.ndarray:
         """Second hashes of the windows at these positions, in rising order."""
         out = np.empty(len(where), np.uint64)
@@ -150,18 +156,23 @@ class _Chunk:
         return out
 
 
-def _blobs(bucket: np.ndarray, chunk: int, columns: Sequence[np.ndarray], names: Sequence[str]) -> pa.Table:
-    """One row per bucket, with the bytes of its part of each column; `bucket` is rising."""
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
-    ends = np.r_[cuts[1:], len(bucket)] if len(cuts) else cuts
-    arrays = [pa.array(bucket[cuts], pa.int64()), pa.array([chunk] * len(cuts), pa.int64())]
-    for column in columns:
-        arrays.append(pa.array([column[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()))
-    return pa.table(arrays, ["bucket", "chunk", *names])
+def _bucket(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(32)).astype(np.int64)
+
+
+def _low(codes: np.ndarray) -> np.ndarray:
+    return codes.astype(np.uint32)
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _rows(key: np.ndarray, names: Sequence[str], columns: Sequence[np.ndarray], **fixed: int) -> pa.Table:
+    """One row per run of equal keys, with the bytes of its part of each column."""
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    ends = np.r_[cuts[1:], len(key)] if len(cuts) else cuts
+    arrays = [pa.array(key[cuts], pa.int64())]
+    arrays += [pa.array([value] * len(cuts), pa.int64()) for value in fixed.values()]
+    for column in columns:
+        arrays.append(pa.array([column[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()))
+    return pa.table(arrays, [names[0], *fixed, *names[1:]])
 
 
 def _column(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
@@ -176,60 +187,103 @@ def _groups(ordered: Sequence[np.ndarray]) -> np.ndarray:
     return np.r_[0, np.cumsum(differs)]
 
 
+def _firsts(group: np.ndarray) -> np.ndarray:
+    """The first row of each group."""
+    return np.flatnonzero(np.r_[True, np.diff(group) > 0]) if len(group) else np.empty(0, np.int64)
+
+
+def _counted(chunk: _Chunk, number: int) -> pa.Table:
+    """The chunk's distinct half hashes, rising, for each bucket."""
+    codes = np.unique(chunk.codes)
+    return _rows(_bucket(codes), ["bucket", "halves"], [_low(codes)], chunk=number)
+
+
 def _shared(blobs: pa.Table) -> pa.Table:
-    """For each chunk, the bucket's hashes that some other chunk has too."""
-    hashes = _column(blobs, "hashes", np.uint64)
-    of_blob = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-    merged = np.concatenate(hashes)
+    """For each chunk, a bit for each of its half hashes in the bucket: does another have it?"""
+    halves = _column(blobs, "halves", np.uint32)
+    sizes = [len(h) for h in halves]
+    merged = np.concatenate(halves)
     order = np.argsort(merged, kind="stable")
     ordered = merged[order]
     same = ordered[1:] == ordered[:-1]
-    order = order[np.r_[False, same] | np.r_[same, False]]
-    order = order[np.argsort(of_blob[order], kind="stable")]
-    owner = of_blob[order]
-    number = blobs.column("chunk").to_numpy()[owner] if len(order) else np.empty(0, np.int64)
-    return _blobs(number, 0, [merged[order]], ["hashes"]).select(["bucket", "hashes"]).rename_columns(["chunk", "shared"])
-
-
-def _confirmed(chunk: _Chunk, shared: pa.Table, buckets: int, number: int) -> pa.Table:
-    """Both hashes of the windows that are shared by the first, once per pair, with the
-    smallest document that has it."""
-    asked = np.concatenate([*_column(shared, "shared", np.uint64), np.empty(0, np.uint64)])
-    where = np.flatnonzero(np.isin(chunk.merged, asked))
-    one, two = chunk.merged[where], chunk.seconds(where)
-    owner = chunk.ids[chunk.of_window[where]]
+    flags = np.zeros(len(merged), bool)
+    flags[order] = np.r_[False, same] | np.r_[same, False]
+    parts = np.split(flags, np.cumsum(sizes)[:-1])
+    keep = [i for i, part in enumerate(parts) if part.any()]
+    return pa.table(
+        [
+            blobs.column("chunk").combine_chunks().take(pa.array(keep, pa.int64())),
+            blobs.column("bucket").combine_chunks().take(pa.array(keep, pa.int64())),
+            pa.array([np.packbits(parts[i]).tobytes() for i in keep], pa.binary()),
+        ],
+        ["chunk", "bucket", "shared"],
+    )
+
+
+def _confirmed(chunk: _Chunk, shared: pa.Table, number: int) -> pa.Table:
+    """Half hashes and second hashes of the windows that are shared by the first, once per
+    pair, in the order of the smallest document that has it: its id and number of pairs."""
+    rank = np.argsort(chunk.codes, kind="stable")
+    ordered = chunk.codes[rank]
+    starts = _firsts(_groups((ordered,)))
+    buckets = _bucket(ordered[starts])
+    asked = np.zeros(len(starts), bool)
+    for bucket, bits in zip(shared.column("bucket"), _column(shared, "shared", np.uint8), strict=True):
+        a, b = np.searchsorted(buckets, [bucket.as_py(), bucket.as_py() + 1])
+        asked[a:b] = np.unpackbits(bits, count=b - a)
+    where = np.sort(rank[np.repeat(asked, np.diff(np.r_[starts, len(ordered)]))])
+    del rank, ordered, starts, buckets, asked
+    one, two, owner = chunk.codes[where], chunk.seconds(where), chunk.ids[chunk.of_window[where]]
     order = np.lexsort((owner, two, one))
+    order = order[_firsts(_groups((one[order], two[order])))]
+    order = order[np.lexsort((owner[order], _bucket(one[order])))]
     one, two, owner = one[order], two[order], owner[order]
-    first = np.flatnonzero(np.r_[True, np.diff(_groups((one, two))) > 0]) if len(one) else np.empty(0, np.int64)
-    one, two, owner = one[first], two[first], owner[first]
-    return _blobs(_bucket(one, buckets), number, [one, two, owner], ["one", "two", "owners"])
+    # Runs of an owner within a bucket: its id once, and how many pairs follow.
+    bucket = _bucket(one)
+    starts = _firsts(_groups((bucket, owner)))
+    counts = np.diff(np.r_[starts, len(one)]).astype(np.uint32)
+    pairs = _rows(bucket, ["bucket", "low", "two"], [_low(one), two], chunk=number)
+    runs = _rows(bucket[starts], ["bucket", "owners", "counts"], [owner[starts], counts])
+    return pairs.append_column("owners", runs.column("owners")).append_column("counts", runs.column("counts"))
 
 
 def _seen_before(blobs: pa.Table) -> pa.Table:
-    """For each chunk, the bucket's windows that start in an earlier document of another chunk."""
-    ones = _column(blobs, "one", np.uint64)
-    of_blob = np.repeat(np.arange(len(ones)), [len(x) for x in ones])
-    one, two = np.concatenate(ones), np.concatenate(_column(blobs, "two", np.uint64))
-    owner = np.concatenate(_column(blobs, "owners", np.int64))
-    order = np.lexsort((owner, two, one))
-    group = _groups((one[order], two[order]))
-    first = np.flatnonzero(np.r_[True, np.diff(group) > 0])
-    later = order[owner[order] > owner[order][first][group]]
+    """For each chunk, the bucket's pairs that start in an earlier document of another chunk."""
+    lows = _column(blobs, "low", np.uint32)
+    of_blob = np.repeat(np.arange(len(lows)), [len(x) for x in lows])
+    low, two = np.concatenate(lows), np.concatenate(_column(blobs, "two", np.uint64))
+    owner = np.repeat(
+        np.concatenate(_column(blobs, "owners", np.int64)), np.concatenate(_column(blobs, "counts", np.uint32))
+    )
+    order = np.lexsort((owner, two, low))
+    group = _groups((low[order], two[order]))
+    later = order[owner[order] > owner[order][_firsts(group)][group]]
     later = later[np.argsort(of_blob[later], kind="stable")]
     number = blobs.column("chunk").to_numpy()[of_blob[later]]
-    found = _blobs(number, 0, [one[later], two[later]], ["one", "two"])
-    return found.select(["bucket", "one", "two"]).rename_columns(["chunk", "one", "two"])
+    return _rows(number, ["chunk", "low", "two"], [low[later], two[later]], bucket=blobs.column("bucket")[0].as_py())
 
 
 def _repeated(chunk: _Chunk, replies: pa.Table) -> np.ndarray:
     """Windows that start in an earlier document, of this chunk or by the replies."""
-    seen = [np.concatenate([*_column(replies, name, np.uint64), np.empty(0, np.uint64)]) for name in ("one", "two")]
-    out = np.zeros(len(chunk.merged), bool)
-    # Only windows whose first hash occurs twice here, or is in the replies, need the second.
-    _, inverse, counts = np.unique(chunk.merged, return_inverse=True, return_counts=True)
-    where = np.flatnonzero((counts[inverse] > 1) | np.isin(chunk.merged, seen[0]))
-    del inverse, counts
-    one = np.r_[chunk.merged[where], seen[0]]
+    codes, seconds = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for bucket, low, two in zip(
+        replies.column("bucket"), _column(replies, "low", np.uint32), _column(replies, "two", np.uint64), strict=True
+    ):
+        codes.append(np.uint64(bucket.as_py()) << np.uint64(32) | low.astype(np.uint64))
+        seconds.append(two)
+    seen = [np.concatenate(codes), np.concatenate(seconds)]
+    out = np.zeros(len(chunk.codes), bool)
+    # Only windows whose code occurs twice here, or is in the replies, need the second hash.
+    rank = np.argsort(chunk.codes, kind="stable")
+    ordered = chunk.codes[rank]
+    same = ordered[1:] == ordered[:-1]
+    asked = np.r_[False, same] | np.r_[same, False] if len(ordered) else np.zeros(0, bool)
+    at = np.searchsorted(ordered, seen[0])  # the others of that code are asked for as well
+    at = at[at < len(ordered)]
+    asked[at] = True
+    where = np.sort(rank[asked])
+    del rank, ordered, same, asked
+    one = np.r_[chunk.codes[where], seen[0]]
     two = np.r_[chunk.seconds(where), seen[1]]
     owner = np.r_[chunk.ids[chunk.of_window[where]], np.full(len(seen[0]), _NO_ID)]
     foreign = np.r_[np.zeros(len(where), bool), np.ones(len(seen[0]), bool)]
@@ -237,8 +291,7 @@ def _repeated(chunk: _Chunk, replies: pa.Table) -> np.ndarray:
     group = _groups((one[order], two[order]))
     if not len(group):
         return out
-    first = np.flatnonzero(np.r_[True, np.diff(group) > 0])
-    lead = order[first][group]  # the reply, or else the smallest document
+    lead = order[_firsts(group)][group]  # the reply, or else the smallest document
     earlier = ~foreign[order] & (foreign[lead] | (owner[order] > owner[lead]))
     out[where[order[earlier]]] = True
     return out
@@ -259,14 +312,13 @@ def _kept(text: str | None, covered: np.ndarray) -> Iterator[bytes]:
             between = b" "
 
 
-def _cleaned(docs: pa.Table, replies: pa.Table, window: int, first: Hash, second: Hash | None) -> pa.Table:
+def _cleaned(chunk: _Chunk, docs: pa.Table, replies: pa.Table) -> pa.Table:
     """Apply the replies of all buckets, and the chunk's own repeats, to its documents."""
-    chunk = _Chunk(docs, window, first, second)
     repeated = _repeated(chunk, replies)
     out: list[tuple] = []
     for i, (start, end) in enumerate(zip(chunk.starts, chunk.ends, strict=True)):
         text, n_words = chunk.text(i), len(chunk.digits[i])
-        covered = covered_words(repeated[start:end], n_words, window)
+        covered = covered_words(repeated[start:end], n_words, chunk.window)
         starts, ends = intervals(covered)
         digest, parts = hashlib.sha256(), []
         for part in _kept(text, covered):
@@ -310,13 +362,14 @@ def remove_repeats(
     joined by one space) and the kept words' kept_sha256; one row per input row.
 
     Documents are dealt into chunks by id and text. Each chunk hashes every window of its
-    whole texts and sends its distinct ones to counting buckets; a passage that a third of
-    all documents share is one entry per chunk there. Buckets tell each chunk which hashes
-    other chunks have too. For these few the chunks send a second, independent hash with the
-    smallest document, and are told which of them start earlier elsewhere; then they mark
-    their windows. So windows count as equal if 128 bits agree, and a collision of the first
-    64 costs an entry, not a document's words. The documents are shuffled once and read
-    three times. `first` and `second` are the hash functions.
+    whole texts and sends half of each distinct hash to counting buckets; a passage that a
+    third of all documents share is one entry per chunk there. Buckets answer with a bit per
+    entry: whether other chunks have it too, which some thousandth seem to have only by
+    chance. For these few the chunks send a second, independent hash with the smallest
+    document, and are told which of them start earlier elsewhere; then they mark their
+    windows. So windows count as equal if 96 bits agree, besides those that name the bucket,
+    and a collision of the first hash costs an entry, not a document's words. The documents
+    are shuffled once and read three times. `first` and `second` are the hash functions.
 
     Null and empty texts have no words. Rows with a null id count as smaller than every
     other and not smaller than one another; equal ids likewise do not remove from one
@@ -341,26 +394,28 @@ def remove_repeats(
         *(T.StructField(f"carried_{i}", df.schema[name].dataType) for i, name in enumerate(carry)),
     ])
     docs = docs.repartition(partitions_for(spark, total, 4 * chunk_bytes), "chunk")
-    by_bucket = partitions_for(spark, 2 * total)  # eight bytes a window, and owners
+    by_bucket = partitions_for(spark, total)  # four bytes a window
+
+    def chunk_for(group: pa.Table) -> _Chunk:
+        return _Chunk(group, window, buckets, first, second)
 
-    def hashed(group: pa.Table) -> pa.Table:
-        distinct, _ = _Chunk(group, window, first, second).distinct()
-        return _blobs(_bucket(distinct, buckets), group.column("chunk")[0].as_py(), [distinct], ["hashes"])
+    def counted(group: pa.Table) -> pa.Table:
+        return _counted(chunk_for(group), group.column("chunk")[0].as_py())
 
     def confirmed(group: pa.Table, shared: pa.Table) -> pa.Table:
-        if not group.num_rows or not shared.num_rows:
-            return _blobs(np.empty(0, np.int64), 0, [np.empty(0)] * 3, ["one", "two", "owners"])
-        return _confirmed(_Chunk(group, window, first, second), shared, buckets, group.column("chunk")[0].as_py())
+        return _confirmed(chunk_for(group), shared, group.column("chunk")[0].as_py() if group.num_rows else 0)
 
     def cleaned(group: pa.Table, replies: pa.Table) -> pa.Table:
-        return _cleaned(group, replies, window, first, second)
+        return _cleaned(chunk_for(group), group, replies)
 
-    blobs = docs.groupBy("chunk").applyInArrow(hashed, "bucket long, chunk long, hashes binary")
-    shared = blobs.repartition(by_bucket, "bucket").groupBy("bucket").applyInArrow(_shared, "chunk long, shared binary")
+    blobs = docs.groupBy("chunk").applyInArrow(counted, "bucket long, chunk long, halves binary")
+    shared = blobs.repartition(by_bucket, "bucket").groupBy("bucket").applyInArrow(
+        _shared, "chunk long, bucket long, shared binary"
+    )
     pairs = docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
-        confirmed, "bucket long, chunk long, one binary, two binary, owners binary"
+        confirmed, "bucket long, chunk long, low binary, two binary, owners binary, counts binary"
     )
-    replies = pairs.groupBy("bucket").applyInArrow(_seen_before, "chunk long, one binary, two binary")
+    replies = pairs.groupBy("bucket").applyInArrow(_seen_before, "chunk long, bucket long, low binary, two binary")
     return docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cleaned, schema)
 
 
