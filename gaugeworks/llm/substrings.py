@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ CHUNK_BYTES = (4 << 20, 32 << 20)
 BUCKET_WINDOWS = (1 << 21, 1 << 22)
 #: Bases of the two window hashes, odd, so that they have inverses modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(base, -1, 1 << 64) for base in _BASES)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _KNOWN_WORDS = 1 << 18
 _NO_ID = -(1 << 63)
@@ -65,7 +66,9 @@ def word_digits(text: str | None) -> np.ndarray:
     return np.concatenate(parts)
 
 
+@cache
 def _powers(base: int, n: int) -> np.ndarray:
+    """The first powers of a base, computed once in a process."""
     steps = np.full(n, base, np.uint64)
     steps[:1] = 1
     return np.multiply.accumulate(steps)
@@ -91,7 +94,7 @@ def window_hashes(digits: np.ndarray, window: int = WINDOW, which: int = 0) -> n
         digits = _mixed(digits ^ np.uint64(base))
     out = np.empty(n, np.uint64)
     step = 1 << 16  # so that the powers stay a short table
-    up, down = _powers(base, step + window), _powers(pow(base, -1, 1 << 64), step)
+    up, down = _powers(base, step + window), _powers(_INVERSES[which], step)
     for start in range(0, n, step):
         part = digits[start : min(start + step, n) + window - 1]
         sums = np.r_[np.uint64(0), np.add.accumulate(part * up[: len(part)])]
