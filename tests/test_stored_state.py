@@ -4,7 +4,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.operators import catalog, keyed_table, latest
