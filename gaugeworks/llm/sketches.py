@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import long_id, partitions_for, table, text_bytes
+from gaugeworks.llm.common import long_id, partitions_for, table
 from gaugeworks.session import settle
 
 #: Words of a paragraph piece, and of the finer ones that the first piece is cut into.
