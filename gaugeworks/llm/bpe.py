@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import long_id, ship_package, slices, table
+from gaugeworks.session import settle
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Code points of one chunk, and how far it reads into the next one.
@@ -246,8 +247,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every document and decode its ids: doc_id, n_tokens, ids and decoded_sha256."""
-    return decode_documents(encode_documents(docs)).select(
+    """Encode every document and decode its ids: doc_id, n_tokens, ids and decoded_sha256.
+
+    The ids are written in between, so that no task holds a coder of either kind at once.
+    """
+    return decode_documents(settle(encode_documents(docs))).select(
         F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
