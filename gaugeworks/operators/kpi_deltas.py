@@ -8,9 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.joins import BROADCAST_ROWS, HOT_ROWS, sized_join
+from gaugeworks.operators.joins import BROADCAST_ROWS, HOT_ROWS, fits_broadcast, sized_join
 from gaugeworks.operators.quality import SUCCESS
-from gaugeworks.session import settle, settle_measured
+from gaugeworks.session import settle
 
 BATCH, BUCKET = "batch", "key_bucket"
 FLAGS = ("owner", "tier", "description")
@@ -33,7 +33,8 @@ class KpiState:
     which fields are set; ends of edges by key; the resulting totals per type; rule results.
     What holds after a batch is the sum over all batches, and a batch that is repeated
     replaces its own folders, so it counts once. The first two are cut by hash bucket of the
-    key, and only the changed keys' buckets are read.
+    key, and only the changed keys' buckets are read. Both hold a row per batch and key, or
+    key, type and flags, so no key is hot in them and `hot_rows` does not come into play.
     """
 
     path: str
@@ -59,14 +60,10 @@ class KpiState:
         newest = self._stored(spark, "totals").agg(F.max(BATCH)).first()[0]
         if newest is not None and batch < newest:
             raise ValueError(f"batch {batch} comes after batch {newest}")
-        came = self._entity_counts(spark, entities)
-        ends = self._end_counts(spark, edges)
-        changed, seen = settle_measured(
-            came.select("key").unionByName(ends.select("key")).distinct().withColumn(BUCKET, self._bucket()),
-            buckets=F.collect_set(BUCKET),
-        )
-        old_rows = self._before(spark, "entities", batch, changed, seen["buckets"])
-        old_ends = self._before(spark, "ends", batch, changed, seen["buckets"])
+        came = self._write(self._entity_counts(spark, entities), "entities", batch)
+        ends = self._write(self._end_counts(spark, edges), "ends", batch)
+        changed = came.select("key", BUCKET).unionByName(ends.select("key", BUCKET))
+        old_rows, old_ends = self._before(spark, batch, changed)
         names = ["key", "type", *FLAGS]
         rows = old_rows.select(*names, F.col("n").alias("was"), F.lit(0).cast("bigint").alias("plus"))
         rows = rows.unionByName(came.select(*names, F.lit(0).cast("bigint").alias("was"), F.col("n").alias("plus")))
@@ -82,10 +79,7 @@ class KpiState:
             *[F.sum(F.when(F.col(flag), F.col("plus")).otherwise(0)).alias(flag) for flag in FLAGS],
             F.sum(F.when(linked[1], now).otherwise(0) - F.when(linked[0], F.col("was")).otherwise(0)).alias("lineage"),
         )
-        passed = self._result_counts(spark, results)
-        self._write(came, "entities", batch)
-        self._write(ends, "ends", batch)
-        self._write(passed, "results", batch)
+        self._write(self._result_counts(spark, results), "results", batch)
         self._write(settle(totals), "totals", batch)  # last: its number tells that the batch is there
 
     def kpis(self, spark: SparkSession) -> DataFrame:
@@ -110,14 +104,14 @@ class KpiState:
             return spark.createDataFrame([], _SCHEMAS["entities"])
         flags = [F.col(flag).isNotNull().alias(flag) for flag in FLAGS]
         counted = entities.select("key", "type", *flags, "sign").groupBy("key", "type", *FLAGS)
-        return settle(counted.agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0"))
+        return counted.agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0")
 
     def _end_counts(self, spark: SparkSession, edges: DataFrame | None) -> DataFrame:
         if edges is None:
             return spark.createDataFrame([], _SCHEMAS["ends"])
         ends = edges.select(F.explode(F.array("upstream", "downstream")).alias("key"), "sign")
         counted = ends.where("key IS NOT NULL").groupBy("key").agg(F.sum("sign").cast("bigint").alias("n"))
-        return settle(counted.where("n <> 0"))
+        return counted.where("n <> 0")
 
     def _result_counts(self, spark: SparkSession, results: DataFrame | None) -> DataFrame:
         if results is None:
@@ -126,19 +120,27 @@ class KpiState:
         # As an average would, the rate leaves out results without a status.
         total = F.sum(F.when(F.col("status").isNotNull(), F.col("sign")).otherwise(0))
         counted = results.agg(passed.cast("bigint").alias("passed"), total.cast("bigint").alias("total"))
-        return settle(counted.na.fill(0))
+        return counted.na.fill(0)
 
     def _bucket(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
 
-    def _before(self, spark: SparkSession, name: str, batch: int, changed: DataFrame, buckets: list[int]) -> DataFrame:
-        """What the table holds of the changed keys before the batch."""
-        stored = self._stored(spark, name).where(F.col(BATCH) < batch)
-        if len(buckets) <= FILTER_BUCKETS:
-            stored = stored.where(F.col(BUCKET).isin(buckets))
-        return sized_join(
-            stored, changed.select("key"), ["key"], "left_semi", max_rows=self.max_rows, hot_rows=self.hot_rows
-        )
+    def _before(self, spark: SparkSession, batch: int, changed: DataFrame) -> list[DataFrame]:
+        """What `entities` and `ends` hold before the batch, of the changed keys at least.
+
+        Few changed keys are broadcast and choose their rows. With many, the rows of the other
+        keys in their buckets come along: choosing would cost the same shuffle as the sums, and
+        a key without changes adds nothing to the difference.
+        """
+        seen = changed.agg(F.count(F.lit(1)).alias("rows"), F.collect_set(BUCKET).alias("buckets")).first()
+        few = seen["rows"] <= self.max_rows and fits_broadcast(changed.select("key"), self.max_rows)
+        found = []
+        for name in _KEYED:
+            stored = self._stored(spark, name).where(F.col(BATCH) < batch)
+            if len(seen["buckets"]) <= FILTER_BUCKETS:
+                stored = stored.where(F.col(BUCKET).isin(seen["buckets"]))
+            found.append(sized_join(stored, changed.distinct(), ["key"], "left_semi", small=True) if few else stored)
+        return found
 
     def _stored(self, spark: SparkSession, name: str) -> DataFrame:
         schema = f"{_SCHEMAS[name]}, {BATCH} int" + f", {BUCKET} int" * (name in _KEYED)
@@ -149,8 +151,11 @@ class KpiState:
                 raise
             return spark.createDataFrame([], schema)
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+    def _write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+        """Write a batch's rows of a table in place of any it had; returns them as stored."""
         writer = df.write
         if name in _KEYED:
-            writer = df.withColumn(BUCKET, self._bucket()).repartition(BUCKET).write.partitionBy(BUCKET)
+            # Buckets that are large are cut over several tasks, whatever their number.
+            writer = df.withColumn(BUCKET, self._bucket()).hint("rebalance", BUCKET).write.partitionBy(BUCKET)
         writer.mode("overwrite").parquet(f"{self.path}/{name}/{BATCH}={batch}")
+        return self._stored(df.sparkSession, name).where(F.col(BATCH) == batch)

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.operators import catalog, keyed_table, latest
@@ -13,6 +14,8 @@ from gaugeworks.operators.profiling import column_profile
 from gaugeworks.operators.stored_profile import merged_profile, profile_batch
 from gaugeworks.operators.stored_versions import VersionHistory
 
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 T0 = datetime(2024, 1, 1)
 LOG = T.StructType([
     *[T.StructField(name, T.StringType()) for name in ("urn", "aspect", "value")],
@@ -250,3 +253,25 @@ def test_a_dropped_tier_and_the_last_edge(spark, tmp_path):
     assert figures() == (2, 0.0, 0.5, 1.0)
     state.apply(spark, 4, spark.createDataFrame([("b", "table", None, None, "d", -1)], ENTITY), spark.createDataFrame([("a", "x", -1)], EDGE))
     assert figures() == (1, 0.0, 0.0, 1.0)
+
+
+def test_many_changes_are_summed_without_choosing_keys(spark, tmp_path, monkeypatch):
+    """Neither hot keys are sought nor keys joined; a bucket with many rows is cut over tasks."""
+    monkeypatch.setattr("gaugeworks.operators.joins.hot_buckets", lambda *_: pytest.fail("keys counted"))
+    monkeypatch.setattr("gaugeworks.operators.kpi_deltas.sized_join", lambda *_, **__: pytest.fail("keys chosen"))
+    kept = {name: spark.conf.get(name) for name in (ADVISORY, COALESCE)}
+    spark.conf.set(ADVISORY, "1k")
+    spark.conf.set(COALESCE, "false")
+    try:
+        state = KpiState(str(tmp_path / "k"), buckets=1, max_rows=10)
+        rows = [(f"e{i}", "table", None, None, None, 1) for i in range(2000)]
+        edges = spark.createDataFrame([(f"e{i}", f"x{i}", 1) for i in range(500)], EDGE)
+        state.apply(spark, 1, spark.createDataFrame(rows, ENTITY), edges)
+        assert len(list((tmp_path / "k/entities/batch=1/key_bucket=0").glob("*.parquet"))) > 1
+        state.apply(spark, 2, edges=edges.where("upstream < 'e3'").withColumn("sign", F.lit(-1)))
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    lost = sum(f"e{i}" < "e3" for i in range(500))
+    row = state.kpis(spark).where("type = 'ALL'").first()
+    assert (row["assets"], row["lineage_share"]) == (2000, (500 - lost) / 2000)
