@@ -11,6 +11,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
-from gaugeworks.llm.common import draw_of, drawn, long_id, partitions_for, ship_package, slices, table
+from gaugeworks.llm.common import draw_of, drawn, long_id, partitions_for, ship_package, table
 from gaugeworks.operators.joins import sized_join
 from gaugeworks.session import scratch_path
 
@@ -32,9 +33,12 @@ LEVEL = 3
 #: A shard ends with the document that brings its frames, or the ids in them, to so many bytes.
 SHARD_BYTES = 1 << 20
 SHARD_ID_BYTES = 1 << 24
-KNOWN_PIECES = 300_000
-KNOWN_WORDS = 500_000
-_ENDS = frozenset(".,;:!?")
+#: Ids kept in a process: of pre-tokens, of what follows a word's letters, of words.
+KNOWN_PIECES = 200_000
+KNOWN_RESTS = 50_000
+KNOWN_WORDS = 750_000
+#: Texts are encoded together up to so many bytes; a longer one is encoded on its own.
+TOGETHER_BYTES = 1 << 23
 _SPACES = re.compile(r" (?:\s|$)")
 
 
@@ -46,32 +50,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Pieces(dict):
-    """Ids of pre-tokens, from the library's model; the first ones met are kept."""
+class _Kept(dict):
+    """Ids of texts, as `encode` gives them; the first `limit` texts met are kept."""
 
-    def __init__(self, model) -> None:
+    def __init__(self, encode, limit: int) -> None:
         super().__init__()
-        self.model, self.letters = model, _byte_letters()
+        self.encode, self.limit = encode, limit
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
-        if len(self) < KNOWN_PIECES:
-            self[piece] = ids
-        return ids
-
-
-class _Words(dict):
-    """Ids of words led by a space."""
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(self) < KNOWN_WORDS:
-            self[word] = ids
+    def __missing__(self, text: str) -> bytes:
+        ids = self.encode(text)
+        if len(self) < self.limit:
+            self[text] = ids
         return ids
 
 
@@ -80,26 +69,41 @@ class PieceEncoder:
 
     Merges never cross pre-tokens, so a text's ids are those of its pre-tokens, which the
     library's model encodes. A pre-token always begins at a space before anything but white
-    space, so words between single spaces are encoded apart too. Ids of words and pre-tokens
-    met before are kept, up to a bound.
+    space, so words between single spaces are encoded apart too; one also ends where a word's
+    leading letters end, so they and the rest of the word are encoded apart. Ids of words,
+    rests and other pre-tokens met before are kept, up to a bound.
     """
 
     def __init__(self, path: str) -> None:
         space = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pattern = regex.compile(space)
-        self.pieces = _Pieces(Tokenizer.from_file(path).model)
-        self.words = _Words(self.encode_word)
+        self.leading = regex.compile(r"\p{L}+").match
+        self.library = Tokenizer.from_file(path)
+        self.model, self.letters = self.library.model, _byte_letters()
+        known = self.library.get_vocab(with_added_tokens=False).values()
+        self.packed = {number: struct.pack("<I", number) for number in known}
+        self.pieces = _Kept(self.encode_piece, KNOWN_PIECES)
+        self.rests = _Kept(self.encode_pieces, KNOWN_RESTS)
+        self.words = _Kept(self.encode_word, KNOWN_WORDS)
+
+    def encode_piece(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return b"".join([self.packed[token.id] for token in found])
 
     def encode_pieces(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode_word(self, word: str) -> bytes:
-        """Ids of a word led by a space; letters alone, or with one mark behind, need no pattern."""
-        if word.isalpha():
-            return self.pieces[" " + word]
-        if word[-1:] in _ENDS and word[:-1].isalpha():
-            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
-        return self.encode_pieces(" " + word)
+        """Ids of a word led by a space; letters alone need no pattern."""
+        if word.isascii() and word.isalpha():
+            return b"".join([self.packed[token.id] for token in self.model.tokenize(self.letters[0x20] + word)])
+        letters = self.leading(word)
+        if letters is None:
+            return self.encode_pieces(" " + word)
+        end = letters.end()
+        if end == len(word):
+            return self.encode_piece(" " + word)
+        return self.words[word[:end]] + self.rests[word[end:]]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -118,7 +122,6 @@ class TextEncoder(PieceEncoder):
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.library = Tokenizer.from_file(path)
         listed = self.library.get_added_tokens_decoder()
         self.added = {token.content: struct.pack("<I", number) for number, token in listed.items() if token.content}
         self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in listed.values())
@@ -135,6 +138,48 @@ class TextEncoder(PieceEncoder):
             self.added[part] if k % 2 else between(part) for k, part in enumerate(self.marks.split(text))
         )
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each of some texts without nulls, as `encode` gives them.
+
+        Every different word of the texts is looked up once, and Arrow puts the ids in place.
+        Long texts, and those with added tokens or with white space behind a space, go through
+        `encode`.
+        """
+        apart = pc.binary_length(texts).to_numpy(zero_copy_only=False) > TOGETHER_BYTES
+        for content in self.added:
+            apart |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        rows, lines = np.flatnonzero(~apart), [b""] * len(texts)
+        if len(rows):
+            split = pc.split_pattern(texts.take(pa.array(rows)), " ")
+            edges = split.offsets.to_numpy()
+            coded = split.values.dictionary_encode()
+            words, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+            first = edges[:-1]  # no text is without a word, an empty one has an empty word
+            heads = [self.encode_pieces(words[k]) for k in numbers[first]]
+            numbers[first] = len(words) + np.arange(len(first))
+            blank = np.array([not w or w[0].isspace() for w in words] + [False] * len(heads))
+            ids = [b"" if none else self.words[w] for w, none in zip(words, blank.tolist(), strict=False)]
+            placed = pa.array(ids + heads, pa.large_binary()).take(pa.array(numbers))
+            starts = np.frombuffer(placed.buffers()[1], np.int64)[edges].tolist()
+            data = memoryview(placed.buffers()[2] or b"")
+            for row, a, b in zip(rows.tolist(), starts, starts[1:], strict=False):
+                lines[row] = bytes(data[a:b])
+            apart[rows] = np.logical_or.reduceat(blank[numbers], first)
+        for row in np.flatnonzero(apart).tolist():
+            lines[row] = self.encode(texts[row].as_py())
+        return lines
+
+
+def _together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches of ids and texts where the texts come to TOGETHER_BYTES."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER_BYTES)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if end > start:
+                yield batch.slice(start, end - start)
+
 
 @cache
 def encoder(path: str) -> TextEncoder:
@@ -221,9 +266,8 @@ def write_token_files(
                 ["part", "shard", "dictionary", "ids", "offsets", "counts", "n_tokens", "payload"],
             )
 
-        for batch in slices(batches, 256):
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                line = made.encode(text)
+        for batch in _together(batches):
+            for own, line in zip(batch.column(0).to_pylist(), made.encode_all(batch.column(1)), strict=True):
                 frame = press.compress(line + end)
                 held.append(frame)
                 ids.append(own)

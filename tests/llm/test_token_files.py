@@ -109,3 +109,27 @@ def test_repetitive_texts_fill_shards_by_their_ids(spark, tmp_path):
     assert len(shards) > 5 and max(r["n_tokens"] for r in shards) * 4 < 150_000
     got = F.read_token_files(spark, str(tmp_path / "f"))
     assert got.count() == 40 and got.select("ids").distinct().count() == 1
+
+
+def test_texts_together_match_the_library(monkeypatch):
+    """Different words are looked up once in all texts; odd texts among them come out the same."""
+    library = Tokenizer.from_file(F.TOKENIZER)
+    texts = ["", " ", "  x", " x", "x ", "a  b", "a  b c", "y \x1c z", "\nx y", "<|endoftext|> x", "one two\nthree"]
+    texts += ["word, word. word word$$$ word\nword", "a'll it's", "漢字, 漢字 é²x ²x", "word " * 50, "x" * 90, ""]
+    own = F.TextEncoder(F.TOKENIZER)
+    monkeypatch.setattr(F, "TOGETHER_BYTES", 80)
+    want = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    batch = F.pa.RecordBatch.from_arrays([F.pa.array(range(len(texts))), F.pa.array(texts)], ["id", "text"])
+    for rows in (batch, batch.slice(3), batch.slice(0, 1), batch.slice(0, 0)):
+        got = [line for cut in F._together([rows]) for line in own.encode_all(cut.column(1))]
+        have = [np.frombuffer(line, "<u4").tolist() for line in got]
+        assert have == [want[k] for k in rows.column(0).to_pylist()]
+    monkeypatch.undo()
+    met, encode = [], own.encode_word
+    own.words.clear()
+    own.words.encode = lambda word: met.append(word) or encode(word)
+    assert [len(line) // 4 for line in own.encode_all(F.pa.array(texts))] == [len(ids) for ids in want]
+    own.encode_all(F.pa.array(texts))
+    assert len(met) == len(set(met))
+    assert own.encode_all(F.pa.array(["", ""])) == [b"", b""]
+    assert own.encode_all(F.pa.array([], F.pa.string())) == []
